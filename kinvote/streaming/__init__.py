@@ -1,0 +1,5 @@
+"""No streaming operators: the feature set covered here is batch only.
+
+The per-row steps in ``kinvote.functions`` are plain column expressions, so they also
+apply to a streaming DataFrame.
+"""
