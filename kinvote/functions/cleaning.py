@@ -7,12 +7,13 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values: (pattern, replacement) in order of application.
+# Fixed values: (pattern, replacement) in order of application. "Unwanted character to
+# space" followed by "run of space to one space" is one step here: a run of unwanted
+# characters and spaces becomes one space, in a single pass over the text.
 _URL_WORDS = (r"http\S+|www\.\S+", " ")
-_SPACES = (r"\s+", " ")
 
-LETTERS_STEPS = [_URL_WORDS, (r"[^a-z\s]", " "), _SPACES]
-ALNUM_STEPS = [_URL_WORDS, (r"[^a-z0-9\s]", " "), _SPACES]
+LETTERS_STEPS = [_URL_WORDS, (r"[^a-z]+", " ")]
+ALNUM_STEPS = [_URL_WORDS, (r"[^a-z0-9]+", " ")]
 SOCIAL_STEPS = [
     (r"(?i)\b(?:https?://|www\.)\S+\b", " "),
     (r"&amp;", " and "),
@@ -21,8 +22,9 @@ SOCIAL_STEPS = [
     (r"(?i)^\s*rt\s+", " "),
     (r"@[A-Za-z0-9_]+", " "),
     (r"#(\w+)", "$1"),
-    (r"[^a-z0-9_'\s]", " "),
-    _SPACES,
+    # a-z, 0-9, _ and ' stay; after lower-casing \w is exactly the first three, and this
+    # spelling of the class runs several times faster in java.util.regex
+    (r"[^\w']+", " "),
 ]
 ASCII_STEPS = [(r"https?://\S+", " "), (r"&\w+;", " "), (r"[^\x00-\x7F]+", " ")]
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import SEED
 
 PRIME = (1 << 31) - 1  # Mersenne prime: a remainder is two shifts and adds
-_CHUNK_VALUES = 1 << 20
+_CHUNK_VALUES = 1 << 14  # working set of a chunk stays in the CPU cache
 
 
 def coefficients(count: int, seed: int = SEED) -> tuple[list[int], list[int]]:
@@ -40,17 +40,21 @@ def token_hashes(tokens: Column) -> Column:
     return F.transform(tokens, hash32)
 
 
-def _fold(v: np.ndarray) -> np.ndarray:
-    v = (v & PRIME) + (v >> 31)
-    v = (v & PRIME) + (v >> 31)
-    return np.where(v >= PRIME, v - PRIME, v)
-
-
 def _minima(values: np.ndarray, starts: np.ndarray, a: list[int], b: list[int]) -> np.ndarray:
     out = np.empty((len(starts), len(a)), dtype=np.int32)
-    x = values + 1
+    x = values.astype(np.uint64) + np.uint64(1)
+    v, high = np.empty_like(x), np.empty_like(x)
+    prime, bits = np.uint64(PRIME), np.uint64(31)
     for j, (aj, bj) in enumerate(zip(a, b)):
-        out[:, j] = np.minimum.reduceat(_fold(x * aj + bj), starts)
+        np.multiply(x, np.uint64(aj), out=v)
+        np.add(v, np.uint64(bj), out=v)
+        for _ in range(2):  # below 2^63 -> below 2^33 -> at most p + 3
+            np.right_shift(v, bits, out=high)
+            np.bitwise_and(v, prime, out=v)
+            np.add(v, high, out=v)
+        np.subtract(v, prime, out=high)  # wraps to a huge value where v < p
+        np.minimum(v, high, out=v)
+        out[:, j] = np.minimum.reduceat(v, starts)
     return out
 
 
@@ -133,35 +137,46 @@ def _mix(v: np.ndarray) -> np.ndarray:
     return v ^ (v >> np.uint64(31))
 
 
-def adler32(col: Column) -> Column:
-    """Adler-32 of the UTF-8 bytes, as a bigint."""
-    # one character per byte: Latin-1 maps byte values to code points one to one
-    chars = F.split(F.decode(F.encode(col, "UTF-8"), "ISO-8859-1"), "")
-    octets = F.filter(chars, lambda c: c != "")
-    total = F.aggregate(
-        octets,
-        F.struct(F.lit(1).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b")),
-        lambda s, c: F.struct(
-            ((s["a"] + F.ascii(c)) % 65521).alias("a"),
-            ((s["b"] + s["a"] + F.ascii(c)) % 65521).alias("b"),
-        ),
-    )
-    return total["b"] * 65536 + total["a"]
+_ADLER_MOD = 65521
+
+
+def _adler32(strings: pa.Array) -> np.ndarray:
+    """Adler-32 of the UTF-8 bytes of each string, from the Arrow buffers."""
+    wide = strings.cast(pa.large_string())
+    _, offset_buf, data_buf = wide.buffers()
+    offsets = np.frombuffer(offset_buf, dtype=np.int64)[wide.offset : wide.offset + len(wide) + 1]
+    first = offsets[0] if len(offsets) else 0
+    octets = np.frombuffer(data_buf or b"", dtype=np.uint8)[first : offsets[-1] if len(offsets) else 0]
+    octets = octets.astype(np.int64)
+    bounds = offsets - first
+    # running sums; differences stay right even where the position-weighted sum wraps
+    plain = np.concatenate([[0], np.cumsum(octets)])
+    weighted = np.concatenate([[0], np.cumsum(octets * np.arange(len(octets)))])
+    start, end = bounds[:-1], bounds[1:]
+    total = plain[end] - plain[start]
+    low = (1 + total) % _ADLER_MOD
+    high = ((end - start) + end * total - (weighted[end] - weighted[start])) % _ADLER_MOD
+    return high * 65536 + low
 
 
 def bloom_indices(tokens: Column, size: int, num_hashes: int) -> Column:
-    """Sorted distinct bit positions ``(crc32 + i * adler32) mod size`` of all tokens."""
-
-    def positions(token: Column) -> Column:
-        pair = F.array(F.struct(F.crc32(F.encode(token, "UTF-8")).alias("h"), adler32(token).alias("g")))
-        return F.flatten(
-            F.transform(
-                pair,
-                lambda p: F.transform(
-                    F.sequence(F.lit(0), F.lit(num_hashes - 1)),
-                    lambda i: ((p["h"] + i * p["g"]) % size).cast("int"),
-                ),
-            )
-        )
-
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.array_distinct(tokens), positions))))
+    """Sorted distinct bit positions ``(crc32 + i * adler32) mod size`` of all tokens.
+
+    Spark has no Adler-32; it is computed on Arrow batches next to the built-in crc32.
+    """
+
+    @F.arrow_udf("array<int>")
+    def positions(words: pa.Array, crcs: pa.Array) -> pa.Array:
+        sizes = _sizes(words)
+        flat = words.flatten()
+        steps = np.arange(num_hashes, dtype=np.int64)
+        crc = np.asarray(crcs.flatten(), dtype=np.int64)
+        bits = (crc[:, None] + steps * _adler32(flat)[:, None]) % size
+        rows = np.repeat(np.arange(len(sizes)), sizes * num_hashes)
+        # one sorted run of distinct (row, bit) pairs
+        pairs = np.unique(rows * size + bits.ravel())
+        counts = np.bincount(pairs // size, minlength=len(sizes))
+        return _as_lists((pairs % size).astype(np.int32), counts, words.is_null(), pa.int32())
+
+    distinct = F.array_distinct(tokens)
+    return positions(distinct, F.transform(distinct, lambda t: F.crc32(F.encode(t, "UTF-8"))))

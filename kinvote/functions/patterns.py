@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +19,16 @@ def mask_rare_words(tokens: Column, frequent: Sequence[str]) -> Column:
     return F.transform(tokens, lambda t: F.when(t.isin(words), t).otherwise(F.lit(_MASK)))
 
 
-def _windows(masked: Column, n: int, min_frequent: int) -> Column:
+def _windows(masked: Column, hits: Column, n: int, min_frequent: int) -> Column:
     last = F.size(masked) - (n - 1)
-    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.slice(masked, i, F.lit(n)))
-    kept = F.filter(runs, lambda w: F.size(F.array_remove(w, _MASK)) >= min_frequent)
-    joined = F.transform(kept, lambda w: F.array_join(w, "_"))
+
+    def frequent_count(start):
+        return reduce(lambda total, d: total + F.get(hits, start + d), range(1, n), F.get(hits, start))
+
+    starts = F.filter(
+        F.sequence(F.lit(0), last - 1), lambda i: frequent_count(i) >= min_frequent
+    )
+    joined = F.transform(starts, lambda i: F.array_join(F.slice(masked, i + 1, F.lit(n)), "_"))
     return F.when(last >= 1, joined).otherwise(F.expr("cast(array() as array<string>)"))
 
 
@@ -41,11 +47,13 @@ def with_patterns(
     One stage per window length: a row that has reached the cap skips the longer windows,
     which bounds the work on long texts without looking at less text.
     """
-    masked, found = f"__{output_col}_masked", f"__{output_col}_found"
-    df = df.withColumn(masked, mask_rare_words(F.col(tokens_col), frequent)).withColumn(
-        found, F.expr("cast(array() as array<string>)")
+    masked, hits, found = (f"__{output_col}_{part}" for part in ("masked", "hits", "found"))
+    df = (
+        df.withColumn(masked, mask_rare_words(F.col(tokens_col), frequent))
+        .withColumn(hits, F.transform(masked, lambda t: (t != _MASK).cast("int")))
+        .withColumn(found, F.expr("cast(array() as array<string>)"))
     )
     for n in range(min_n, max_n + 1):
-        more = F.array_union(F.col(found), _windows(F.col(masked), n, min_frequent))
+        more = F.array_union(F.col(found), _windows(F.col(masked), F.col(hits), n, min_frequent))
         df = df.withColumn(found, F.when(F.size(found) >= cap, F.col(found)).otherwise(more))
-    return df.withColumn(output_col, F.slice(found, 1, cap)).drop(masked, found)
+    return df.withColumn(output_col, F.slice(found, 1, cap)).drop(masked, hits, found)
