@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import PATTERN_CAP, PATTERN_MAX_N, PATTERN_MIN_HFW, PATTERN_MIN_N
+from .literals import is_word, map_tokens
 
 _MASK = "*"
 
 
 def mask_rare_words(tokens: Column, frequent: Sequence[str]) -> Column:
     """Keep the frequent words; every other token becomes ``*``."""
-    words = list(frequent)
-    return F.transform(tokens, lambda t: F.when(t.isin(words), t).otherwise(F.lit(_MASK)))
+    return map_tokens(tokens, f"if({is_word(frequent)}, t, '{_MASK}')")
 
 
 def _windows(masked: Column, hits: Column, n: int, min_frequent: int) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import EXTENDED_STOP_WORDS, GAP_PATTERN, MATCH_PATTERN
 from .cleaning import clean_ascii, clean_social
+from .literals import filter_tokens, is_word
 
 _NO_TOKENS = "cast(array() as array<string>)"
 
@@ -31,8 +32,7 @@ def tokenize_gaps(col: Column) -> Column:
 
 def remove_stop_words(tokens: Column, stop_words: Sequence[str]) -> Column:
     """Case-insensitive removal; order and repeats stay."""
-    words = [w.lower() for w in stop_words]
-    return F.filter(tokens, lambda t: ~F.lower(t).isin(words))
+    return filter_tokens(tokens, f"not {is_word([w.lower() for w in stop_words], 'lower(t)')}")
 
 
 def dedupe_tokens(tokens: Column) -> Column:
@@ -45,10 +45,9 @@ def match_tokens(col: Column, stop_words: Sequence[str]) -> Column:
 
     Outer apostrophes are stripped; empty, stop-word and all-digit tokens go.
     """
-    words = list(stop_words)
     found = F.regexp_extract_all(clean_ascii(col), F.lit(MATCH_PATTERN), F.lit(0))
     bare = F.transform(found, lambda t: F.btrim(t, F.lit("'")))
-    return F.filter(bare, lambda t: (t != "") & ~t.isin(words) & ~t.rlike("^[0-9]+$"))
+    return filter_tokens(bare, f"t <> '' and not {is_word(stop_words)} and not t rlike '^[0-9]+$'")
 
 
 def tokenize_match(col: Column, stop_words: Sequence[str]) -> Column:
@@ -79,8 +78,7 @@ def sequence_grams(tokens: Column, n: int) -> Column:
 
 def keep_vocabulary(grams: Column, vocabulary: Sequence[str]) -> Column:
     """Grams of the vocabulary, in order. An empty vocabulary keeps everything."""
-    words = list(vocabulary)
-    return F.filter(grams, lambda g: g.isin(words)) if words else grams
+    return filter_tokens(grams, is_word(vocabulary)) if vocabulary else grams
 
 
 def scenario_features(

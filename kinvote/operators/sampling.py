@@ -25,35 +25,32 @@ def with_rank_cut(
 ) -> DataFrame:
     """Flag (``chosen``) the first ``quota`` rows of each group in the stable random order.
 
-    ``quota`` has the group columns and ``n``. A group may be a third of the table, so no
-    group is ranked whole: counts per (group, hash bucket), at most 65,536 rows per group,
-    tell in which bucket the cut falls. Buckets before it are chosen, buckets after it are
-    not, and only rows of the cut bucket itself are ranked.
+    ``quota`` has the group columns and ``n``; groups are classes (of a run), so it and the
+    cut table made from it have a handful of rows. A group may be most of the table, hence
+    no group is ranked whole: counts per (group, hash bucket), at most 65,536 a group, give
+    the bucket in which the cut falls. Rows of earlier buckets are chosen as they are read;
+    only rows of the cut bucket, 1/65,536 of the group, are ranked.
     """
-    order = F.col("__order")
+    order, bucket = F.col("__order"), F.col("__bucket")
     ordered = df.withColumn("__order", seeded_hash(F.col(key), seed)).withColumn(
         "__bucket", F.substring(order, 1, _BUCKET_DIGITS)
     )
     running = Window.partitionBy(*by).orderBy("__bucket")
-    buckets = (
+    cuts = (
         ordered.groupBy(*by, "__bucket")
         .agg(F.count("*").alias("__rows"))
-        .withColumn("__before", F.sum("__rows").over(running) - F.col("__rows"))
+        .withColumn("__upto", F.sum("__rows").over(running))
+        .join(F.broadcast(quota), by)
+        .withColumn("__room", F.col("n") - F.col("__upto") + F.col("__rows"))
+        .where((F.col("__room") > 0) & (F.col("__room") <= F.col("__rows")))
+        .select(*by, bucket.alias("__cut"), "__room")
     )
-    buckets = buckets.join(quota, by) if by else buckets.join(quota, F.lit(True))
-    buckets = buckets.select(
-        *by,
-        "__bucket",
-        (F.col("n") - F.col("__before")).alias("__room"),
-        (F.col("__before") + F.col("__rows") <= F.col("n")).alias("__all"),
-    )
-    placed = ordered.join(buckets, [*by, "__bucket"])
-    # rows of other buckets need no rank: they form no group of their own here
-    cut = (~F.col("__all")) & (F.col("__room") > 0)
-    in_cut = placed.where(cut)
-    rank = F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy(order, key))
-    ranked = in_cut.withColumn("chosen", rank <= F.col("__room"))
-    rest = placed.where(~cut).withColumn("chosen", F.col("__all"))
+    placed = ordered.join(F.broadcast(cuts), by, "left")
+    in_cut = F.coalesce(bucket == F.col("__cut"), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order, key))
+    ranked = placed.where(in_cut).withColumn("chosen", rank <= F.col("__room"))
+    before = F.coalesce(bucket < F.col("__cut"), F.lit(False))
+    rest = placed.where(~in_cut).withColumn("chosen", before)
     return ranked.unionByName(rest).select(*df.columns, "chosen")
 
 
@@ -113,12 +110,12 @@ def split_stratified(
 def dedupe(df: DataFrame, text_col: str, key: str = "id") -> DataFrame:
     """One row per distinct text: the one with the smallest key.
 
-    ``min_by`` combines on the map side, so a text that a third of the rows share reaches
-    the shuffle once per map task, and no group is sorted or held.
+    An aggregate, so a text that a third of the rows share reaches the shuffle once per
+    map task, and no group is sorted or held.
     """
-    others = [c for c in df.columns if c != text_col]
-    kept = df.groupBy(text_col).agg(F.min_by(F.struct(*others), F.col(key)).alias("__row"))
-    return kept.select(*[c if c == text_col else F.col(f"__row.{c}") for c in df.columns])
+    row = {c: F.min_by(c, key).alias(c) for c in df.columns if c not in (text_col, key)}
+    kept = df.groupBy(text_col).agg(F.min(key).alias(key), *row.values())
+    return kept.select(*df.columns)
 
 
 def first_per_class(df: DataFrame, n: int, key: str = "id", label: str = "label") -> DataFrame:
