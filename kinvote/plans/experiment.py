@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators.forest import first_agreement, forest_topk, with_overlap, with_signature
-from ..operators.labels import majority_label
-from ..operators.sampling import clamp_fractions, split_stratified, with_rank_cut
+from ..operators.labels import keep_nonempty, majority_label
+from ..operators.sampling import clamp_fractions, sample_uniform, split_stratified
 from ..operators.similarity_join import rank_neighbors, threshold_pairs, topk_pairs
 from ..operators.votes import at_each_k, evaluate, for_each_k
 from ..session import materialize
@@ -121,16 +121,12 @@ def nested_samples(
     rows: DataFrame, fractions: list[float], base: int, seed: int = C.SEED
 ) -> DataFrame:
     """``rows`` once per fraction it is in, with ``fraction``; smaller samples are nested."""
-    parts = []
-    for f in clamp_fractions(fractions):
-        size = max(1, int(round(base * f)))
-        one = rows.withColumn("__one", F.lit(1))
-        quota = rows.sparkSession.createDataFrame([(1, size)], "__one int, n bigint")
-        # a sample at least as large as the table is the table
-        quota = quota.join(one.groupBy("__one").agg(F.count("*").alias("__rows")), "__one")
-        quota = quota.select("__one", F.least("n", "__rows").alias("n"))
-        chosen = with_rank_cut(one, quota, "id", ["__one"], seed).where("chosen")
-        parts.append(chosen.drop("__one", "chosen").withColumn("fraction", F.lit(f)))
+    parts = [
+        sample_uniform(rows, max(1, int(round(base * f))), "id", seed).withColumn(
+            "fraction", F.lit(f)
+        )
+        for f in clamp_fractions(fractions)
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -148,28 +144,27 @@ def fraction_sweep(
 
     ``rows`` is a written table ``id, label, tokens``. All (scenario, fraction) runs share
     one plan per table count: the run is a key of every join, so the grid is one set of
-    shuffles and not one job per cell.
+    shuffles and not one job per cell. Vocabularies are fitted on the training rows of
+    each sample, hence the split comes before the features.
     """
     runs = ("scenario", "fraction")
     samples = materialize(nested_samples(rows, list(fractions), base, seed), "samples")
+    split = materialize(
+        split_stratified(samples, "id", test_fraction, seed, ("fraction", "label")), "split"
+    )
     parts = []
     for scenario in scenarios:
-        named = samples.withColumn("scenario", F.lit(scenario))
-        split = named
         if scenario in ("unigram", "bigram"):
-            split = _nonempty_split(harness_features(named, scenario), runs, test_fraction, seed)
+            pieces = [harness_features(split, scenario)]
         else:
-            # the vocabulary is fitted on the training rows of each sample
-            pieces = []
-            for f in clamp_fractions(list(fractions)):
-                of = split_stratified(
-                    named.where(F.col("fraction") == f), "id", test_fraction, seed, ("label",)
-                )
-                of = materialize(of, "split")
-                pieces.append(harness_features(of, scenario, of.where("not is_test")))
-            split = reduce(DataFrame.unionByName, pieces).where("size(features) > 0")
-        parts.append(split.select(*runs, "id", "label", "is_test", "features"))
-    featured = materialize(reduce(DataFrame.unionByName, parts), "sweep")
+            pieces = [
+                harness_features(of, scenario, of.where("not is_test"))
+                for of in (split.where(F.col("fraction") == f) for f in clamp_fractions(fractions))
+            ]
+        parts += [piece.withColumn("scenario", F.lit(scenario)) for piece in pieces]
+    columns = [*runs, "id", "label", "is_test", "features"]
+    featured = reduce(DataFrame.unionByName, [part.select(*columns) for part in parts])
+    featured = keep_nonempty(materialize(featured, "sweep"), "features")
 
     order = Window.partitionBy(*runs).orderBy(F.desc("n"), "label")
     classes = featured.where("not is_test").groupBy(*runs, "label").agg(F.count("*").alias("n"))
@@ -199,15 +194,6 @@ def fraction_sweep(
     return reduce(DataFrame.unionByName, out)
 
 
-def _nonempty_split(
-    featured: DataFrame, runs: tuple[str, ...], test_fraction: float, seed: int
-) -> DataFrame:
-    rows = materialize(featured, "featured")
-    return split_stratified(rows, "id", test_fraction, seed, (*runs, "label")).where(
-        "size(features) > 0"
-    )
-
-
 def best_config(results: DataFrame, keys: list[str]) -> DataFrame:
     """The most accurate configuration; ties by the configuration keys."""
     return results.orderBy(F.desc("accuracy"), *keys).limit(1)
