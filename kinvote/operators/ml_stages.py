@@ -159,6 +159,11 @@ def featurise_pipeline(
     return Pipeline(stages=stages)
 
 
+def without_attributes(vector: str) -> Column:
+    """The vector column without its per-entry attribute metadata."""
+    return F.col(vector).alias(vector, metadata={})
+
+
 def vector_nonzeros(vector: Column) -> Column:
     """Number of non-zero entries, read from the vector's own fields (no UDF)."""
     raw = F.unwrap_udt(vector)

@@ -55,8 +55,9 @@ def presence_indices(
 
 def assemble(blocks: list[tuple[Column, int]]) -> Column:
     """Concatenate index arrays; each block's indices move up by the widths before it."""
-    parts, offset = [], 0
-    for indices, width in blocks:
-        parts.append(F.transform(indices, lambda i, o=offset: i + F.lit(o)))
-        offset += width
-    return F.concat(*parts)
+
+    def moved(indices: Column, offset: int) -> Column:
+        return F.transform(indices, lambda i: i + F.lit(offset))
+
+    widths = [width for _, width in blocks]
+    return F.concat(*[moved(ix, sum(widths[:n])) for n, (ix, _) in enumerate(blocks)])

@@ -251,7 +251,7 @@ def sink_results(spark, sf_dir):
     cells = materialize(_unigram_cells(spark, sf_dir), "cells")
     writers.write_results(cells, path, ["num_hash_tables", "k"], ["scenario"])
     schema = StructType([f for f in cells.schema.fields if f.name != "scenario"])
-    return spark.read.schema(schema.add("scenario", "int")).option("header", True).csv(path)
+    return spark.read.schema(schema.add("scenario", IntegerType())).option("header", True).csv(path)
 
 
 def _signed(spark, sf_dir) -> DataFrame:
@@ -325,7 +325,9 @@ def project_features(spark, sf_dir):
         cleaning.clean_letters(F.col("text")).alias("text_clean"),
     )
     out = ml_stages.featurise_pipeline().fit(rows).transform(rows)
-    return out.select("row_id", "label", ml_stages.vector_nonzeros(F.col("features")).alias("n_features"))
+    plain = out.select("row_id", "label", ml_stages.without_attributes("features"))
+    count = ml_stages.vector_nonzeros(F.col("features")).cast("bigint")
+    return plain.select("row_id", "label", count.alias("n_features"))
 
 
 @query
@@ -481,8 +483,9 @@ def _vector_query(spark, sf_dir, pipeline, cleaner) -> DataFrame:
         "id", F.col("quality").alias("label"), cleaner(F.col("text")).alias("text_clean")
     )
     out = pipeline.fit(rows).transform(rows)
+    plain = out.select("id", "label", ml_stages.without_attributes("features"))
     indices = ml_stages.vector_indices(F.col("features"))
-    return out.select("id", "label", joined(indices, ",", "indices"))
+    return plain.select("id", "label", joined(indices, ",", "indices"))
 
 
 @query
