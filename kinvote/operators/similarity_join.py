@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.literals import filter_tokens, is_word, word_array
-from ..session import materialize
+from ..session import materialize, spread
 
 HOT_WORDS = 8
 HOT_LIMIT = HOT_WORDS * 64
@@ -96,7 +96,9 @@ def _sizes_allow(threshold: float) -> str:
 def _cold_pairs(test: DataFrame, train: DataFrame, threshold: float) -> DataFrame:
     """One row per shared cold token, with the pair's hot overlap."""
     a = _side(test, "a", "explode(cold) as token")
-    b = _side(train, "b", "explode(cold) as token")
+    # exploded rows outgrow any estimate from file sizes, so never a broadcast; a merge
+    # join spills and is split by adaptive execution where a key is skewed
+    b = _side(train, "b", "explode(cold) as token").hint("merge")
     return (
         a.join(b, "token")
         .where(_sizes_allow(threshold))
@@ -142,7 +144,7 @@ def _hot_pairs(
         return f"case when {bit} < 0 then {bits} when {bit} >= 64 then 0L else {bits} & {mask} end as a_m{w}"
 
     a = prefix(test, "a").selectExpr("*", *[rarer(w) for w in range(HOT_WORDS)])
-    b = prefix(train, "b")
+    b = prefix(train, "b").hint("merge")
     shared_rarer = " | ".join(f"(a_m{w} & b_h{w})" for w in range(HOT_WORDS))
     # overlap / union > similarity, multiplied out and a little wide; _score is exact
     near = f"{_HOT_OVERLAP} * (1 + {similarity}) > (a_size + b_size) * {similarity} - 1e-6"
@@ -172,7 +174,7 @@ def _score(pairs: DataFrame, threshold: float) -> DataFrame:
 
 def _prepare(rows: DataFrame, min_rows: int) -> tuple[DataFrame, DataFrame, list[tuple[str, int]]]:
     hot = _hot_tokens(rows, min_rows)
-    encoded = materialize(_encode(rows, [t for t, _ in hot]), "encoded")
+    encoded = materialize(_encode(spread(rows), [t for t, _ in hot]), "encoded")
     return encoded.where("is_test"), encoded.where("not is_test"), hot
 
 

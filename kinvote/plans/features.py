@@ -38,8 +38,9 @@ def engine_features(rows: DataFrame, scenario: int) -> DataFrame:
         2: F.array_distinct(ngrams(F.col("tokens"), 2)),
     }
     if scenario in blocks:
-        out = rows.select(*keys, blocks[scenario].alias("features"))
-        return keep_nonempty(materialize(out, "features"), "features")
+        # enough tokens for one feature; cheaper than testing the features themselves
+        filled = rows.where(F.size("tokens") >= scenario)
+        return filled.select(*keys, blocks[scenario].alias("features"))
 
     rows = materialize(with_frequent_patterns(rows, rows.where("not is_test")), "patterns")
     vocabulary = materialize(
