@@ -21,41 +21,50 @@ def row_key(df: DataFrame, text_col: str = "text", name: str = "row_id") -> Data
 
 
 def with_rank_cut(
-    df: DataFrame, quota: DataFrame, key: str, by: list[str], seed: int = SEED
+    df: DataFrame, size: Column, key: str, by: list[str], seed: int = SEED
 ) -> DataFrame:
-    """Flag (``chosen``) the first ``quota`` rows of each group in the stable random order.
+    """Flag (``chosen``) the first ``size`` rows of each group in the stable random order.
 
-    ``quota`` has the group columns and ``n``; groups are classes (of a run), so it and the
-    cut table made from it have a handful of rows. A group may be most of the table, hence
-    no group is ranked whole: counts per (group, hash bucket), at most 65,536 a group, give
-    the bucket in which the cut falls. Rows of earlier buckets are chosen as they are read;
-    only rows of the cut bucket, 1/65,536 of the group, are ranked.
+    ``size`` may use ``__total``, the rows of the group. Groups are classes (of a run), a
+    handful, and each may be most of the table, so no group is ranked or sorted whole:
+
+    1. counts per (group, hash bucket), at most 65,536 a group, give the bucket in which
+       the cut falls;
+    2. the rows of that bucket alone, 1/65,536 of the group, are ranked to find the last
+       chosen one;
+    3. every row is compared with that one as it is read, without a shuffle.
+
+    The broadcast tables have one row per group.
     """
     order, bucket = F.col("__order"), F.col("__bucket")
     ordered = df.withColumn("__order", seeded_hash(F.col(key), seed)).withColumn(
         "__bucket", F.substring(order, 1, _BUCKET_DIGITS)
     )
-    running = Window.partitionBy(*by).orderBy("__bucket")
+    whole = Window.partitionBy(*by)
+    running = whole.orderBy("__bucket")
     cuts = (
         ordered.groupBy(*by, "__bucket")
         .agg(F.count("*").alias("__rows"))
+        .withColumn("__total", F.sum("__rows").over(whole))
         .withColumn("__upto", F.sum("__rows").over(running))
-        .join(F.broadcast(quota), by)
-        .withColumn("__room", F.col("n") - F.col("__upto") + F.col("__rows"))
+        .withColumn("__room", size - F.col("__upto") + F.col("__rows"))
         .where((F.col("__room") > 0) & (F.col("__room") <= F.col("__rows")))
         .select(*by, bucket.alias("__cut"), "__room")
     )
-    placed = ordered.join(F.broadcast(cuts), by, "left")
-    in_cut = F.coalesce(bucket == F.col("__cut"), F.lit(False))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(order, key))
-    ranked = placed.where(in_cut).withColumn("chosen", rank <= F.col("__room"))
-    before = F.coalesce(bucket < F.col("__cut"), F.lit(False))
-    rest = placed.where(~in_cut).withColumn("chosen", before)
-    return ranked.unionByName(rest).select(*df.columns, "chosen")
-
-
-def _quota(df: DataFrame, by: list[str], n: Column) -> DataFrame:
-    return df.groupBy(*by).agg(F.count("*").alias("__total")).select(*by, n.alias("n"))
+    rank = F.row_number().over(whole.orderBy(order, key))
+    last = (
+        ordered.join(F.broadcast(cuts), by)
+        .where(bucket == F.col("__cut"))
+        .withColumn("__rank", rank)
+        .where(F.col("__rank") == F.col("__room"))
+        .select(*by, F.struct(order, F.col(key).alias("k")).alias("__last"))
+    )
+    chosen = F.struct(order, F.col(key).alias("k")) <= F.col("__last")
+    return (
+        ordered.join(F.broadcast(last), by, "left")
+        .withColumn("chosen", F.coalesce(chosen, F.lit(False)))
+        .select(*df.columns, "chosen")
+    )
 
 
 def sample_balanced(
@@ -64,8 +73,8 @@ def sample_balanced(
     """``per_class`` rows of every class (all, where it has fewer); 0 or less keeps all."""
     if per_class <= 0:
         return df
-    quota = _quota(df, [label], F.least(F.lit(per_class).cast("bigint"), F.col("__total")))
-    return with_rank_cut(df, quota, key, [label], seed).where("chosen").drop("chosen")
+    size = F.least(F.lit(per_class).cast("bigint"), F.col("__total"))
+    return with_rank_cut(df, size, key, [label], seed).where("chosen").drop("chosen")
 
 
 def sample_fractions(df: DataFrame, per_class: int, label: str = "label") -> DataFrame:
@@ -80,8 +89,8 @@ def sample_uniform(df: DataFrame, n: int, key: str = "id", seed: int = SEED) ->
     if n <= 0:
         return df
     one = df.withColumn("__one", F.lit(1))
-    quota = _quota(one, ["__one"], F.least(F.lit(n).cast("bigint"), F.col("__total")))
-    chosen = with_rank_cut(one, quota, key, ["__one"], seed).where("chosen")
+    size = F.least(F.lit(n).cast("bigint"), F.col("__total"))
+    chosen = with_rank_cut(one, size, key, ["__one"], seed).where("chosen")
     return chosen.drop("chosen", "__one")
 
 
@@ -103,8 +112,7 @@ def split_stratified(
 ) -> DataFrame:
     """Add ``is_test``: ``round(fraction * rows)`` rows of every class."""
     size = F.floor(F.col("__total") * F.lit(fraction) + F.lit(0.5)).cast("bigint")
-    quota = _quota(df, list(by), size)
-    return with_rank_cut(df, quota, key, list(by), seed).withColumnRenamed("chosen", "is_test")
+    return with_rank_cut(df, size, key, list(by), seed).withColumnRenamed("chosen", "is_test")
 
 
 def dedupe(df: DataFrame, text_col: str, key: str = "id") -> DataFrame:

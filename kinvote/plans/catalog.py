@@ -43,19 +43,17 @@ def documents(spark, sf_dir) -> DataFrame:
 
 def labelled(spark, sf_dir, keep_unlabelled: bool = False) -> DataFrame:
     """``id, text, quality, raw_label, word_label`` of the labelled documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     marks = table(spark, sf_dir, "labels")
     joined = docs.join(marks, "doc_id", "left" if keep_unlabelled else "inner")
     raw = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 4).when(F.col("quality") == 0, 2)
     word = F.when(raw == 0, "Negative").when(raw == 2, "neutral").when(raw == 4, "POSITIVE")
-    return spread(
-        joined.select(
-            F.col("doc_id").alias("id"),
-            "text",
-            "quality",
-            raw.cast("int").alias("raw_label"),
-            word.alias("word_label"),
-        )
+    return joined.select(
+        F.col("doc_id").alias("id"),
+        "text",
+        "quality",
+        raw.cast("int").alias("raw_label"),
+        word.alias("word_label"),
     )
 
 
@@ -254,23 +252,11 @@ def sink_results(spark, sf_dir):
     return spark.read.schema(schema.add("scenario", IntegerType())).option("header", True).csv(path)
 
 
-def _signed(spark, sf_dir) -> DataFrame:
-    return forest.with_signature(
-        labels.keep_nonempty(
-            materialize(
-                harness_rows(spark, sf_dir).select("id", "label", F.col("tokens").alias("features")),
-                "signed_in",
-            ),
-            "features",
-        ),
-        SIGNATURE_HASHES,
-    )
-
-
 @query
 def sink_signature_sample(spark, sf_dir):
     path = scratch_path(spark, "signatures")
-    writers.write_signature_sample(_signed(spark, sf_dir), 3, path)
+    rows = harness_rows(spark, sf_dir).withColumnRenamed("tokens", "features")
+    writers.write_signature_sample(rows, 3, SIGNATURE_HASHES, path)
     schema = StructType.fromDDL("key bigint, tokens array<string>, signature array<int>, label int")
     back = spark.read.schema(schema).json(path)
     return back.select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators.forest import first_agreement, forest_topk, with_overlap, with_signature
-from ..operators.labels import keep_nonempty, majority_label
+from ..operators.labels import count_per_class, keep_nonempty
 from ..operators.sampling import clamp_fractions, sample_uniform, split_stratified
 from ..operators.similarity_join import rank_neighbors, threshold_pairs, topk_pairs
 from ..operators.votes import at_each_k, evaluate, for_each_k
@@ -20,10 +20,14 @@ RESULT_KEYS = ["use_neutral", "scenario", "num_hash_tables", "k"]
 
 
 def fallback_and_size(rows: DataFrame) -> tuple[int | None, int]:
-    """Majority class of the training rows and their number (one row reaches the driver)."""
-    train = rows.where("not is_test")
-    top = majority_label(train).first()
-    return (None, 0) if top is None else (top["majority_label"], train.count())
+    """Majority class of the training rows (the smaller wins a tie) and their number.
+
+    One pass; a row per class reaches the driver.
+    """
+    counts = [(r["n_rows"], r["label"]) for r in count_per_class(rows.where("not is_test")).collect()]
+    if not counts:
+        return None, 0
+    return min(counts, key=lambda c: (-c[0], c[1]))[1], sum(n for n, _ in counts)
 
 
 def _tests(rows: DataFrame) -> DataFrame:

@@ -42,8 +42,12 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the scratch folder that nothing else uses."""
-    return os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A path that nothing else uses, below one folder per application.
+
+    Tables stay until that folder is dropped: a returned DataFrame may still read them.
+    """
+    run = f"kinvote-{spark.sparkContext.applicationId}"
+    return os.path.join(scratch_dir(spark), run, f"{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -61,7 +65,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan with fewer partitions than cores one partition per core.
 
-    Only small inputs (a single file) are shuffled; a large scan has splits enough.
+    For scans of files only, whose partitions are known without running anything. Only
+    small inputs (a single file) are shuffled; a large scan has splits enough.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
