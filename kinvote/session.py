@@ -29,16 +29,24 @@ def build_session(app_name: str = "kinvote", master: str | None = None, **conf)
     return builder.getOrCreate()
 
 
+_local_roots: dict[str, str] = {}  # application id -> folder, where the session names none
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (local runs, tests) a folder of our own is set.
+    Only a local session that names none (tests) gets a temporary folder of its own; on a
+    cluster a folder of one machine would be out of the other machines' reach.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="kinvote-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if context.applicationId not in _local_roots:
+        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="kinvote-")
+    return _local_roots[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
