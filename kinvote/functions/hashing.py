@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import SEED
 
+# the UDFs travel with their helpers: executors need numpy and pyarrow, not this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PRIME = (1 << 31) - 1  # Mersenne prime: a remainder is two shifts and adds
 _CHUNK_VALUES = 1 << 14  # working set of a chunk stays in the CPU cache
 
