@@ -112,7 +112,7 @@ def _six_column_csv(spark, sf_dir, label) -> str:
     return path
 
 
-def _four_column_csv(spark, sf_dir, toxic_label=None) -> str:
+def _four_column_csv(spark, sf_dir) -> str:
     path = scratch_path(spark, "four_columns")
     selected = F.when(F.col("raw_label") != 2, F.substring("text", 1, 20))
     rows = labelled(spark, sf_dir).select(
@@ -323,7 +323,7 @@ def drop_null_subset(spark, sf_dir):
 
 @query
 def filter_nonempty_features(spark, sf_dir):
-    # words outside the custom list can be missing altogether in very short texts
+    # trigrams: texts of fewer than three tokens have none
     rows = document_tokens(spark, sf_dir).select("id", tokens.ngrams(F.col("tokens"), 3).alias("features"))
     return labels.keep_nonempty(materialize(rows, "grams"), "features").select(
         "id", F.size("features").cast("bigint").alias("n_features")
