@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,28 @@ def build_session(app_name: str = "kinvote", master: str | None = None, **conf)
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+_shipped: set[str] = set()  # applications that have the package
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give the executors this package, so that functions that run there can import it.
+
+    Once an application. Spark's own file server hands the archive out; the local copy is
+    what the driver serves and nothing reads it elsewhere.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="kinvote-")) / "kinvote.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped.add(context.applicationId)
+    return spark
 
 
 _local_roots: dict[str, str] = {}  # application id -> folder, where the session names none
