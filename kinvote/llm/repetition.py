@@ -11,7 +11,7 @@ repetition covers. A text is rejected if repetition of ``min_words`` or more cov
 ``max_covered`` of its words, or if its longest repeat has more than ``max_repeat`` words.
 
 Many texts are handled at once, with each text's words numbered apart, so no repeat crosses
-texts. Memory is bounded by a slice of 8 MB of text, or by one longer text.
+texts. Memory is bounded by a slice of 2 MB of text, or by one longer text.
 
 Edge cases: null and empty texts have no words, fail the base rules and are rejected; null
 ids and repeated rows get a row each; ties in the array (equal rests of a text) cannot occur
