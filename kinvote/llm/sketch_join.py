@@ -26,10 +26,10 @@ more comparisons, as only components are asked for. Every candidate is verified
 shingle sets. Hashes have 64 bits (sets are compared by 128).
 
 Edge cases: null and empty texts have size 0 and link with nothing; a text of fewer than ``n``
-words has one shingle; rows with equal ids are told apart by their texts; the component is the
-smallest id reached, and null ids are reached by no one: a row with a null id takes part in no
-link and its component is null; an empty table gives an empty result; further columns are left
-alone.
+words has one shingle; rows that share an id are one node, linked to what any of their texts links
+to (a row without shingles stays with its own id); the component is the smallest id reached, and
+null ids are reached by no one: a row with a null id takes part in no link and its component is
+null; an empty table gives an empty result; further columns are left alone.
 """
 
 from __future__ import annotations
@@ -66,10 +66,16 @@ def group_difference(ends: np.ndarray, percent: int) -> np.ndarray:
     return 2 * largest * (100 - percent) // (100 + percent)
 
 
-def pieces_of(difference: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pieces, spare) for a largest symmetric difference."""
-    spare = 1 + difference // 20
-    return difference + 1 + spare, spare
+def pieces_of(ends: np.ndarray, difference: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, spare) of each group: ``spare`` is a little above the empty pieces to expect.
+
+    The smallest guests have the fewest shingles a piece, so the most empty pieces.
+    """
+    least = np.concatenate([ends[:1], ends[:-1]])
+    needed = difference + 1
+    empty = needed * np.exp(-least / needed)
+    spare = 1 + np.ceil(1.25 * empty + 2 * np.sqrt(empty)).astype(np.int64)
+    return needed + spare, spare
 
 
 def _xor_pieces(values: np.ndarray, bounds: np.ndarray, count: np.ndarray):
@@ -101,6 +107,7 @@ def _keys(values: np.ndarray, bounds: np.ndarray, percent: int):
     """
     ends = bands(percent)
     difference = group_difference(ends, percent)
+    group_pieces, group_spare = pieces_of(ends, difference)
     sizes = np.diff(bounds)
     band = np.searchsorted(ends, sizes, "right") - 1
     out = []
@@ -115,7 +122,7 @@ def _keys(values: np.ndarray, bounds: np.ndarray, percent: int):
                 held = mix(held ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64))
                 for a, b in zip(limits[:-1], limits[1:]):
                     held[a:b].sort()
-            pieces, spare = pieces_of(difference[group[some]])
+            pieces, spare = group_pieces[group[some]], group_spare[group[some]]
             which, piece, xor = _xor_pieces(held, limits, pieces)
             filled = np.bincount(which, minlength=len(some))
             again = pieces - filled > spare
@@ -197,6 +204,54 @@ def piece_keys(docs: DataFrame, key: str, text: str, n: int, percent: int) -> Da
     return slim.mapInArrow(run, f"key bigint, id {kind}, native boolean")
 
 
+def shared_keys(entries: DataFrame) -> DataFrame:
+    """(key, id, native, hub) of the keys that several ids have and a native among them.
+
+    One shuffle by key, sorted; the rows of a key then pass by one at a time, so no group is
+    held however large it is. The hub is the key's smallest native, its first row.
+    """
+    kind = entries.schema["id"].dataType.simpleString()
+    ordered = entries.repartition("key").sortWithinPartitions("key", F.desc("native"), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = hub = None  # of the last row; hub also of its group
+        hub_native = told = False  # whether the hub's own row has been given
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, native = np.asarray(batch.column("key")), np.asarray(batch.column("native").to_numpy(zero_copy_only=False))
+            ids = np.asarray(batch.column("id"))
+            begins = np.ones(len(keys), bool)
+            begins[1:] = keys[1:] != keys[:-1]
+            begins[0] = key is None or keys[0] != key
+            first = np.maximum.accumulate(np.where(begins, np.arange(len(keys)), -1))
+            hubs = np.where(first >= 0, ids[np.maximum(first, 0)], ids[0] if hub is None else hub)
+            led = np.where(first >= 0, native[np.maximum(first, 0)], hub_native)
+            member = led & ~begins & (ids != hubs)
+            at = np.flatnonzero(member)
+            # the hub's row goes before the first other member of its group
+            group = np.cumsum(begins)
+            opens = np.ones(len(at), bool)
+            opens[1:] = group[at[1:]] != group[at[:-1]]
+            if len(at) and group[at[0]] == 0 and told:
+                opens[0] = False
+            heads = at[opens]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([keys[at], keys[heads]])),
+                    pa.array(np.concatenate([ids[at], hubs[heads]])),
+                    pa.array(np.concatenate([native[at], np.ones(len(heads), bool)])),
+                    pa.array(np.concatenate([hubs[at], hubs[heads]])),
+                ],
+                ["key", "id", "native", "hub"],
+            )
+            last_told = bool(len(at)) and group[at[-1]] == group[-1]
+            told = last_told or (told and group[-1] == 0)
+            key, hub, hub_native = keys[-1], hubs[-1], bool(led[-1])
+
+    return ordered.mapInArrow(run, f"key bigint, id {kind}, native boolean, hub {kind}")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts' sets link. Only texts of rows in pairs are shuffled."""
     involved = pairs.select(F.col("a").alias("_id")).union(pairs.select("b"))
@@ -249,16 +304,22 @@ def jaccard_components(
         F.min("_key").alias("rep"), F.first("bits").alias("bits")
     )
     same = materialize(same, "sketch-classes")
+    rows = sets.select("_key", "size", "high", "low").join(same.drop("bits"), ["size", "high", "low"], "left")
+    rows = materialize(rows.select("_key", "size", "rep"), "sketch-rows")
+    # ids that several sets have tie those sets' classes
+    several = rows.filter("rep IS NOT NULL AND _key IS NOT NULL").groupBy("_key").agg(
+        F.min("rep").alias("a"), F.max("rep").alias("most")
+    ).filter("a <> most").select("_key", "a")
+    shared_ids = materialize(
+        rows.join(several, "_key").select("a", F.col("rep").alias("b")).filter("a <> b").distinct(), "sketch-shared-ids"
+    )
     classes = same.select(F.col("rep").alias("id"), "size", "bits")
     entries = piece_keys(docs, key, text, n, percent)
-    shared = entries.groupBy("key").agg(
-        F.min(F.when(F.col("native"), F.col("id"))).alias("hub"), F.min("id").alias("least"), F.max("id").alias("most")
-    ).filter("hub IS NOT NULL AND least <> most")
-    members = entries.join(shared.select("key", "hub"), "key").join(classes.select("id"), "id", "left_semi")
+    members = shared_keys(entries).join(classes.select("id"), "id", "left_semi")
     members = materialize(members.select("key", "id", "native", "hub"), "sketch-members")
     star = members.filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
     star = materialize(star.distinct(), "sketch-stars")
-    links = materialize(verified(star, docs, key, text, n, percent), "sketch-links")
+    links = materialize(verified(star, docs, key, text, n, percent), "sketch-links").unionByName(shared_ids)
     tied = components(links)
     # keys whose members the stars have left apart
     placed = members.join(tied.withColumnRenamed("node", "id"), "id", "left").select(
@@ -286,11 +347,8 @@ def jaccard_components(
     rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "sketch-rest")
     more = materialize(verified(rest, docs, key, text, n, percent), "sketch-links")
     tied = components(links.unionByName(more))
-    named = same.join(tied.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "size", "high", "low", "rep", F.coalesce("component", "rep").alias("component")
-    )
-    found = sets.join(named, ["size", "high", "low"], "left")
-    component = F.when(F.col("_key").isNotNull(), F.coalesce("component", "_key"))
+    found = rows.join(tied.withColumnRenamed("node", "rep"), "rep", "left")
+    component = F.when(F.col("_key").isNotNull(), F.coalesce("component", "rep", "_key"))
     return found.select(
         F.col("_key").alias(key),
         F.col("size").alias("n_shingles"),
