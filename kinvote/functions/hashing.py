@@ -3,19 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import SEED
 
-# the UDFs travel with their helpers: executors need numpy and pyarrow, not this package
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 PRIME = (1 << 31) - 1  # Mersenne prime: a remainder is two shifts and adds
 _CHUNK_VALUES = 1 << 14  # working set of a chunk stays in the CPU cache
 
@@ -134,6 +129,39 @@ def prefix_keys_udf(trees: int):
     return prefix_keys
 
 
+def deepest_udf(k: int):
+    """The ``k`` deepest of a row's matches, ties by id.
+
+    Takes a list of (depth, ids) per row, gives (id, depth) in rank order. An id counts with
+    its greatest depth.
+    """
+
+    @F.arrow_udf("array<struct<train_id: bigint, depth: int>>")
+    def deepest(matches: pa.Array) -> pa.Array:
+        bounds = np.concatenate([[0], np.cumsum(_sizes(matches))])
+        flat = matches.flatten()
+        depths, lists = (flat.field(n) for n in ("d", "train_ids"))
+        counts = _sizes(lists)
+        ids = np.asarray(lists.flatten(), dtype=np.int64)
+        depth = np.repeat(np.asarray(depths, dtype=np.int32), counts)
+        at = np.concatenate([[0], np.cumsum(counts)])[bounds]
+        rows = []
+        for a, b in zip(at[:-1], at[1:]):
+            order = a + np.lexsort((-depth[a:b], ids[a:b]))
+            _, first = np.unique(ids[order], return_index=True)
+            best = order[first]
+            rows.append(best[np.lexsort((ids[best], -depth[best]))[:k]])
+        sizes = np.array([len(r) for r in rows], dtype=np.int64)
+        chosen = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        pairs = pa.StructArray.from_arrays(
+            [pa.array(ids[chosen]), pa.array(depth[chosen], pa.int32())], ["train_id", "depth"]
+        )
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pairs)
+
+    return deepest
+
+
 def _mix(v: np.ndarray) -> np.ndarray:
     """64-bit finaliser: spreads each input bit over the whole word."""
     v = v + np.uint64(0x9E3779B97F4A7C15)

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,13 +74,50 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_roots[context.applicationId]
 
 
+_owners: list[list[str]] = []  # open scopes, innermost last: the folders made in each
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Everything written to scratch inside is deleted on leaving.
+
+    For results that are complete by then (collected, or written elsewhere). Tables made
+    outside any scope stay until ``release_scratch``, as a returned DataFrame may read them.
+    """
+    made: list[str] = []
+    _owners.append(made)
+    try:
+        yield
+    finally:
+        _owners.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application."""
+    _delete(spark, _run_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _run_folder(spark: SparkSession) -> str:
+    return os.path.join(scratch_dir(spark), f"kinvote-{spark.sparkContext.applicationId}")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path that nothing else uses, below one folder per application.
 
-    Tables stay until that folder is dropped: a returned DataFrame may still read them.
+    The innermost open ``scratch_scope`` owns it; else the application does.
     """
-    run = f"kinvote-{spark.sparkContext.applicationId}"
-    return os.path.join(scratch_dir(spark), run, f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(_run_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    if _owners:
+        _owners[-1].append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -91,13 +130,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan with fewer partitions than cores one partition per core.
-
-    For scans of files only, whose partitions are known without running anything. Only
-    small inputs (a single file) are shuffled; a large scan has splits enough.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

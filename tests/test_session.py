@@ -25,9 +25,22 @@ def test_scratch_without_setting():
         session.scratch_dir(stub(None, "yarn"))
 
 
-def test_materialize_and_spread(spark):
+def test_materialize(spark):
     df = session.materialize(spark.range(10).selectExpr("id", "id % 3 as g").coalesce(1), "t")
     assert df.schema.names == ["id", "g"] and df.count() == 10
-    assert session.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 100, 1, 32)
-    assert session.spread(wide) is wide
+
+
+def test_scratch_tables_have_an_owner(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(session, "scratch_dir", lambda _: str(tmp_path))
+    kept = session.materialize(spark.range(3), "kept")
+    with session.scratch_scope(spark):
+        outer = session.materialize(spark.range(4), "outer")
+        with pytest.raises(KeyError), session.scratch_scope(spark):
+            session.materialize(spark.range(5), "inner")
+            raise KeyError
+        assert outer.count() == 4
+        names = sorted(p.name.split("-")[0] for p in tmp_path.glob("*/*"))
+        assert names == ["kept", "outer"]
+    assert kept.count() == 3 and len(list(tmp_path.glob("*/*"))) == 1
+    session.release_scratch(spark)
+    assert not list(tmp_path.iterdir())
