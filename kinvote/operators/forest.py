@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import FOREST_TREES, SEED
-from ..functions.hashing import minhash_signature, prefix_keys_udf
+from ..functions.hashing import deepest_udf, minhash_signature, prefix_keys_udf
 from ..session import materialize
 
 
@@ -20,19 +20,6 @@ def with_signature(rows: DataFrame, num_hashes: int, seed: int = SEED) -> DataFr
     return rows.withColumn("signature", minhash_signature(F.col("features"), num_hashes, seed))
 
 
-def first_agreement(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Add ``first_table``: the first hash table (1-based) in which the pair agrees, or null."""
-    a = signatures.select(F.col("id").alias("test_id"), F.col("signature").alias("__a"))
-    b = signatures.select(F.col("id").alias("train_id"), F.col("signature").alias("__b"))
-    agree = F.array_position(F.zip_with("__a", "__b", lambda x, y: x == y), F.lit(True))
-    return (
-        pairs.join(a, "test_id")
-        .join(b, "train_id")
-        .withColumn("first_table", F.nullif(agree, F.lit(0).cast("bigint")).cast("int"))
-        .drop("__a", "__b")
-    )
-
-
 def forest_topk(
     rows: DataFrame,
     k: int,
@@ -47,35 +34,33 @@ def forest_topk(
     only within a run. Of a bucket only the first k training ids are kept, which loses
     nothing: a row after them has k rows of smaller id that match the same test rows at
     least as deep. The cut runs before the shuffle, so a bucket that holds a third of the
-    rows (copies, near copies) costs no more than any other, and no bucket emits all pairs.
+    rows (copies, near copies) costs no more than any other, and no bucket emits all pairs. A test row gets its buckets' offers as ``num_hashes`` packed lists and picks its
+    k from them in one step, so no row per (test row, offer) is made.
     """
     depth = num_hashes // trees
     keys = prefix_keys_udf(trees)(minhash_signature(F.col("features"), num_hashes, seed))
     keyed = materialize(rows.select(*runs, "id", "is_test", keys.alias("keys")), "forest")
     entries = keyed.select(*runs, "id", "is_test", F.posexplode("keys").alias("slot", "bucket"))
     place = [*runs, "slot", "bucket"]
-    first = F.row_number().over(Window.partitionBy(*place).orderBy("id"))
-    offers = (
-        entries.where("not is_test")
-        .withColumn("n", first)
-        .where(F.col("n") <= k)
-        .groupBy(*place)
-        .agg(F.collect_list("id").alias("train_ids"))
-    )
+    offers = _first_ids(entries.where("not is_test"), place, k)
+    depth_of = (F.col("slot") % depth + 1).cast("int")
     matches = (
         entries.where("is_test")
         .join(offers.hint("merge"), place)  # exploded: estimates from file sizes are too low
-        .select(
-            *runs,
-            F.col("id").alias("test_id"),
-            F.explode("train_ids").alias("train_id"),
-            (F.col("slot") % depth + 1).alias("d"),
-        )
-        .groupBy(*runs, "test_id", "train_id")
-        .agg(F.max("d").alias("depth"))
+        .groupBy(*runs, F.col("id").alias("test_id"))
+        .agg(F.collect_list(F.struct(depth_of.alias("d"), "train_ids")).alias("matches"))
+    )
+    ranked = matches.select(*runs, "test_id", F.posexplode(deepest_udf(k)("matches")).alias("r", "pair"))
+    return ranked.select(
+        *runs, "test_id", "pair.train_id", "pair.depth", (F.col("r") + 1).cast("int").alias("rank")
     )
-    order = Window.partitionBy(*runs, "test_id").orderBy(F.desc("depth"), "train_id")
-    return matches.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _first_ids(entries: DataFrame, place: list[str], k: int) -> DataFrame:
+    """The ``k`` smallest ids of each bucket as one list (cut before the shuffle)."""
+    first = F.row_number().over(Window.partitionBy(*place).orderBy("id"))
+    kept = entries.withColumn("n", first).where(F.col("n") <= k)
+    return kept.groupBy(*place).agg(F.collect_list("id").alias("train_ids"))
 
 
 def with_overlap(pairs: DataFrame, rows: DataFrame, runs: tuple[str, ...] = ()) -> DataFrame:

@@ -1,217 +1,186 @@
-"""Exact Jaccard joins of test rows with training rows over token sets.
-
-Input of every function here is one table ``id, label, features, is_test`` with distinct,
-non-empty ``features``; it should be a written table, since it is read several times.
-
-How the join avoids the quadratic groups of frequent tokens
------------------------------------------------------------
-* The most frequent tokens (at most 512, from a counted top list) are *hot*. They never
-  enter the counting join; each row holds them as a bitmap of eight words.
-* *Cold pass*: equi-join on the remaining, rarer tokens. Rows of a pair are counted, and
-  the hot part of the overlap is a population count of two bitmaps, so the score is exact.
-* *Hot pass*: pairs that share hot tokens only. Joined on the rarer hot tokens of each row
-  (prefix filter), in blocks of bounded size, with the exact score inside the join
-  condition: only pairs below the threshold leave the join, each pair once.
-* Top-k only: equal feature sets keep their first k rows, rows equal in (bitmap, size)
-  keep their first k in the hot pass. Both are lossless, see :func:`topk_pairs`.
-"""
+"""Jaccard joins of test rows with training rows over token sets, in blocks.
 
-from __future__ import annotations
+Input is one table ``id, label, features, is_test`` with distinct, non-empty ``features``; it
+should be a written table, since it is read several times.
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+Test rows are the queries and training rows the data. Both are dealt to blocks by a hash of
+their id, and every (test block, training block) is one group of a co-group: some thousand rows
+of either side, whatever the tokens are. Inside a group the training rows' tokens are an
+inverted index, and each test row's overlaps with all training rows are counted from it in
+one go. Only pairs below the threshold, or each test row's first ``k`` of the block, leave the
+task, once each. So a token that all rows have costs a task no more than its block has rows,
+copies need no special care, and nothing is emitted that the result does not need.
 
-from ..functions.literals import filter_tokens, is_word, word_array
-from ..session import materialize, spread
+A test row is copied once for each training block and the other way round: with n test and m
+training rows the shuffle has ``n * m / TRAIN_ROWS + m * n / TEST_ROWS`` rows and the work is n * m
+set comparisons at worst. That is what exact neighbours of arbitrary sets cost; for whole
+corpora use ``lsh_join`` or ``forest``, which find candidates by hash.
 
-HOT_WORDS = 8
-HOT_LIMIT = HOT_WORDS * 64
-HOT_MIN_ROWS = 64  # below this many rows a token is never hot
-BLOCK_ROWS = 20000  # training (and test) rows per block of a hot token
-_BITMAP = [f"h{w}" for w in range(HOT_WORDS)]
+Tokens are compared by a 64-bit hash.
+"""
 
+from __future__ import annotations
 
-def jaccard_distance(overlap: Column, size_a: Column, size_b: Column) -> Column:
-    """One integer divided by another, so that equal ratios are equal doubles."""
-    union = size_a + size_b - overlap
-    return (union - overlap) / union
+from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-def _hot_tokens(rows: DataFrame, min_rows: int) -> list[tuple[str, int]]:
-    """The most frequent tokens, most frequent first (at most ``HOT_LIMIT`` reach the driver)."""
-    counts = (
-        rows.select(F.explode("features").alias("token"))
-        .groupBy("token")
-        .agg(F.count("*").alias("n_rows"))
-        .where(F.col("n_rows") > min_rows)
-        .orderBy(F.desc("n_rows"), "token")
-        .limit(HOT_LIMIT)
-    )
-    return [(r["token"], r["n_rows"]) for r in counts.collect()]
+TEST_ROWS = 1024  # rows of a block
+TRAIN_ROWS = 8192
+LEAST_ROWS = 64  # blocks of small tables are cut to give every core one, not below this
 
+PAIRS = (
+    "test_id bigint, test_label int, train_id bigint, train_label int, distance double, "
+    "overlap bigint, union_size bigint"
+)
 
-def _encode(rows: DataFrame, hot: list[str]) -> DataFrame:
-    """``id, label, is_test, size, h0..h7, hot, cold`` of every row.
 
-    ``hot`` are the row's positions in the list of hot tokens, most frequent first.
-    """
-    if hot:
-        table = word_array(hot)
-        positions = F.transform(
-            filter_tokens(F.col("features"), is_word(hot)), lambda t: F.array_position(table, t)
-        )
-        cold = filter_tokens(F.col("features"), f"not {is_word(hot)}")
-    else:
-        positions, cold = F.expr("cast(array() as array<bigint>)"), F.col("features")
-    word = "aggregate(hot, 0L, (w, p) -> if(p div 64 = {w}, w | shiftleft(1L, int(p % 64)), w)) as h{w}"
-    return (
-        rows.select("id", "label", "is_test", "features", positions.alias("hot"), cold.alias("cold"))
-        .selectExpr(
-            "id",
-            "label",
-            "is_test",
-            "size(features) as size",
-            "sort_array(transform(hot, p -> int(p) - 1)) as hot",
-            "cold",
-        )
-        .selectExpr("*", *[word.format(w=w) for w in range(HOT_WORDS)])
-    )
+def _blocks(rows: int, most: int, wanted: int) -> int:
+    return max(1, -(-rows // most), min(wanted, rows // LEAST_ROWS))
 
 
-def _side(rows: DataFrame, prefix: str, *extra: str) -> DataFrame:
-    """Join columns of one side, prefixed."""
-    names = ["id", "size", *_BITMAP]
-    return rows.selectExpr(*[f"{n} as {prefix}_{n}" for n in names], *extra)
+def _block_counts(rows: DataFrame) -> tuple[int, int]:
+    """Numbers of test and training blocks, from the numbers of rows."""
+    found = rows.agg(
+        F.count(F.when(F.col("is_test"), 1)).alias("test"), F.count(F.when(~F.col("is_test"), 1)).alias("train")
+    ).first()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    train = _blocks(found["train"], TRAIN_ROWS, 1)
+    return _blocks(found["test"], TEST_ROWS, -(-cores // train)), train
 
 
-_HOT_OVERLAP = "(" + " + ".join(f"bit_count(a_{h} & b_{h})" for h in _BITMAP) + ")"
+def _block(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
-def _sizes_allow(threshold: float) -> str:
-    """Necessary for ``distance < threshold`` (a little wide, never too narrow)."""
-    bound = 1.0 - threshold - 1e-9
-    return f"least(a_size, b_size) > greatest(a_size, b_size) * double('{bound!r}')"
+def _dealt(rows: DataFrame, blocks: tuple[int, int], *extra: str) -> DataFrame:
+    """Every row in each group that it takes part in: ``tb, rb, id, label, is_test, t, ...``."""
+    tests, trains = blocks
+    every = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    own_test, own_train = F.array(_block("id", tests)), F.array(_block("id", trains))
+    hashed = F.transform("features", lambda t: F.xxhash64(t))
+    side = rows.select("id", F.col("label").cast("int").alias("label"), "is_test", hashed.alias("t"), *extra)
+    test = side.where("is_test").withColumn("tb", F.explode(own_test)).withColumn("rb", F.explode(every(trains)))
+    train = side.where("not is_test").withColumn("rb", F.explode(own_train)).withColumn("tb", F.explode(every(tests)))
+    return test.unionByName(train)
 
 
-def _cold_pairs(test: DataFrame, train: DataFrame, threshold: float) -> DataFrame:
-    """One row per shared cold token, with the pair's hot overlap."""
-    a = _side(test, "a", "explode(cold) as token")
-    # exploded rows outgrow any estimate from file sizes, so never a broadcast; a merge
-    # join spills and is split by adaptive execution where a key is skewed
-    b = _side(train, "b", "explode(cold) as token").hint("merge")
-    return (
-        a.join(b, "token")
-        .where(_sizes_allow(threshold))
-        .selectExpr("a_id", "b_id", "a_size", "b_size", f"{_HOT_OVERLAP} as hot", "1 as cold")
-    )
+def _numpy(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().to_numpy(zero_copy_only=False)
 
 
-def _first_per_bitmap(train: DataFrame, k: int) -> DataFrame:
-    same = Window.partitionBy("size", *_BITMAP).orderBy("id")
-    return train.withColumn("__n", F.row_number().over(same)).where(F.col("__n") <= k).drop("__n")
+class _Side:
+    """Ids, labels and token sets of one side of a group."""
 
+    def __init__(self, rows: pa.Table):
+        self.id, self.label = _numpy(rows["id"]), _numpy(rows["label"])
+        lists = rows["t"].combine_chunks()
+        self.size = np.asarray(lists.value_lengths(), dtype=np.int64)
+        self.tokens = np.asarray(lists.flatten(), dtype=np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        self.signature = None
+        if "signature" in rows.column_names and len(self.id):
+            self.signature = np.asarray(rows["signature"].combine_chunks().flatten()).reshape(len(self.id), -1)
 
-def _hot_pairs(
-    test: DataFrame, train: DataFrame, hot: list[tuple[str, int]], threshold: float
-) -> DataFrame:
-    """Pairs whose hot tokens alone bring them below the threshold, each pair once.
 
-    Such a pair shares at least ``m = floor((1 - threshold) * size) + 1`` hot tokens of each
-    row, so the rarest shared one is not among the ``m - 1`` most frequent of either row:
-    joining on the others suffices. A pair is emitted at its rarest shared token only.
-    """
-    similarity = f"double('{1.0 - threshold!r}')"
-    split = {i: 1 + rows // BLOCK_ROWS for i, (_, rows) in enumerate(hot) if rows >= BLOCK_ROWS}
-    blocks = "1"
-    if split:
-        pairs = ", ".join(f"{token}, {count}" for token, count in split.items())
-        blocks = f"coalesce(element_at(map({pairs}), token), 1)"
-    least = f"greatest(1, int(floor(size * {similarity} - 1e-9)) + 1)"
-
-    def prefix(rows: DataFrame, side: str) -> DataFrame:
-        # a grid of blocks per token: own block on one axis, a copy for each on the other
-        own = "int(pmod(xxhash64(id), blocks))"
-        every = "explode(sequence(0, blocks - 1))"
-        row, col = (own, every) if side == "a" else (every, own)
-        exploded = rows.selectExpr("*", f"explode(slice(hot, {least}, size(hot))) as token")
-        exploded = exploded.selectExpr("*", f"{blocks} as blocks")
-        return _side(exploded, side, "token", f"{row} as row", f"{col} as col")
-
-    def rarer(w: int) -> str:
-        # the row's bits of word w above the joining token (two shifts: one of 64 is none)
-        bit, bits = f"(token - {64 * w})", f"a_h{w}"
-        mask = f"shiftleft(shiftleft(-1L, {bit}), 1)"
-        return f"case when {bit} < 0 then {bits} when {bit} >= 64 then 0L else {bits} & {mask} end as a_m{w}"
-
-    a = prefix(test, "a").selectExpr("*", *[rarer(w) for w in range(HOT_WORDS)])
-    b = prefix(train, "b").hint("merge")
-    shared_rarer = " | ".join(f"(a_m{w} & b_h{w})" for w in range(HOT_WORDS))
-    # overlap / union > similarity, multiplied out and a little wide; _score is exact
-    near = f"{_HOT_OVERLAP} * (1 + {similarity}) > (a_size + b_size) * {similarity} - 1e-6"
-    return (
-        a.join(b, ["token", "row", "col"])
-        .where(f"{_sizes_allow(threshold)} and ({shared_rarer}) = 0 and {near}")
-        .selectExpr("a_id", "b_id", "a_size", "b_size", f"{_HOT_OVERLAP} as hot", "0 as cold")
-    )
+class _Index:
+    """The tokens of the training rows of a group, each with its rows."""
 
+    def __init__(self, side: _Side):
+        order = np.argsort(side.tokens, kind="stable")
+        owner = np.repeat(np.arange(len(side.size)), side.size)
+        self.rows, self.count = owner[order], len(side.size)
+        self.tokens, first = np.unique(side.tokens[order], return_index=True)
+        self.first = np.append(first, len(order))
 
-def _score(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Distinct pairs below the threshold with overlap, union and distance."""
-    overlap = (F.col("hot") + F.col("n_cold")).cast("bigint")
-    return (
-        pairs.groupBy("a_id", "b_id", "a_size", "b_size", "hot")
-        .agg(F.sum("cold").alias("n_cold"))
-        .select(
-            "a_id",
-            "b_id",
-            overlap.alias("overlap"),
-            (F.col("a_size") + F.col("b_size") - overlap).alias("union_size"),
-            jaccard_distance(overlap, F.col("a_size"), F.col("b_size")).alias("distance"),
-        )
-        .where(F.col("distance") < threshold)
-    )
+    def overlaps(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of ``tokens`` each training row has."""
+        at = np.searchsorted(self.tokens, tokens)
+        at = at[(at < len(self.tokens)) & (self.tokens[np.minimum(at, len(self.tokens) - 1)] == tokens)]
+        sizes = self.first[at + 1] - self.first[at]
+        offsets = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+        return np.bincount(self.rows[offsets + np.arange(sizes.sum())], minlength=self.count)
 
 
-def _prepare(rows: DataFrame, min_rows: int) -> tuple[DataFrame, DataFrame, list[tuple[str, int]]]:
-    hot = _hot_tokens(rows, min_rows)
-    encoded = materialize(_encode(spread(rows), [t for t, _ in hot]), "encoded")
-    return encoded.where("is_test"), encoded.where("not is_test"), hot
+def _nearest(distance: np.ndarray, ids: np.ndarray, k: int | None) -> np.ndarray:
+    """Places of the ``k`` first by (distance, id); all for None."""
+    if k is None or len(distance) <= k:
+        return np.arange(len(distance))
+    return np.lexsort((ids, distance))[:k]
 
 
-def threshold_pairs(
-    rows: DataFrame, threshold: float, hot_min_rows: int = HOT_MIN_ROWS
+def block_pairs(
+    rows: DataFrame, threshold: float, k: int | None = None, table_counts: Sequence[int] = ()
 ) -> DataFrame:
+    """Pairs with a shared token and a distance strictly below ``threshold``.
+
+    ``k``: only what can be among a test row's ``k`` nearest (its first ``k`` of each block).
+    ``table_counts``: ``rows`` have a ``signature``, pairs also need an agreeing hash table, and
+    get its number (from 1) as ``first_table``; the first ``k`` are kept for each table count.
+    """
+    signed = ["signature"] if table_counts else []
+    dealt = _dealt(rows, _block_counts(rows), *signed)
+    limits = sorted(set(table_counts))
+
+    def run(group: pa.Table) -> pa.Table:
+        is_test = group["is_test"]
+        tests, trains = _Side(group.filter(is_test)), _Side(group.filter(pc.invert(is_test)))
+        parts = []
+        if len(tests.id) and len(trains.id):
+            index = _Index(trains)
+            for i in range(len(tests.id)):
+                overlap = index.overlaps(tests.tokens[tests.at[i] : tests.at[i + 1]])
+                union = tests.size[i] + trains.size - overlap
+                distance = (union - overlap) / union
+                near = np.flatnonzero((overlap > 0) & (distance < threshold))
+                tables = np.zeros(len(near), np.int32)
+                if limits:
+                    agree = trains.signature[near] == tests.signature[i]
+                    tables = np.where(agree.any(axis=1), agree.argmax(axis=1) + 1, np.iinfo(np.int32).max)
+                    chosen = [np.flatnonzero(tables <= n) for n in limits]
+                    picked = [c[_nearest(distance[near[c]], trains.id[near[c]], k)] for c in chosen]
+                    keep = np.unique(np.concatenate(picked))
+                else:
+                    keep = _nearest(distance[near], trains.id[near], k)
+                near, tables = near[keep], tables[keep]
+                parts.append((np.full(len(near), i), near, distance[near], overlap[near], union[near], tables))
+        i, j, distance, overlap, union, tables = (np.concatenate(c) for c in zip(*parts)) if parts else [np.zeros(0, int)] * 6
+        columns = {
+            "test_id": pa.array(tests.id[i], pa.int64()),
+            "test_label": pa.array(tests.label[i]).cast(pa.int32()),
+            "train_id": pa.array(trains.id[j], pa.int64()),
+            "train_label": pa.array(trains.label[j]).cast(pa.int32()),
+            "distance": pa.array(distance, pa.float64()),
+            "overlap": pa.array(overlap, pa.int64()),
+            "union_size": pa.array(union, pa.int64()),
+        }
+        if limits:
+            columns["first_table"] = pa.array(tables, pa.int32())
+        return pa.table(columns)
+
+    schema = f"{PAIRS}, first_table int" if limits else PAIRS
+    return dealt.groupBy("tb", "rb").applyInArrow(run, schema)
+
+
+def threshold_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """All (test, train) pairs with Jaccard distance strictly below ``threshold``.
 
-    A threshold of 1 keeps every pair that shares a token. The result itself holds every
-    such pair; what is avoided is intermediate pairs the threshold would drop.
+    A threshold of 1 keeps every pair that shares a token.
     """
-    test, train, hot = _prepare(rows, hot_min_rows)
-    pairs = _cold_pairs(test, train, threshold)
-    if hot:
-        pairs = pairs.unionByName(_hot_pairs(test, train, hot, threshold))
-    scored = _score(pairs, threshold)
-    labels = rows.select("id", "label")
-    return (
-        scored.withColumnsRenamed({"a_id": "test_id", "b_id": "train_id"})
-        .join(labels.withColumnsRenamed({"id": "test_id", "label": "test_label"}), "test_id")
-        .join(labels.withColumnsRenamed({"id": "train_id", "label": "train_label"}), "train_id")
-        .select(
-            "test_id", "test_label", "train_id", "train_label", "distance", "overlap", "union_size"
-        )
-    )
+    return block_pairs(rows, threshold)
 
 
-def _copies(rows: DataFrame, k: int) -> DataFrame:
-    """Training rows with the key of their feature set, first ``k`` rows of each set."""
-    same = F.md5(F.array_join(F.array_sort("features"), "\x01"))
-    order = Window.partitionBy("set_key").orderBy("id")
-    return (
-        rows.where("not is_test")
-        .withColumn("set_key", same)
-        .withColumn("copy", F.row_number().over(order))
-        .where(F.col("copy") <= k)
-    )
+def topk_pairs(rows: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The ``k`` nearest training rows of each test row below ``threshold``, with ``rank``.
+
+    Order is (distance, train_id). A row among a test row's first k of all is among its first
+    k of its block, so a block offers k rows at most.
+    """
+    return rank_neighbors(block_pairs(rows, threshold, k), k)
 
 
 def rank_neighbors(pairs: DataFrame, k: int, keys: tuple[str, ...] = ("test_id",)) -> DataFrame:
@@ -220,51 +189,46 @@ def rank_neighbors(pairs: DataFrame, k: int, keys: tuple[str, ...] = ("test_id",
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def topk_pairs(
-    rows: DataFrame, k: int, threshold: float, hot_min_rows: int = HOT_MIN_ROWS
-) -> DataFrame:
-    """The ``k`` nearest training rows of each test row below ``threshold``.
-
-    Order is (distance, train_id). Two cuts keep large groups out of the join, and neither
-    changes the result:
+def score_pairs(rows: DataFrame, pairs: DataFrame, threshold: float, kept: str) -> DataFrame:
+    """Exact scores of given pairs ``test_id, train_id`` (and the int column ``kept``), below ``threshold``.
 
-    * Of training rows with the same feature set only the first ``k`` can be among the k
-      nearest of anything, and one of them stands for all in the join.
-    * Training rows with the same (hot bitmap, size) have the same hot-only score for a
-      test row. One beyond the first ``k`` of these has k rows of smaller id before it whose
-      true score is at least as good, so it can only be a neighbour through shared cold
-      tokens, and then the cold pass finds it.
+    A pair goes to the group of its rows' blocks as two ids; token sets travel once a group,
+    not once a pair.
     """
-    train_rows = materialize(_copies(rows, k), "copies")
-    columns = ["id", "label", "features", "is_test"]
-    stand_ins = train_rows.where(F.col("copy") == 1)
-    kept = rows.where("is_test").select(*columns).unionByName(stand_ins.select(*columns))
-    test, train, hot = _prepare(kept, hot_min_rows)
-    pairs = _cold_pairs(test, train, threshold)
-    if hot:
-        pairs = pairs.unionByName(_hot_pairs(test, _first_per_bitmap(train, k), hot, threshold))
-    scored = _score(pairs, threshold).withColumnsRenamed({"a_id": "test_id", "b_id": "train_id"})
-    near_sets = rank_neighbors(scored, k).withColumnRenamed("train_id", "id").drop("rank")
-    members = train_rows.select(
-        "set_key", F.col("id").alias("train_id"), F.col("label").alias("train_label")
-    )
-    test_labels = rows.where("is_test").select(
-        F.col("id").alias("test_id"), F.col("label").alias("test_label")
+    blocks = _block_counts(rows)
+    asked = pairs.select(
+        _block("test_id", blocks[0]).alias("tb"), _block("train_id", blocks[1]).alias("rb"), "test_id", "train_id", kept
     )
-    expanded = (
-        near_sets.join(stand_ins.select("id", "set_key"), "id").drop("id").join(members, "set_key")
-    )
-    return (
-        rank_neighbors(expanded, k)
-        .join(test_labels, "test_id")
-        .select(
-            "test_id",
-            "test_label",
-            "train_id",
-            "train_label",
-            "distance",
-            "overlap",
-            "union_size",
-            "rank",
+
+    def run(group: pa.Table, wanted: pa.Table) -> pa.Table:
+        is_test = group["is_test"]
+        tests, trains = _Side(group.filter(is_test)), _Side(group.filter(pc.invert(is_test)))
+        order_a, order_b = np.argsort(tests.id, kind="stable"), np.argsort(trains.id, kind="stable")
+        i = order_a[np.searchsorted(tests.id[order_a], _numpy(wanted["test_id"]))] if len(wanted) else np.zeros(0, int)
+        j = order_b[np.searchsorted(trains.id[order_b], _numpy(wanted["train_id"]))] if len(wanted) else np.zeros(0, int)
+        overlap = np.zeros(len(i), np.int64)
+        if len(i):
+            index, by_test = _Index(trains), np.argsort(i, kind="stable")
+            bounds = np.flatnonzero(np.diff(i[by_test], prepend=-1, append=len(tests.id)))
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                some = by_test[low:high]
+                t = i[some[0]]
+                overlap[some] = index.overlaps(tests.tokens[tests.at[t] : tests.at[t + 1]])[j[some]]
+        union = tests.size[i] + trains.size[j] - overlap
+        distance = (union - overlap) / np.maximum(union, 1)
+        near = (overlap > 0) & (distance < threshold)
+        return pa.table(
+            {
+                "test_id": pa.array(tests.id[i][near], pa.int64()),
+                "test_label": pa.array(tests.label[i][near]).cast(pa.int32()),
+                "train_id": pa.array(trains.id[j][near], pa.int64()),
+                "train_label": pa.array(trains.label[j][near]).cast(pa.int32()),
+                "distance": pa.array(distance[near], pa.float64()),
+                "overlap": pa.array(overlap[near], pa.int64()),
+                "union_size": pa.array(union[near], pa.int64()),
+                kept: wanted[kept].combine_chunks().cast(pa.int32()).filter(pa.array(near)),
+            }
         )
-    )
+
+    sides = _dealt(rows, blocks).groupBy("tb", "rb")
+    return sides.cogroup(asked.groupBy("tb", "rb")).applyInArrow(run, f"{PAIRS}, {kept} int")

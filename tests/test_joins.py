@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kinvote.operators import forest, similarity_join as sj
-from kinvote.plans import experiment
+from kinvote.operators import forest, lsh_join, similarity_join as sj
+from kinvote.plans import catalog, experiment
+from kinvote.session import materialize
 
 
 def random_rows(seed, n, hot_share=0.9):
@@ -38,15 +39,18 @@ SCHEMA = "id bigint, label int, features array<string>, is_test boolean"
 
 
 @pytest.fixture
-def small_hot(monkeypatch):
-    monkeypatch.setattr(sj, "BLOCK_ROWS", 17)  # several blocks per hot token
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(sj, "TEST_ROWS", 13)
+    monkeypatch.setattr(sj, "TRAIN_ROWS", 29)
 
 
 @pytest.mark.parametrize("threshold", [1.0, 0.9, 0.7, 2 / 3])
-@pytest.mark.parametrize("hot_min_rows", [10, 10**6])
-def test_threshold_pairs(spark, small_hot, threshold, hot_min_rows):
+@pytest.mark.parametrize("blocks", ["small", "own"])
+def test_threshold_pairs(spark, request, threshold, blocks):
+    if blocks == "small":
+        request.getfixturevalue("small_blocks")
     rows = random_rows(1, 150)
-    got = sj.threshold_pairs(spark.createDataFrame(rows, SCHEMA), threshold, hot_min_rows).collect()
+    got = sj.threshold_pairs(spark.createDataFrame(rows, SCHEMA), threshold).collect()
     assert len(got) == len({(r.test_id, r.train_id) for r in got})
     assert {(r.test_id, r.train_id): r.distance for r in got} == brute(rows, threshold)
     label = {r[0]: r[1] for r in rows}
@@ -54,8 +58,7 @@ def test_threshold_pairs(spark, small_hot, threshold, hot_min_rows):
 
 
 @pytest.mark.parametrize("k", [1, 4, 200])
-@pytest.mark.parametrize("hot_min_rows", [5, 10**6])
-def test_topk_pairs(spark, small_hot, k, hot_min_rows):
+def test_topk_pairs(spark, small_blocks, k):
     for seed, hot_share in [(2, 0.9), (3, 0.3)]:
         rows = random_rows(seed, 160, hot_share)
         near = {}
@@ -64,23 +67,42 @@ def test_topk_pairs(spark, small_hot, k, hot_min_rows):
         expected = {
             (i, j, d, n + 1) for i, js in near.items() for n, (d, j) in enumerate(sorted(js)[:k])
         }
-        got = sj.topk_pairs(spark.createDataFrame(rows, SCHEMA), k, 0.9, hot_min_rows).collect()
+        got = sj.topk_pairs(spark.createDataFrame(rows, SCHEMA), k, 0.9).collect()
         assert {(r.test_id, r.train_id, r.distance, r["rank"]) for r in got} == expected
         assert len(got) == len(expected)
 
 
-def test_many_hot_tokens(spark, small_hot):
-    """More hot tokens than one bitmap word, sets that share hot tokens only."""
+def test_many_frequent_tokens(spark, small_blocks):
     rng = random.Random(4)
     words = [f"h{i:03d}" for i in range(200)]
     rows = [
         (i, 0, sorted(rng.sample(words, rng.randint(1, 60))), rng.random() < 0.4) for i in range(120)
     ]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {(r.test_id, r.train_id): r.distance for r in sj.threshold_pairs(df, 0.9, 5).collect()}
+    got = {(r.test_id, r.train_id): r.distance for r in sj.threshold_pairs(df, 0.9).collect()}
     assert got == brute(rows, 0.9)
 
 
+def test_frequent_tokens_bound_no_task(spark, small_blocks):
+    """One token in all rows, another in half of them: groups have a block's rows, no more."""
+    rows = [(i, 0, ["all", "half", f"w{i}"][:: 1 if i % 2 else 2], i % 3 == 0) for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    blocks = sj._block_counts(df)
+    groups = sj._dealt(df, blocks).groupBy("tb", "rb", "is_test").count().collect()
+    assert max(r["count"] for r in groups if r.is_test) < 4 * sj.TEST_ROWS
+    assert max(r["count"] for r in groups if not r.is_test) < 4 * sj.TRAIN_ROWS
+    got = sj.block_pairs(df, 0.9, k=2)  # a block offers a test row two rows at most
+    assert got.count() <= 2 * 300 * blocks[1]
+
+
+def test_candidates_stay_below_all_pairs(spark):
+    rows = materialize(catalog.unigram_rows(spark, "/root/testdata/sf0.01"), "unigrams")
+    tests = rows.where("is_test").count()
+    pairs = sj.block_pairs(rows, 0.9).count()
+    assert 0 < pairs < tests * (rows.count() - tests) / 10
+    assert sj.block_pairs(rows, 0.9, k=5).count() <= 5 * tests * sj._block_counts(rows)[1]
+
+
 def test_strict_threshold(spark):
     rows = [(0, 0, ["1", "2"], True), (1, 0, ["2", "3"], False), (2, 0, ["7"], False)]
     df = spark.createDataFrame(rows, SCHEMA)
@@ -88,17 +110,16 @@ def test_strict_threshold(spark):
     assert (count(1.0), count(0.7), count(2 / 3)) == (1, 1, 0)
 
 
-def test_same_result_on_any_partitioning(spark, small_hot):
+def test_same_result_on_any_partitioning(spark, small_blocks):
     df = spark.createDataFrame(random_rows(5, 120), SCHEMA)
-    results = [
-        sorted(map(tuple, sj.topk_pairs(df.repartition(n), 5, 0.9, 10).collect())) for n in (1, 16)
-    ]
+    results = [sorted(map(tuple, sj.topk_pairs(df.repartition(n), 5, 0.9).collect())) for n in (1, 16)]
     assert results[0] == results[1]
 
 
 def test_no_training_rows(spark):
     df = spark.createDataFrame([(0, 1, ["a"], True)], SCHEMA)
     assert sj.topk_pairs(df, 3, 0.9).count() == 0
+    assert lsh_join.lsh_pairs(df, 8, 0.9).count() == 0
 
 
 def forest_by_definition(rows, signatures, k, trees):
@@ -144,8 +165,8 @@ def test_forest_runs_are_separate(spark):
 
 
 @pytest.mark.parametrize("k", [2, 6, 500])
-def test_lsh_topk_with_few_tables(spark, k):
-    """With few tables many near pairs disagree everywhere: the full-join path must run."""
+def test_lsh_topk_with_few_tables(spark, small_blocks, k):
+    """With few tables many near pairs disagree everywhere and have to be left out."""
     rows = random_rows(8, 120, 0.4)
     df = spark.createDataFrame(rows, SCHEMA)
     counts = [2, 5]
@@ -164,8 +185,31 @@ def test_lsh_topk_with_few_tables(spark, k):
     assert len(got) == len(expected)
 
 
-def test_banded_join_equals_exact_at_many_tables(spark):
-    df = spark.createDataFrame(random_rows(9, 120), SCHEMA)
-    exact = {(r.test_id, r.train_id) for r in sj.threshold_pairs(df, 0.9).collect()}
-    found = {(r.test_id, r.train_id) for r in experiment.lsh_neighbors(df, 128, 0.9).collect()}
-    assert found == exact
+@pytest.mark.parametrize("threshold", [0.9, 1.0])
+@pytest.mark.parametrize("rows_per_band", [1, 2, 4])
+def test_lsh_join_by_definition(spark, small_blocks, rows_per_band, threshold):
+    rows = random_rows(9, 120, 0.4)
+    df = spark.createDataFrame(rows, SCHEMA)
+    signatures = {r.id: list(r.signature) for r in forest.with_signature(df, 16, 7).collect()}
+    bands = lambda i: [tuple(signatures[i][b : b + rows_per_band]) for b in range(0, 16, rows_per_band)]
+    expected = {}
+    for (i, j), d in brute(rows, threshold).items():
+        agreed = [n for n, (x, y) in enumerate(zip(bands(i), bands(j))) if x == y]
+        if agreed:
+            expected[i, j] = (d, agreed[0] + 1)
+    got = lsh_join.lsh_pairs(df, 16, threshold, rows_per_band, 7).collect()
+    assert {(r.test_id, r.train_id): (r.distance, r.first_band) for r in got} == expected
+    assert len(got) == len(expected)
+
+
+def test_recall_of_the_lsh_join(spark):
+    """Of the pairs below distance 0.9: all with one hash a band, the near ones with two."""
+    rows = materialize(catalog.unigram_rows(spark, "/root/testdata/sf0.01"), "unigrams")
+    exact = {(r.test_id, r.train_id): r.distance for r in sj.threshold_pairs(rows, 0.9).collect()}
+    one, two = (
+        {(r.test_id, r.train_id) for r in lsh_join.lsh_pairs(rows, 128, 0.9, n).collect()} for n in (1, 2)
+    )
+    assert one <= set(exact) and len(one) >= 0.999 * len(exact)
+    assert two <= one and len(two) >= 0.5 * len(exact)
+    close = {p for p, d in exact.items() if d < 0.6}
+    assert close <= two
