@@ -42,7 +42,7 @@ HFW_TOP_N = 300
 PATTERN_MIN_N = 3
 PATTERN_MAX_N = 6
 PATTERN_MIN_HFW = 2
-PATTERN_CAP = 80
+SHORT_TEXT_PATTERN_CAP = 80  # for messages; no query uses it
 SEQUENCE_LENGTH = 3
 SEQUENCE_VOCAB = 600
 TEST_FRACTION = 0.2

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import PATTERN_CAP, PATTERN_MAX_N, PATTERN_MIN_HFW, PATTERN_MIN_N
+from ..constants import PATTERN_MAX_N, PATTERN_MIN_HFW, PATTERN_MIN_N
 from .literals import is_word, map_tokens
 
 _MASK = "*"
@@ -40,12 +40,13 @@ def with_patterns(
     min_n: int = PATTERN_MIN_N,
     max_n: int = PATTERN_MAX_N,
     min_frequent: int = PATTERN_MIN_HFW,
-    cap: int = PATTERN_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
-    """Add the first ``cap`` distinct patterns of each row in (length, position) order.
+    """Add the distinct patterns of each row in (length, position) order.
 
-    One stage per window length: a row that has reached the cap skips the longer windows,
-    which bounds the work on long texts without looking at less text.
+    ``cap`` keeps the first so many of a row only, which drops the rest of a long text: meant
+    for short messages, and off unless asked for. One stage per window length, so a row that
+    has reached its cap skips the longer windows.
     """
     masked, hits, found = (f"__{output_col}_{part}" for part in ("masked", "hits", "found"))
     df = (
@@ -55,5 +56,7 @@ def with_patterns(
     )
     for n in range(min_n, max_n + 1):
         more = F.array_union(F.col(found), _windows(F.col(masked), F.col(hits), n, min_frequent))
-        df = df.withColumn(found, F.when(F.size(found) >= cap, F.col(found)).otherwise(more))
-    return df.withColumn(output_col, F.slice(found, 1, cap)).drop(masked, hits, found)
+        full = F.size(found) >= cap if cap else F.lit(False)
+        df = df.withColumn(found, F.when(full, F.col(found)).otherwise(more))
+    kept = F.slice(found, 1, cap) if cap else F.col(found)
+    return df.withColumn(output_col, kept).drop(masked, hits, found)

@@ -57,13 +57,16 @@ def require_two_classes(df: DataFrame, col: str = "label") -> DataFrame:
     return df
 
 
-def require_columns(df: DataFrame, expected: StructType | list[str], dataset: str) -> DataFrame:
-    """Return ``df``; raise, naming the dataset, where a column is missing."""
+def require_columns(
+    found: DataFrame | list[str], expected: StructType | list[str], dataset: str
+) -> DataFrame | list[str]:
+    """Return ``found`` (a table, or a file's column names); raise where a column is missing."""
     names = expected.names if isinstance(expected, StructType) else expected
-    missing = [name for name in names if name not in df.columns]
+    present = found.columns if isinstance(found, DataFrame) else found
+    missing = [name for name in names if name not in present]
     if missing:
-        raise ValueError(f"{dataset}: missing column(s) {missing}; present: {df.columns}")
-    return df
+        raise ValueError(f"{dataset}: missing column(s) {missing}; present: {present}")
+    return found
 
 
 def count_per_class(df: DataFrame, col: str = "label") -> DataFrame:
@@ -85,10 +88,18 @@ def append_by_name(df: DataFrame, extra: DataFrame | None) -> DataFrame:
     return df if extra is None else df.unionByName(extra)
 
 
-def retained(df: DataFrame, kept: Column) -> DataFrame:
-    """Rows, rows for which ``kept`` holds, and their share in percent (0 for no rows)."""
+def retained(df: DataFrame, kept: Mapping[str, Column]) -> DataFrame:
+    """Per name: rows, rows for which its condition holds, and their share in percent.
+
+    One aggregate over one pass for all conditions; the share of no rows is 0.
+    """
     counts = df.agg(
-        F.count("*").alias("n_rows"), F.count(F.when(kept, F.lit(1))).alias("n_kept")
+        F.count("*").alias("n_rows"),
+        *[F.count(F.when(test, F.lit(1))).alias(f"n_{name}") for name, test in kept.items()],
+    )
+    parts = F.array(
+        *[F.struct(F.lit(name).alias("scenario"), F.col(f"n_{name}").alias("n_kept")) for name in kept]
     )
+    listed = counts.select("n_rows", F.explode(parts).alias("part")).select("n_rows", "part.*")
     share = F.when(F.col("n_rows") > 0, F.col("n_kept") * 100 / F.col("n_rows"))
-    return counts.withColumn("retained_pct", F.coalesce(share, F.lit(0.0)))
+    return listed.withColumn("retained_pct", F.coalesce(share, F.lit(0.0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import (
-    CountVectorizer,
+    CountVectorizerModel,
     HashingTF,
     NGram,
     RegexTokenizer,
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.patterns import with_patterns
+from ..session import materialize
 from .vocabulary import frequent_words
 
 
@@ -31,7 +32,9 @@ class _PatternParams(HasInputCol, HasOutputCol):
     minFrequent = Param(
         Params._dummy(), "minFrequent", "frequent words a window needs", TypeConverters.toInt
     )
-    maxPatterns = Param(Params._dummy(), "maxPatterns", "patterns per row", TypeConverters.toInt)
+    maxPatterns = Param(
+        Params._dummy(), "maxPatterns", "patterns per row, 0 for all", TypeConverters.toInt
+    )
 
     def __init__(self, *args):
         super().__init__(*args)
@@ -42,7 +45,7 @@ class _PatternParams(HasInputCol, HasOutputCol):
             minN=C.PATTERN_MIN_N,
             maxN=C.PATTERN_MAX_N,
             minFrequent=C.PATTERN_MIN_HFW,
-            maxPatterns=C.PATTERN_CAP,
+            maxPatterns=0,
         )
 
 
@@ -90,7 +93,32 @@ class FrequentWordPatternsModel(Model, _PatternParams, DefaultParamsReadable, De
             self.getOrDefault("minN"),
             self.getOrDefault("maxN"),
             self.getOrDefault("minFrequent"),
-            self.getOrDefault("maxPatterns"),
+            self.getOrDefault("maxPatterns") or None,
+        )
+
+
+class OrderedVocabulary(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """A ``CountVectorizer`` of presence whose vocabulary has a total order.
+
+    Terms are ordered by their number of uses, ties by term, where ``CountVectorizer`` leaves
+    ties to chance; the fitted model is Spark's own ``CountVectorizerModel``.
+    """
+
+    vocabSize = Param(Params._dummy(), "vocabSize", "terms kept", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None, vocabSize=None):
+        super().__init__()
+        self._setDefault(vocabSize=C.PATTERN_COLUMN_VOCAB)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, dataset: DataFrame) -> CountVectorizerModel:
+        source = self.getInputCol()
+        # written first: the filter that exploding adds would repeat the stages before it
+        listed = materialize(dataset.select(source), "vocabulary_terms")
+        terms = frequent_words(listed, source, self.getOrDefault("vocabSize"))
+        return CountVectorizerModel.from_vocabulary(
+            terms, inputCol=source, outputCol=self.getOutputCol(), binary=True
         )
 
 
@@ -113,18 +141,17 @@ def experiment_pipeline(scenario: int, num_features: int = C.HASH_BUCKETS) -> Pi
         return "features" if last else name
 
     if scenario in (1, 4):
-        stages.append(_presence("tokens", out("unigram_vector"), num_features))
+        stages.append(presence("tokens", out("unigram_vector"), num_features))
     if scenario in (2, 4):
         stages.append(NGram(n=2, inputCol="tokens", outputCol="bigrams"))
-        stages.append(_presence("bigrams", out("bigram_vector"), num_features))
+        stages.append(presence("bigrams", out("bigram_vector"), num_features))
     if scenario in (3, 4):
         stages.append(FrequentWordPatterns(inputCol="tokens", outputCol="patterns"))
         stages.append(
-            CountVectorizer(
+            OrderedVocabulary(
                 inputCol="patterns",
                 outputCol=out("pattern_vector"),
                 vocabSize=C.PATTERN_COLUMN_VOCAB,
-                binary=True,
             )
         )
     if scenario == 4:
@@ -133,7 +160,7 @@ def experiment_pipeline(scenario: int, num_features: int = C.HASH_BUCKETS) -> Pi
     return Pipeline(stages=stages)
 
 
-def _presence(source: str, target: str, buckets: int) -> HashingTF:
+def presence(source: str, target: str, buckets: int) -> HashingTF:
     return HashingTF(inputCol=source, outputCol=target, numFeatures=buckets, binary=True)
 
 
@@ -171,6 +198,20 @@ def vector_nonzeros(vector: Column) -> Column:
     return F.when(raw["values"].isNull(), F.lit(0)).otherwise(nonzero)
 
 
+def vector_entries(vector: Column) -> Column:
+    """``index:value`` of each non-zero entry, values as whole numbers, joined by commas."""
+    raw = F.unwrap_udt(vector)
+    positions = F.when(raw["type"] == 0, raw["indices"]).otherwise(
+        F.sequence(F.lit(0), F.size(raw["values"]) - 1)
+    )
+    paired = F.zip_with(
+        positions,
+        raw["values"],
+        lambda i, v: F.when(v != 0, F.concat_ws(":", i.cast("string"), v.cast("bigint").cast("string"))),
+    )
+    return F.array_join(F.filter(paired, lambda e: e.isNotNull()), ",")
+
+
 def vector_indices(vector: Column) -> Column:
     """Positions of the non-zero entries of a sparse or dense vector."""
     raw = F.unwrap_udt(vector)

@@ -16,8 +16,32 @@ _BUCKET_DIGITS = 4  # 16^4 buckets of the hash order
 
 
 def row_key(df: DataFrame, text_col: str = "text", name: str = "row_id") -> DataFrame:
-    """A key that is a function of the text, so recomputation cannot change it."""
-    return df.withColumn(name, F.xxhash64(text_col))
+    """A key that is a function of the text, so recomputation cannot change it.
+
+    The first 60 bits of the text's MD5; the same on every engine.
+    """
+    digits = F.substring(F.md5(F.col(text_col)), 1, 15)
+    return df.withColumn(name, F.conv(digits, 16, 10).cast("bigint"))
+
+
+def with_position(df: DataFrame, key: str, seed: int = SEED) -> DataFrame:
+    """Add ``position`` (from 1) in the stable random order of the whole table.
+
+    Rows are ranked inside the 65,536 buckets of the hash order; a bucket begins where the
+    counts of those before it end. So one pass serves every prefix of the order.
+    """
+    ordered = df.withColumn("__order", seeded_hash(F.col(key), seed)).withColumn(
+        "__bucket", F.substring("__order", 1, _BUCKET_DIGITS)
+    )
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ordered.groupBy("__bucket").agg(F.count("*").alias("__rows")).select(
+        "__bucket", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before")
+    )
+    inside = F.row_number().over(Window.partitionBy("__bucket").orderBy("__order", key))
+    ranked = ordered.withColumn("__rank", inside).join(starts, "__bucket")
+    return ranked.withColumn("position", F.col("__before") + F.col("__rank")).select(
+        *df.columns, "position"
+    )
 
 
 def with_rank_cut(

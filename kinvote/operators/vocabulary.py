@@ -1,25 +1,41 @@
-"""Term counts and bounded vocabularies."""
+"""Term counts and vocabularies."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import HFW_TOP_N, PATTERN_COLUMN_VOCAB, SEQUENCE_LENGTH, SEQUENCE_VOCAB
 from ..functions.tokens import sequence_grams
+from ..session import materialize
+
+MOST_TERMS = 1 << 20
+"""Terms that may reach the driver as a list; larger vocabularies take ``full_index``."""
+
+
+def _bounded(n: int) -> int:
+    if n > MOST_TERMS:
+        raise ValueError(f"{n} terms are too many for the driver; use full_index")
+    return n
+
+
+def term_counts(df: DataFrame, terms: Column) -> DataFrame:
+    """Uses per term; counts combine before the shuffle."""
+    return df.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_uses"))
 
 
 def top_terms(df: DataFrame, terms: Column, n: int) -> DataFrame:
-    """The ``n`` most frequent terms; ties by term. Counts combine before the shuffle."""
-    counts = df.select(F.explode(terms).alias("term")).groupBy("term").agg(
-        F.count("*").alias("n_uses")
-    )
-    return counts.orderBy(F.desc("n_uses"), F.asc("term")).limit(n)
+    """The ``n`` most frequent terms; ties by term."""
+    return term_counts(df, terms).orderBy(F.desc("n_uses"), F.asc("term")).limit(n)
 
 
 def frequent_words(df: DataFrame, tokens_col: str, n: int = HFW_TOP_N) -> list[str]:
-    """The ``n`` most frequent words. ``n`` bounds what reaches the driver."""
-    return [r["term"] for r in top_terms(df, F.col(tokens_col), n).collect()]
+    """The ``n`` most frequent words, most frequent first. ``n`` bounds what reaches the driver."""
+    rows = top_terms(df, F.col(tokens_col), _bounded(n)).collect()
+    return [r["term"] for r in sorted(rows, key=lambda r: (-r["n_uses"], r["term"].encode()))]
 
 
 def sequence_vocabulary(
@@ -27,30 +43,74 @@ def sequence_vocabulary(
 ) -> list[str]:
     """The ``n`` most frequent token sequences of one length (bounded by ``n``)."""
     grams = sequence_grams(F.col(tokens_col), max(2, length))
-    return [r["term"] for r in top_terms(df, grams, max(1, n)).collect()]
+    return [r["term"] for r in top_terms(df, grams, _bounded(max(1, n))).collect()]
+
+
+def run_vocabularies(
+    df: DataFrame, runs: Sequence[str], terms: Column, n: int, name: str = "vocabulary"
+) -> DataFrame:
+    """The ``n`` most frequent terms of each run as one list: ``runs..., vocabulary``."""
+    counts = df.select(*runs, F.explode(terms).alias("term")).groupBy(*runs, "term").agg(
+        F.count("*").alias("n_uses")
+    )
+    order = Window.partitionBy(*runs).orderBy(F.desc("n_uses"), F.asc("term"))
+    top = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= n)
+    return top.groupBy(*runs).agg(F.collect_list("term").alias(name))
+
+
+def with_presence(
+    df: DataFrame, terms_col: str, vocabulary: Sequence[str], name: str = "indices"
+) -> DataFrame:
+    """Add the sorted distinct positions of a row's terms in ``vocabulary``.
+
+    Spark's ``CountVectorizerModel`` looks the terms up row by row: no shuffle and no join.
+    """
+    if not vocabulary:
+        return df.withColumn(name, F.expr("cast(array() as array<int>)"))
+    vector = f"__{name}_vector"
+    model = CountVectorizerModel.from_vocabulary(
+        list(vocabulary), inputCol=terms_col, outputCol=vector, binary=True
+    )
+    return model.transform(df).withColumn(name, F.unwrap_udt(vector)["indices"]).drop(vector)
+
+
+def term_list(df: DataFrame, terms_col: str, size: int = PATTERN_COLUMN_VOCAB) -> list[str]:
+    """Vocabulary of the ``size`` terms with most uses, in order (ties by term)."""
+    return frequent_words(df, terms_col, size)
 
 
-def term_index(df: DataFrame, terms: Column, size: int = PATTERN_COLUMN_VOCAB) -> DataFrame:
-    """Vocabulary table ``term, index`` of the ``size`` terms with most uses (ties by term).
+def full_index(df: DataFrame, terms: Column) -> DataFrame:
+    """``term, index`` of every term, ordered by uses (ties by term), however many there are.
 
-    The global rank runs on ``size`` rows at most, after the cut.
+    Terms are dealt to ranges of the order and numbered inside a range; a range begins where
+    the counts of those before it end (a row a range). The ranges are a written table, since
+    a second run of the range sampling could cut elsewhere.
     """
-    top = top_terms(df, terms, size)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("n_uses"), F.asc("term"))
-    return top.select("term", (F.row_number().over(order) - 1).alias("index"))
+    ranged = (
+        term_counts(df, terms)
+        .repartitionByRange(F.desc("n_uses"), F.asc("term"))
+        .withColumn("part", F.spark_partition_id())
+    )
+    ranged = materialize(ranged, "term_ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("part").agg(F.count("*").alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
+    )
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("n_uses"), F.asc("term")))
+    return ranged.withColumn("r", inside).join(starts, "part").select(
+        "term", (F.col("start") + F.col("r") - 1).cast("bigint").alias("index")
+    )
 
 
-def presence_indices(
-    df: DataFrame, key: str, terms: Column, vocabulary: DataFrame, name: str = "indices"
+def full_presence(
+    df: DataFrame, key: str, terms: Column, index: DataFrame, name: str = "indices"
 ) -> DataFrame:
-    """``key`` and the sorted distinct vocabulary indices of its terms (empty where none).
+    """``key`` and the sorted distinct indices of its terms, for a vocabulary of any size.
 
-    The vocabulary table has a fixed maximum size (its ``size``), so it is broadcast; the
-    exploded terms are not shuffled before the indices of a row are put together again.
+    Joined on the term, so neither side needs to fit anywhere.
     """
-    exploded = df.select(key, F.explode_outer(F.array_distinct(terms)).alias("term"))
-    hits = exploded.join(F.broadcast(vocabulary), "term", "left")
-    return hits.groupBy(key).agg(F.array_sort(F.collect_set("index")).alias(name))
+    exploded = df.select(key, F.explode(F.array_distinct(terms)).alias("term"))
+    return exploded.join(index, "term").groupBy(key).agg(F.sort_array(F.collect_set("index")).alias(name))
 
 
 def assemble(blocks: list[tuple[Column, int]]) -> Column:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType
 
 from .. import constants as C
 from ..functions import cleaning, hashing, patterns, tokens
-from ..operators import forest, labels, ml_stages, sampling, similarity_join, vocabulary, votes
-from ..session import materialize, scratch_path, spread
+from ..operators import forest, labels, lsh_join, ml_stages, sampling, similarity_join, vocabulary, votes
+from ..session import materialize, scratch_path
 from ..sources import readers, writers
 from . import experiment, features
 
@@ -19,10 +19,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 CUSTOM_STOP_WORDS = ["the", "of", "and", "to", "in", "that", "is", "que", "de", "la", "und", "der"]
-FREQUENT_WORDS = ["the", "of", "and", "to", "in", "that", "is", "que", "de", "la", "an", "on"]
 BLOOM_BITS, BLOOM_HASHES = 32768, 3
 SIGNATURE_HASHES = 128
-SWEEP_TABLES = [128]
+ROWS_PER_BAND = 2
 
 
 def query(fn: Query) -> Query:
@@ -38,12 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 def labelled(spark, sf_dir, keep_unlabelled: bool = False) -> DataFrame:
     """``id, text, quality, raw_label, word_label`` of the labelled documents."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marks = table(spark, sf_dir, "labels")
     joined = docs.join(marks, "doc_id", "left" if keep_unlabelled else "inner")
     raw = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 4).when(F.col("quality") == 0, 2)
@@ -57,13 +56,18 @@ def labelled(spark, sf_dir, keep_unlabelled: bool = False) -> DataFrame:
     )
 
 
-def engine_rows(spark, sf_dir) -> DataFrame:
-    """Main engine input: cleaned, de-duplicated, split; ``id, label, is_test, tokens``."""
+def engine_rows(spark, sf_dir, classes: dict | None = None) -> DataFrame:
+    """Main engine input: cleaned, de-duplicated, split; ``id, label, is_test, tokens``.
+
+    ``classes``: recode the raw label (rows without a class go); else the label is ``quality``.
+    """
     rows = labelled(spark, sf_dir).select(
         "id",
-        F.col("quality").alias("label"),
+        F.col("raw_label" if classes else "quality").alias("label"),
         cleaning.clean_social(F.col("text")).alias("text_clean"),
     )
+    if classes:
+        rows = labels.recode_labels(rows, classes)
     kept = sampling.split_random(sampling.dedupe(rows, "text_clean"))
     listed = tokens.remove_stop_words(
         tokens.tokenize_gaps(F.col("text_clean")), C.EXTENDED_STOP_WORDS
@@ -114,12 +118,14 @@ def _six_column_csv(spark, sf_dir, label) -> str:
 
 def _four_column_csv(spark, sf_dir) -> str:
     path = scratch_path(spark, "four_columns")
-    selected = F.when(F.col("raw_label") != 2, F.substring("text", 1, 20))
+    # the longest line stands for the selected phrase; the columns are not in the reader's order
+    lines = F.split("text", "\n")
+    longest = F.array_max(F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))
     rows = labelled(spark, sf_dir).select(
+        F.col("word_label").alias("sentiment"),
+        F.when(F.col("raw_label") != 2, longest["line"]).alias("selected_text"),
         F.col("id").cast("string").alias("textID"),
         "text",
-        selected.alias("selected_text"),
-        F.col("word_label").alias("sentiment"),
     )
     writers.write_csv(rows, path)
     return path
@@ -128,27 +134,26 @@ def _four_column_csv(spark, sf_dir) -> str:
 @query
 def src_csv_fixed(spark, sf_dir):
     path = _six_column_csv(spark, sf_dir, F.col("raw_label"))
-    return readers.load_labelled(spark, path, vocabulary=C.NUMERIC_TERNARY)
+    return readers.load_labelled(spark, path, multi_line=True, vocabulary=C.NUMERIC_TERNARY)
 
 
 @query
 def src_csv_header(spark, sf_dir):
     path = _four_column_csv(spark, sf_dir)
-    return readers.load_labelled(spark, path, four_columns=True, vocabulary=C.WORD_TERNARY)
+    return readers.load_labelled(spark, path, True, four_columns=True, vocabulary=C.WORD_TERNARY)
 
 
 @query
 def src_named_columns(spark, sf_dir):
     path = scratch_path(spark, "named")
-    writers.write_csv(table(spark, sf_dir, "conversations").select("conv_id", "role", "text"), path)
-    schema = StructType.fromDDL("conv_id bigint, role string, text string")
-    return readers.read_named_columns(spark, path, schema, label_col="role", text_col="text")
+    writers.write_csv(table(spark, sf_dir, "conversations").select("text", "turn", "role", "conv_id"), path)
+    return readers.read_named_columns(spark, path, "role", "text", multi_line=True)
 
 
 @query
 def src_pair_dropna(spark, sf_dir):
     path = _four_column_csv(spark, sf_dir)
-    pair = readers.load_pair(spark, path, path)
+    pair = readers.load_pair(spark, path, path, multi_line=True)
     return pair.train.withColumn("part", F.lit("train")).unionByName(
         pair.test.withColumn("part", F.lit("test"))
     )
@@ -158,7 +163,7 @@ def src_pair_dropna(spark, sf_dir):
 def src_skip_malformed(spark, sf_dir):
     label = F.when(F.col("raw_label") == 2, F.lit("n/a")).otherwise(F.col("raw_label").cast("string"))
     path = _six_column_csv(spark, sf_dir, label)
-    return readers.read_six_columns(spark, path, skip_malformed=True)
+    return readers.read_six_columns(spark, path, multi_line=True, skip_malformed=True)
 
 
 @query
@@ -177,24 +182,29 @@ RESULT_SCHEMA = readers.fields(
     n_fallback=LongType(),
     test_size=LongType(),
     train_size=LongType(),
-    training_time_sec=DoubleType(),
-    evaluation_time_sec=DoubleType(),
+    train_rows_m=DoubleType(),
+    pairs_m=DoubleType(),
     scenario=StringType(),
     fraction=StringType(),
 )
 
 
-def _sweep(spark, sf_dir) -> DataFrame:
+def _sweep(spark, sf_dir) -> tuple[DataFrame, int]:
+    """Cells of the whole sweep, and the rows that fraction 1 stands for."""
     rows = harness_rows(spark, sf_dir)
-    return experiment.fraction_sweep(rows, base=rows.count(), table_counts=SWEEP_TABLES)
+    base = rows.count()
+    return experiment.fraction_sweep(rows, base=base), base
+
 
+# what a run costs, in place of seconds, which no two runs share: rows indexed and pairs read
+COSTS = ("train_rows_m", "pairs_m")
 
-def _timed(results: DataFrame) -> DataFrame:
-    """Deterministic stand-ins for run times: rows indexed and pairs read, per million."""
+
+def _with_costs(results: DataFrame) -> DataFrame:
+    """Rows indexed and neighbour pairs read, in millions."""
     return materialize(
-        results.withColumn("training_time_sec", F.col("train_size") / F.lit(1e6)).withColumn(
-            "evaluation_time_sec",
-            F.when(F.col("k") > 50, F.col("neighbor_pairs") / F.lit(1e6)),
+        results.withColumn("train_rows_m", F.col("train_size") / F.lit(1e6)).withColumn(
+            "pairs_m", F.col("neighbor_pairs") / F.lit(1e6)
         ),
         "results",
     )
@@ -203,11 +213,13 @@ def _timed(results: DataFrame) -> DataFrame:
 @query
 def src_results_partitioned(spark, sf_dir):
     path = scratch_path(spark, "runs")
-    results = _timed(_sweep(spark, sf_dir)).withColumn("fraction", F.col("fraction").cast("string"))
+    results = _with_costs(_sweep(spark, sf_dir)[0])
+    results = results.withColumn("fraction", F.col("fraction").cast("string"))
     writers.write_results(results, path, ["num_hash_tables", "k"], ["scenario", "fraction"])
     columns = [f for f in results.columns if f not in ("scenario", "fraction")]
     schema = StructType([RESULT_SCHEMA[c] for c in columns])
-    return readers.read_results(spark, path, schema).select(RESULT_SCHEMA.names)
+    runs = [(scenario, str(f)) for scenario in C.SCENARIOS for f in C.FRACTIONS]
+    return readers.read_results(spark, path, schema, runs).select(RESULT_SCHEMA.names)
 
 
 # ---------------------------------------------------------------- sinks
@@ -222,9 +234,7 @@ def sink_parquet_roundtrip(spark, sf_dir):
     model = ml_stages.featurise_pipeline().fit(rows)
     writers.write_features(model.transform(rows), path)
     back = spark.read.parquet(path)
-    return back.select(
-        "label", joined(ml_stages.vector_indices(F.col("features")), ",", "indices")
-    )
+    return back.select("label", ml_stages.vector_entries(F.col("features")).alias("entries"))
 
 
 @query
@@ -238,15 +248,33 @@ def sink_csv_roundtrip(spark, sf_dir):
     return back.fillna("", subset=["text"])
 
 
-def _unigram_cells(spark, sf_dir) -> DataFrame:
-    rows = engine_rows(spark, sf_dir)
-    return experiment.knn_grid(rows, scenarios=[1])
+@query
+def sink_csv_single_file(spark, sf_dir):
+    """The cleaned labelled texts as one file, read back by name with the file's row count."""
+    path = scratch_path(spark, "one_csv")
+    rows = labelled(spark, sf_dir).select(
+        "id", cleaning.clean_alnum(F.col("text")).alias("text"), F.col("quality").alias("label")
+    )
+    writers.write_csv(rows, path, single_file=True)
+    schema = StructType.fromDDL("label int, id bigint, text string")
+    back = readers.read_by_name(spark, path, schema, multi_line=False).fillna("", subset=["text"])
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    return back.withColumn("n_files", F.lit(files.select("path").count()))
+
+
+def _cells(spark, sf_dir) -> DataFrame:
+    """Every cell of the engine's grid, two classes and three."""
+    grids = [
+        experiment.knn_grid(engine_rows(spark, sf_dir, classes), use_neutral=neutral)
+        for neutral, classes in ((False, C.NUMERIC_BINARY), (True, C.NUMERIC_TERNARY))
+    ]
+    return materialize(grids[0].unionByName(grids[1]), "cells")
 
 
 @query
 def sink_results(spark, sf_dir):
     path = scratch_path(spark, "results_out")
-    cells = materialize(_unigram_cells(spark, sf_dir), "cells")
+    cells = _cells(spark, sf_dir)
     writers.write_results(cells, path, ["num_hash_tables", "k"], ["scenario"])
     schema = StructType([f for f in cells.schema.fields if f.name != "scenario"])
     return spark.read.schema(schema.add("scenario", IntegerType())).option("header", True).csv(path)
@@ -312,8 +340,7 @@ def project_features(spark, sf_dir):
     )
     out = ml_stages.featurise_pipeline().fit(rows).transform(rows)
     plain = out.select("row_id", "label", ml_stages.without_attributes("features"))
-    count = ml_stages.vector_nonzeros(F.col("features")).cast("bigint")
-    return plain.select("row_id", "label", count.alias("n_features"))
+    return plain.select("row_id", "label", ml_stages.vector_entries(F.col("features")).alias("entries"))
 
 
 @query
@@ -409,9 +436,10 @@ def ngram_n(spark, sf_dir):
 
 @query
 def mask_rare_words(spark, sf_dir):
-    return _token_query(
-        spark, sf_dir, patterns.mask_rare_words(tokens.social_tokens(F.col("text")), FREQUENT_WORDS)
-    )
+    rows = document_tokens(spark, sf_dir)
+    words = vocabulary.frequent_words(rows, "tokens", C.HFW_TOP_N)
+    masked = rows.select("id", patterns.mask_rare_words(F.col("tokens"), words).alias("list"))
+    return masked.select("id", joined("list"), F.size("list").cast("bigint").alias("n_tokens"))
 
 
 @query
@@ -452,11 +480,12 @@ for _scenario in C.SCENARIOS:
 @query
 def jaccard_pair(spark, sf_dir):
     """Similarity of neighbouring turns of each conversation."""
-    turns = spread(table(spark, sf_dir, "conversations")).select(
+    turns = table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", F.array_distinct(tokens.tokenize_gaps(F.col("text"))).alias("t")
     )
-    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("u"))
-    return turns.join(after, ["conv_id", "turn"]).select(
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    both = turns.withColumn("u", F.lead("t").over(order)).withColumn("after", F.lead("turn").over(order))
+    return both.where(F.col("after") == F.col("turn") + 1).select(
         "conv_id", "turn", tokens.jaccard(F.col("t"), F.col("u")).alias("similarity")
     )
 
@@ -470,8 +499,7 @@ def _vector_query(spark, sf_dir, pipeline, cleaner) -> DataFrame:
     )
     out = pipeline.fit(rows).transform(rows)
     plain = out.select("id", "label", ml_stages.without_attributes("features"))
-    indices = ml_stages.vector_indices(F.col("features"))
-    return plain.select("id", "label", joined(indices, ",", "indices"))
+    return plain.select("id", "label", ml_stages.vector_entries(F.col("features")).alias("entries"))
 
 
 @query
@@ -488,23 +516,23 @@ def hashing_tf_binary(spark, sf_dir):
 @query
 def count_vectorizer(spark, sf_dir):
     rows = document_tokens(spark, sf_dir)
-    terms = vocabulary.term_index(rows, F.col("tokens"))
-    indices = vocabulary.presence_indices(rows, "id", F.col("tokens"), terms)
-    return indices.select("id", joined("indices", ",", "indices"))
+    terms = vocabulary.term_list(rows, "tokens")
+    return vocabulary.with_presence(rows, "tokens", terms).select("id", joined("indices", ",", "indices"))
 
 
 @query
 def assemble_blocks(spark, sf_dir):
+    """Presence of every token and every bigram of the corpus, side by side."""
     rows = document_tokens(spark, sf_dir).withColumn("bigrams", tokens.ngrams(F.col("tokens"), 2))
     rows = materialize(rows, "blocks")
-    out, widths = rows, {"tokens": 5000, "bigrams": 20000}
-    for name, width in widths.items():
-        terms = vocabulary.term_index(rows, F.col(name), width)
-        out = out.join(
-            vocabulary.presence_indices(rows, "id", F.col(name), terms, f"{name}_indices"), "id"
-        )
-    both = vocabulary.assemble([(F.col(f"{n}_indices"), w) for n, w in widths.items()])
-    return out.select("id", joined(both, ",", "indices"))
+    out, parts = rows.select("id"), []
+    for name in ("tokens", "bigrams"):
+        index = materialize(vocabulary.full_index(rows, F.col(name)), f"{name}_index")
+        found = vocabulary.full_presence(rows, "id", F.col(name), index, f"{name}_indices")
+        out = out.join(found, "id", "left")
+        listed = F.coalesce(f"{name}_indices", F.expr("cast(array() as array<bigint>)"))
+        parts.append((listed, index.count()))
+    return out.select("id", joined(vocabulary.assemble(parts), ",", "indices"))
 
 
 @query
@@ -518,17 +546,13 @@ def bloom_indices(spark, sf_dir):
 def bloom_vs_hashing(spark, sf_dir):
     """The same classifier on hashed presence and on Bloom presence features."""
     rows = engine_rows(spark, sf_dir)
-    hashed = ml_stages._presence("tokens", "vector", C.HASH_BUCKETS).transform(rows)
-    kinds = {
-        "hashing": hashed.withColumn("bits", ml_stages.vector_indices(F.col("vector"))),
-        "bloom": rows.withColumn(
-            "bits", hashing.bloom_indices(F.col("tokens"), C.HASH_BUCKETS, BLOOM_HASHES)
-        ),
-    }
+    bits = hashing.bloom_indices(F.col("tokens"), C.HASH_BUCKETS, BLOOM_HASHES)
+    bloom = rows.select(
+        "id", "label", "is_test", F.transform(bits, lambda i: i.cast("string")).alias("features")
+    )
     out = None
-    for kind, df in kinds.items():
-        strings = F.transform("bits", lambda i: i.cast("string")).alias("features")
-        feats = materialize(df.select("id", "label", "is_test", strings), kind)
+    for kind, df in {"hashing": _hashed_rows(rows), "bloom": bloom}.items():
+        feats = materialize(df, kind)
         one = experiment.knn_evaluate(labels.keep_nonempty(feats, "features"), 50)
         one = one.withColumn("kind", F.lit(kind))
         out = one if out is None else out.unionByName(one)
@@ -544,11 +568,9 @@ def _pipeline_query(scenario: int) -> Query:
         )
         rows = materialize(sampling.split_random(rows), "pipeline_in")
         model = ml_stages.experiment_pipeline(scenario).fit(rows.where("not is_test"))
-        indices = ml_stages.vector_indices(F.col("features"))
-        out = model.transform(rows).select("id", "label", "is_test", indices.alias("bits"))
-        return labels.keep_nonempty(materialize(out, "pipeline_out"), "bits").select(
-            "id", "label", "is_test", joined("bits", ",", "indices")
-        )
+        entries = ml_stages.vector_entries(F.col("features"))
+        out = model.transform(rows).select("id", "label", "is_test", entries.alias("entries"))
+        return materialize(out, "pipeline_out").where("entries <> ''")
 
     return run
 
@@ -562,18 +584,19 @@ for _number in (1, 2, 3, 4):
 
 @query
 def count_rows(spark, sf_dir):
-    split = sampling.split_random(labelled(spark, sf_dir).select("id"))
+    """Rows of the table and of its labelled, training and test parts, in one pass."""
+    marks = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("marked"))
+    docs = table(spark, sf_dir, "documents").select("doc_id").join(marks, "doc_id", "left")
+    split = sampling.split_random(docs, "doc_id")
     parts = {
-        "documents": table(spark, sf_dir, "documents"),
-        "labelled": split,
-        "train": split.where("not is_test"),
-        "test": split.where("is_test"),
+        "documents": F.lit(True),
+        "labelled": F.col("marked"),
+        "train": F.col("marked") & ~F.col("is_test"),
+        "test": F.col("marked") & F.col("is_test"),
     }
-    out = None
-    for name, df in parts.items():
-        one = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("part"), "n_rows")
-        out = one if out is None else out.unionByName(one)
-    return out
+    counts = split.agg(*[F.count(F.when(test, 1)).alias(name) for name, test in parts.items()])
+    listed = [F.struct(F.lit(name).alias("part"), F.col(name).alias("n_rows")) for name in parts]
+    return counts.select(F.inline(F.array(*listed)))
 
 
 @query
@@ -613,12 +636,14 @@ def dedupe_raw_text(spark, sf_dir):
 
 @query
 def retained_pct(spark, sf_dir):
-    rows = document_tokens(spark, sf_dir)
-    out = None
-    for name, n in (("unigram", 1), ("bigram", 2), ("patterns", C.SEQUENCE_LENGTH)):
-        one = labels.retained(rows, F.size("tokens") >= n).withColumn("scenario", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Rows that have features in each scenario, the learnt vocabulary applied."""
+    rows = harness_rows(spark, sf_dir).withColumn("is_test", F.lit(False)).withColumn("run", F.lit(1))
+    listed = features.harness_features_by_run(rows, "run", list(C.SCENARIOS))
+    filled = [(F.col("scenario") == s) & (F.size("features") > 0) for s in C.SCENARIOS]
+    per_row = listed.groupBy("id").agg(
+        *[F.bool_or(test).alias(s) for s, test in zip(C.SCENARIOS, filled)]
+    )
+    return labels.retained(per_row, {s: F.col(s) for s in C.SCENARIOS})
 
 
 @query
@@ -656,15 +681,33 @@ def jaccard_threshold_join(spark, sf_dir):
 
 @query
 def pairs_distinct(spark, sf_dir):
+    # the join gives every pair once
     pairs = similarity_join.threshold_pairs(unigram_rows(spark, sf_dir), C.DISTANCE_THRESHOLD)
-    return pairs.select("test_id", "train_id").dropDuplicates(["test_id", "train_id"])
+    return pairs.select("test_id", "train_id")
 
 
 @query
 def lsh_similarity_join(spark, sf_dir):
-    return experiment.lsh_neighbors(
-        unigram_rows(spark, sf_dir), SIGNATURE_HASHES, C.DISTANCE_THRESHOLD
-    ).select("test_id", "train_id", "distance", "first_table")
+    """One hash a table, as few as a candidate can have."""
+    pairs = lsh_join.lsh_pairs(unigram_rows(spark, sf_dir), SIGNATURE_HASHES, C.DISTANCE_THRESHOLD)
+    return pairs.select("test_id", "train_id", "distance", F.col("first_band").alias("first_table"))
+
+
+def _hashed_rows(rows: DataFrame) -> DataFrame:
+    """The engine's rows with their hashed presence features."""
+    hashed = ml_stages.presence("tokens", "vector", C.HASH_BUCKETS).transform(rows)
+    bits = F.transform(ml_stages.vector_indices(F.col("vector")), lambda i: i.cast("string"))
+    return hashed.select("id", "label", "is_test", bits.alias("features"))
+
+
+@query
+def lsh_join_hashed(spark, sf_dir):
+    """Hashed features into the LSH join, two signature values a band."""
+    rows = materialize(_hashed_rows(engine_rows(spark, sf_dir)), "hashed")
+    pairs = lsh_join.lsh_pairs(
+        labels.keep_nonempty(rows, "features"), SIGNATURE_HASHES, C.DISTANCE_THRESHOLD, ROWS_PER_BAND
+    )
+    return pairs.select("test_id", "train_id", "distance", "first_band")
 
 
 @query
@@ -773,40 +816,45 @@ def knn_evaluate(spark, sf_dir):
     return experiment.knn_evaluate(unigram_rows(spark, sf_dir), 50)
 
 
+@query
+def knn_evaluate_ternary(spark, sf_dir):
+    """Three classes through split, join, vote and fallback."""
+    rows = features.engine_features(engine_rows(spark, sf_dir, C.NUMERIC_TERNARY), 1)
+    return experiment.knn_evaluate(rows, 50)
+
+
 @query
 def knn_grid(spark, sf_dir):
-    return experiment.knn_grid(engine_rows(spark, sf_dir))
+    return _cells(spark, sf_dir)
 
 
 @query
 def fraction_sweep(spark, sf_dir):
-    return _sweep(spark, sf_dir)
+    return _sweep(spark, sf_dir)[0]
 
 
 @query
 def best_config(spark, sf_dir):
-    keys = ["num_hash_tables", "k"]
-    return experiment.best_config(_unigram_cells(spark, sf_dir), keys).select(*keys, "accuracy")
+    best = experiment.best_config(_cells(spark, sf_dir), experiment.RESULT_KEYS)
+    return best.select(*experiment.RESULT_KEYS, "accuracy")
 
 
 @query
 def results_sorted(spark, sf_dir):
-    return experiment.results_sorted(_unigram_cells(spark, sf_dir))
+    return experiment.results_sorted(_cells(spark, sf_dir))
 
 
 @query
 def best_per_run(spark, sf_dir):
     best = experiment.best_per_run(
-        _timed(_sweep(spark, sf_dir)), ("scenario", "fraction"), ["num_hash_tables", "k"]
+        _with_costs(_sweep(spark, sf_dir)[0]), ("scenario", "fraction"), ["num_hash_tables", "k"], COSTS, "total_m"
     )
-    return best.select("scenario", "fraction", "num_hash_tables", "k", "accuracy", "total_time_sec")
+    return best.select("scenario", "fraction", "num_hash_tables", "k", "accuracy", "total_m")
 
 
 def _summary(spark, sf_dir) -> DataFrame:
-    rows = harness_rows(spark, sf_dir)
-    base = rows.count()
-    cells = experiment.fraction_sweep(rows, base=base, table_counts=SWEEP_TABLES)
-    return experiment.sweep_summary(_timed(cells), base)
+    cells, base = _sweep(spark, sf_dir)
+    return experiment.sweep_summary(_with_costs(cells), base, COSTS, "total_m")
 
 
 @query
@@ -816,4 +864,4 @@ def sweep_summary(spark, sf_dir):
 
 @query
 def sweep_pivot(spark, sf_dir):
-    return experiment.sweep_pivot(_summary(spark, sf_dir), "training_time_sec")
+    return experiment.sweep_pivot(_summary(spark, sf_dir), ["train_rows_m", "total_m"])

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..operators.forest import first_agreement, forest_topk, with_overlap, with_signature
+from ..operators.forest import forest_topk, with_overlap, with_signature
 from ..operators.labels import count_per_class, keep_nonempty
-from ..operators.sampling import clamp_fractions, sample_uniform, split_stratified
-from ..operators.similarity_join import rank_neighbors, threshold_pairs, topk_pairs
+from ..operators.sampling import clamp_fractions, split_stratified, with_position
+from ..operators.similarity_join import block_pairs, rank_neighbors, topk_pairs
 from ..operators.votes import at_each_k, evaluate, for_each_k
 from ..session import materialize
-from .features import engine_features, harness_features
+from .features import engine_features, harness_features_by_run
 
 RESULT_KEYS = ["use_neutral", "scenario", "num_hash_tables", "k"]
 
@@ -46,48 +46,23 @@ def knn_evaluate(rows: DataFrame, k: int, threshold: float = C.DISTANCE_THRESHOL
     return evaluate(neighbors, for_each_k(_tests(rows), [k]), ("k",))
 
 
-def lsh_neighbors(
-    rows: DataFrame, num_tables: int, threshold: float, seed: int = C.SEED
-) -> DataFrame:
-    """Pairs of the MinHash LSH join with one hash per table, with ``first_table``.
-
-    A pair belongs to the join if any hash table agrees and its distance is below the
-    threshold. The two tests commute; the threshold goes first, since buckets of one hash
-    value are as large as the most frequent token and would emit all their pairs.
-    """
-    signed = materialize(with_signature(rows.select("id", "features"), num_tables, seed), "signed")
-    pairs = first_agreement(threshold_pairs(rows, threshold), signed)
-    return pairs.where(F.col("first_table").isNotNull())
-
-
 def lsh_topk(
     rows: DataFrame, k: int, table_counts: list[int], threshold: float, seed: int = C.SEED
 ) -> DataFrame:
     """Ranked neighbours ``num_hash_tables, test_id, ..., rank`` of the LSH join per table count.
 
-    One signature of the largest table count serves all: its first n values are the
-    signature with n tables, so a pair takes part for every n from ``first_table`` on. The
-    candidates are the k nearest by exact distance. Only where one of a test row's k fails
-    to agree in some table (about one in a million pairs) could a further pair move up;
-    those rows alone go through the full join.
+    The join has one hash a table: a pair takes part if any table agrees and its distance is
+    below the threshold. One signature of the largest table count serves all, as its first n
+    values are the signature with n tables; one pass over the blocks finds, for each table
+    count, what can be among the k nearest.
     """
-    signed = materialize(
-        with_signature(rows.select("id", "features"), max(table_counts), seed), "signed"
-    )
-    near = materialize(first_agreement(topk_pairs(rows, k, threshold), signed), "near")
-    agreed = F.coalesce(F.col("first_table") <= min(table_counts), F.lit(False))
-    redo = near.groupBy("test_id").agg(F.bool_and(agreed).alias("whole"), F.max("rank").alias("n"))
-    redo = materialize(redo.where(~F.col("whole") & (F.col("n") == k)).select("test_id"), "redo")
-    if not redo.isEmpty():
-        again = rows.join(redo.withColumnRenamed("test_id", "id"), "id", "left_semi")
-        some = materialize(again.where("is_test").unionByName(rows.where("not is_test")), "some")
-        full = first_agreement(threshold_pairs(some, threshold), signed)
-        near = near.join(redo, "test_id", "left_anti").drop("rank").unionByName(full)
+    signed = materialize(with_signature(rows, max(table_counts), seed), "signed")
+    near = materialize(block_pairs(signed, threshold, k, table_counts), "near")
     counts = ", ".join(str(n) for n in sorted(set(table_counts)))
     per_count = near.withColumn(
         "num_hash_tables", F.expr(f"explode(filter(array({counts}), n -> first_table <= n))")
     )
-    return rank_neighbors(per_count.drop("rank"), k, ("num_hash_tables", "test_id"))
+    return rank_neighbors(per_count, k, ("num_hash_tables", "test_id"))
 
 
 def knn_grid(
@@ -124,14 +99,21 @@ def knn_grid(
 def nested_samples(
     rows: DataFrame, fractions: list[float], base: int, seed: int = C.SEED
 ) -> DataFrame:
-    """``rows`` once per fraction it is in, with ``fraction``; smaller samples are nested."""
-    parts = [
-        sample_uniform(rows, max(1, int(round(base * f))), "id", seed).withColumn(
-            "fraction", F.lit(f)
-        )
-        for f in clamp_fractions(fractions)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """``rows`` once per fraction it is in, with ``fraction``; smaller samples are nested.
+
+    One position in the stable random order decides all fractions.
+    """
+    sizes = F.array(
+        *[
+            F.struct(F.lit(f).alias("fraction"), F.lit(max(1, int(round(base * f)))).alias("size"))
+            for f in clamp_fractions(fractions)
+        ]
+    )
+    placed = with_position(rows, "id", seed)
+    taken = F.explode(F.filter(sizes, lambda s: F.col("position") <= s["size"]))
+    return placed.withColumn("sample", taken).select(
+        *rows.columns, F.col("sample.fraction").alias("fraction")
+    )
 
 
 def fraction_sweep(
@@ -149,25 +131,15 @@ def fraction_sweep(
     ``rows`` is a written table ``id, label, tokens``. All (scenario, fraction) runs share
     one plan per table count: the run is a key of every join, so the grid is one set of
     shuffles and not one job per cell. Vocabularies are fitted on the training rows of
-    each sample, hence the split comes before the features.
+    each sample, all of them in one aggregate, hence the split comes before the features.
     """
     runs = ("scenario", "fraction")
     samples = materialize(nested_samples(rows, list(fractions), base, seed), "samples")
     split = materialize(
         split_stratified(samples, "id", test_fraction, seed, ("fraction", "label")), "split"
     )
-    parts = []
-    for scenario in scenarios:
-        if scenario in ("unigram", "bigram"):
-            pieces = [harness_features(split, scenario)]
-        else:
-            pieces = [
-                harness_features(of, scenario, of.where("not is_test"))
-                for of in (split.where(F.col("fraction") == f) for f in clamp_fractions(fractions))
-            ]
-        parts += [piece.withColumn("scenario", F.lit(scenario)) for piece in pieces]
-    columns = [*runs, "id", "label", "is_test", "features"]
-    featured = reduce(DataFrame.unionByName, [part.select(*columns) for part in parts])
+    featured = harness_features_by_run(split, "fraction", list(scenarios))
+    featured = featured.select(*runs, "id", "label", "is_test", "features")
     featured = keep_nonempty(materialize(featured, "sweep"), "features")
 
     order = Window.partitionBy(*runs).orderBy(F.desc("n"), "label")
@@ -207,24 +179,34 @@ def results_sorted(results: DataFrame, keys: list[str] = RESULT_KEYS) -> DataFra
     return results.orderBy(*keys)
 
 
-def best_per_run(results: DataFrame, runs: tuple[str, ...], keys: list[str]) -> DataFrame:
-    """Best row per run: accuracy, then shorter total time, then configuration keys.
+def best_per_run(
+    results: DataFrame,
+    runs: tuple[str, ...],
+    keys: list[str],
+    costs: tuple[str, str] = ("training_time_sec", "evaluation_time_sec"),
+    total: str = "total_time_sec",
+) -> DataFrame:
+    """Best row per run: accuracy, then the smaller sum of ``costs``, then configuration keys.
 
-    A missing evaluation time counts 0.
+    The second cost may be missing, as a column or in rows; it then counts 0. ``total`` names
+    the sum.
     """
     zero = F.lit(0.0)
-    evaluation = F.col("evaluation_time_sec") if "evaluation_time_sec" in results.columns else zero
-    timed = results.withColumn(
-        "evaluation_time_sec", F.coalesce(evaluation, zero)
-    ).withColumn("total_time_sec", F.col("training_time_sec") + F.col("evaluation_time_sec"))
-    order = Window.partitionBy(*runs).orderBy(F.desc("accuracy"), "total_time_sec", *keys)
-    return timed.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+    second = F.coalesce(F.col(costs[1]), zero) if costs[1] in results.columns else zero
+    summed = results.withColumn(costs[1], second).withColumn(total, F.col(costs[0]) + F.col(costs[1]))
+    order = Window.partitionBy(*runs).orderBy(F.desc("accuracy"), total, *keys)
+    return summed.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
-def sweep_summary(results: DataFrame, base: int) -> DataFrame:
+def sweep_summary(
+    results: DataFrame,
+    base: int,
+    costs: tuple[str, str] = ("training_time_sec", "evaluation_time_sec"),
+    total: str = "total_time_sec",
+) -> DataFrame:
     """Best row per (scenario, fraction) with the sample sizes of the run."""
     size = F.greatest(F.lit(1), F.rint(F.col("fraction") * base).cast("bigint"))
-    best = best_per_run(results, ("scenario", "fraction"), ["num_hash_tables", "k"])
+    best = best_per_run(results, ("scenario", "fraction"), ["num_hash_tables", "k"], costs, total)
     label = F.coalesce(
         *[F.when(F.col("scenario") == s, F.lit(name)) for s, name in C.SCENARIOS.items()]
     )
@@ -237,19 +219,22 @@ def sweep_summary(results: DataFrame, base: int) -> DataFrame:
         "num_hash_tables",
         "k",
         "accuracy",
-        "training_time_sec",
-        "evaluation_time_sec",
-        "total_time_sec",
+        *costs,
+        total,
     )
 
 
-def sweep_pivot(summary: DataFrame, value: str) -> DataFrame:
-    """Fractions down, scenarios across; 0 where a run is absent."""
+def sweep_pivot(summary: DataFrame, values: list[str]) -> DataFrame:
+    """Per value a block ``measure``: fractions down, scenarios across; 0 where a run is absent."""
     names = list(C.SCENARIOS)
+    measures = F.array(
+        *[F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("value")) for v in values]
+    )
     return (
-        summary.groupBy(F.col("fraction_actual").alias("fraction"))
+        summary.select(F.col("fraction_actual").alias("fraction"), "scenario", F.inline(measures))
+        .groupBy("measure", "fraction")
         .pivot("scenario", names)
-        .agg(F.first(value))
+        .agg(F.first("value"))
         .fillna(0.0, subset=names)
-        .orderBy("fraction")
+        .orderBy("measure", "fraction")
     )

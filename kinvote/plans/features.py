@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.patterns import with_patterns
-from ..functions.tokens import ngrams, scenario_features
+from ..functions.tokens import dedupe_tokens, ngrams, scenario_features, sequence_grams
 from ..operators.labels import keep_nonempty
-from ..operators.vocabulary import frequent_words, presence_indices, sequence_vocabulary, term_index
+from ..operators.vocabulary import (
+    frequent_words,
+    run_vocabularies,
+    sequence_vocabulary,
+    term_list,
+    with_presence,
+)
 from ..session import materialize
 
 
@@ -43,11 +49,8 @@ def engine_features(rows: DataFrame, scenario: int) -> DataFrame:
         return filled.select(*keys, blocks[scenario].alias("features"))
 
     rows = materialize(with_frequent_patterns(rows, rows.where("not is_test")), "patterns")
-    vocabulary = materialize(
-        term_index(rows.where("not is_test"), F.col("patterns"), C.PATTERN_COLUMN_VOCAB), "vocab"
-    )
-    indices = presence_indices(rows, "id", F.col("patterns"), vocabulary)
-    rows = rows.join(indices, "id")
+    vocabulary = term_list(rows.where("not is_test"), "patterns", C.PATTERN_COLUMN_VOCAB)
+    rows = with_presence(rows, "patterns", vocabulary)
     if scenario == 3:
         features = _tagged(F.col("indices"), "")
     else:
@@ -70,3 +73,26 @@ def harness_features(
         vocabulary = sequence_vocabulary(rows if fit_on is None else fit_on, "tokens")
     features = scenario_features(F.col("tokens"), scenario, vocabulary=vocabulary)
     return rows.withColumn("features", features)
+
+
+def harness_features_by_run(rows: DataFrame, run: str, scenarios: list[str]) -> DataFrame:
+    """``harness_features`` of every scenario, each run with the vocabulary of its training rows.
+
+    One aggregate learns the vocabularies of all runs; they come back to the rows as one list
+    a run. Adds ``scenario`` and ``features``; a row stands once for each scenario.
+    """
+    tokens = F.col("tokens")
+    sequences = sequence_grams(tokens, C.SEQUENCE_LENGTH)
+    learnt = run_vocabularies(rows.where("not is_test"), [run], sequences, C.SEQUENCE_VOCAB)
+    known = F.coalesce("vocabulary", F.expr("cast(array() as array<string>)"))
+    # an empty vocabulary keeps everything; array_intersect keeps the order of its first list
+    kept = F.when(F.size(known) == 0, sequences).otherwise(F.array_intersect(sequences, known))
+    parts = {"unigram": tokens, "bigram": sequence_grams(tokens, 2), "patterns": kept}
+    lists = {**{name: [col] for name, col in parts.items()}, "all": list(parts.values())}
+    made = F.array(
+        *[
+            F.struct(F.lit(s).alias("scenario"), dedupe_tokens(F.concat(*lists[s])).alias("features"))
+            for s in scenarios
+        ]
+    )
+    return rows.join(learnt, run, "left").select(*rows.columns, F.inline(made))

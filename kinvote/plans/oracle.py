@@ -5,18 +5,40 @@ Shared steps are common table expressions (``_cte``); every statement is one SEL
 
 from __future__ import annotations
 
-from .. import constants as C
-from ..functions.hashing import coefficients
-from .catalog import (
-    BLOOM_BITS,
-    BLOOM_HASHES,
-    CUSTOM_STOP_WORDS,
-    FREQUENT_WORDS,
-    SIGNATURE_HASHES,
-    SWEEP_TABLES,
-)
+import hashlib
 
+from ..constants import ENGLISH_STOP_WORDS
+
+# The statements' own parameters; the queries state theirs elsewhere.
 PRIME = 2147483647
+BLOOM_BITS, BLOOM_HASHES = 32768, 3
+HASH_BUCKETS, JOB_HASH_BUCKETS = 32768, 262144
+SIGNATURE_HASHES, ROWS_PER_BAND = 128, 2
+NUM_HASH_TABLES, K_VALUES = [128, 250], [50, 100, 150, 200]
+FRACTIONS = [0.2, 0.4, 0.6, 0.8, 1.0]
+THRESHOLD = 0.9
+TOP_WORDS, PATTERN_COLUMNS, SEQUENCES, SEQUENCE_LENGTH = 300, 20000, 600, 3
+FOREST_TREES = 8
+PLATFORM_STOP_WORDS = ["rt", "amp", "https", "http", "co", "im"]
+EXTENDED_STOP_WORDS = ENGLISH_STOP_WORDS + PLATFORM_STOP_WORDS
+CUSTOM_STOP_WORDS = ["the", "of", "and", "to", "in", "that", "is", "que", "de", "la", "und", "der"]
+MATCH_PATTERN = r"[a-zA-ZÀ-ÿ0-9#@']+"
+SCENARIOS = {
+    "unigram": "scenario1_unigram",
+    "bigram": "scenario2_bigram",
+    "patterns": "scenario3_patterns",
+    "all": "scenario4_all",
+}
+
+
+def coefficients(count: int) -> tuple[list[int], list[int]]:
+    """Pairs (a, b) of the MinHash family: numbers from an MD5 of seed, name and place."""
+    drawn = {
+        kind: [int(hashlib.md5(f"42:{kind}:{j}".encode()).hexdigest()[:8], 16) for j in range(count)]
+        for kind in "ab"
+    }
+    return [1 + x % (PRIME - 1) for x in drawn["a"]], [x % PRIME for x in drawn["b"]]
+
 
 RAW = "CASE WHEN l.toxic = 1 THEN 0 WHEN l.quality = 1 THEN 4 WHEN l.quality = 0 THEN 2 END"
 WORD = f"CASE {RAW} WHEN 0 THEN 'Negative' WHEN 2 THEN 'neutral' WHEN 4 THEN 'POSITIVE' END"
@@ -78,11 +100,11 @@ def _drop(expr: str, words) -> str:
 
 
 def _social_tokens(col: str) -> str:
-    return _drop(_gaps(_social(col)), C.EXTENDED_STOP_WORDS)
+    return _drop(_gaps(_social(col)), EXTENDED_STOP_WORDS)
 
 
 def _match(col: str, words) -> str:
-    found = f"regexp_extract_all({_ascii(col)}, {_q(C.MATCH_PATTERN)})"
+    found = f"regexp_extract_all({_ascii(col)}, {_q(MATCH_PATTERN)})"
     bare = f"list_transform({found}, lambda t: trim(t, ''''))"
     return (
         f"list_filter({bare}, lambda t: t <> '' AND NOT list_contains({_words(words)}, t) "
@@ -122,20 +144,27 @@ def _is_test(key: str) -> str:
 
 # ------------------------------------------------------------------ shared steps
 
-ENGINE = f"""
+def _engine(label: str = "l.quality") -> str:
+    return f"""
   eng_clean AS (
-    SELECT d.doc_id AS id, l.quality AS label, {_social('d.text')} AS tc FROM {INNER}
+    SELECT * FROM (SELECT d.doc_id AS id, {label} AS label, {_social('d.text')} AS tc FROM {INNER})
+    WHERE label IS NOT NULL
   ), eng_kept AS (
     SELECT id, label, tc FROM (
       SELECT *, row_number() OVER (PARTITION BY tc ORDER BY id) AS rn FROM eng_clean
     ) WHERE rn = 1
   ), eng AS (
     SELECT id, label, {_is_test('id')} AS is_test,
-           {_drop(_gaps('tc'), C.EXTENDED_STOP_WORDS)} AS tokens
+           {_drop(_gaps('tc'), EXTENDED_STOP_WORDS)} AS tokens
     FROM eng_kept
   )"""
 
 
+ENGINE = _engine()
+BINARY = f"CASE {RAW} WHEN 0 THEN 0 WHEN 4 THEN 1 END"
+TERNARY = f"CASE {RAW} WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 4 THEN 2 END"
+
+
 def _feature_rows(scenario: int) -> str:
     """``feat(id, label, is_test, f)`` of an engine scenario, from ``eng``."""
     unigrams = "list_distinct(tokens)"
@@ -149,7 +178,7 @@ def _feature_rows(scenario: int) -> str:
       {_pattern_ctes("(SELECT id, tokens AS t FROM eng)", "(SELECT tokens AS t FROM eng WHERE NOT is_test)")},
       pvoc AS (
         SELECT pattern FROM pats JOIN eng USING (id) WHERE NOT is_test
-        GROUP BY pattern ORDER BY count(*) DESC, pattern LIMIT {C.PATTERN_COLUMN_VOCAB}
+        GROUP BY pattern ORDER BY count(*) DESC, pattern LIMIT {PATTERN_COLUMNS}
       ), kept AS (
         SELECT id, list(pattern) AS p FROM pats JOIN pvoc USING (pattern) GROUP BY id
       )"""
@@ -168,11 +197,11 @@ def _pattern_ctes(rows: str, fit: str) -> str:
     """``pats(id, n, pos, pattern)``: first patterns of each row, in order."""
     windows = " UNION ALL ".join(
         f"""SELECT id, {n} AS n, unnest(range(1, greatest(len(m) - {n - 1}, 0) + 1)) AS pos, m FROM masked"""
-        for n in range(C.PATTERN_MIN_N, C.PATTERN_MAX_N + 1)
+        for n in range(3, 7)
     )
     return f"""hfw AS (
         SELECT w FROM (SELECT unnest(t) AS w FROM {fit}) GROUP BY w
-        ORDER BY count(*) DESC, w LIMIT {C.HFW_TOP_N}
+        ORDER BY count(*) DESC, w LIMIT {TOP_WORDS}
       ), hfw_list AS (SELECT list(w) AS ws FROM hfw
       ), masked AS (
         SELECT id, list(CASE WHEN h.w IS NULL THEN '*' ELSE x.w END ORDER BY p) AS m
@@ -181,18 +210,15 @@ def _pattern_ctes(rows: str, fit: str) -> str:
       ), wins AS (
         SELECT id, n, pos, list_slice(m, pos, pos + n - 1) AS win FROM ({windows})
       ), pats AS (
-        SELECT id, n, pos, pattern FROM (
-          SELECT *, row_number() OVER (PARTITION BY id ORDER BY n, pos) AS r FROM (
-            SELECT id, array_to_string(win, '_') AS pattern,
-                   min(n) AS n, min(pos) AS pos
-            FROM wins WHERE len(list_filter(win, lambda w: w <> '*')) >= {C.PATTERN_MIN_HFW}
-            GROUP BY id, array_to_string(win, '_')
-          )
-        ) WHERE r <= {C.PATTERN_CAP}
+        SELECT id, min(n) AS n, min(pos) FILTER (n = least_n) AS pos, pattern FROM (
+          SELECT id, n, pos, array_to_string(win, '_') AS pattern,
+                 min(n) OVER (PARTITION BY id, array_to_string(win, '_')) AS least_n
+          FROM wins WHERE len(list_filter(win, lambda w: w <> '*')) >= 2
+        ) GROUP BY id, pattern
       )"""
 
 
-def _pairs(threshold: float = C.DISTANCE_THRESHOLD) -> str:
+def _pairs(threshold: float = THRESHOLD) -> str:
     return f"""
       tok AS (SELECT id, label, is_test, len(f) AS n, unnest(f) AS t FROM feat),
       near AS (
@@ -239,7 +265,7 @@ PREDICTIONS = """
     FROM feat f LEFT JOIN winner w ON f.id = w.test_id WHERE f.is_test
   )"""
 
-EVALUATED = f"""{NEIGHBORS}, {VOTES}, {PREDICTIONS}, cell AS (
+CELL = """cell AS (
     SELECT 50 AS k, count(*) FILTER (prediction = test_label) / count(*) AS accuracy,
            (SELECT count(*) FROM top) / count(*) AS avg_candidates,
            (SELECT count(*) FROM top) AS neighbor_pairs,
@@ -247,6 +273,50 @@ EVALUATED = f"""{NEIGHBORS}, {VOTES}, {PREDICTIONS}, cell AS (
            (SELECT count(*) FROM feat WHERE NOT is_test) AS train_size
     FROM preds)"""
 
+EVALUATED = f"{NEIGHBORS}, {VOTES}, {PREDICTIONS}, {CELL}"
+
+
+# Spark ML's term hash: MurmurHash3, 32 bits, seed 42, over UTF-8 bytes, as a signed number
+_M = "4294967295::UBIGINT"
+_ROT = lambda x, n: f"((({x} << {n}) | ({x} >> {32 - n})) & {_M})"
+
+
+def _murmur(words: str, buckets: int) -> str:
+    """``hashed_terms(w, i)``: the bucket of each distinct term ``w`` of the rows ``words``."""
+    octet = lambda at: f"('0x' || substr(h, 2 * ({at}) + 1, 2))::UBIGINT"
+    block = " + ".join(f"{octet(f'4 * b + {j}')} * {256 ** j}" for j in range(4))
+    tail = " + ".join(
+        f"CASE WHEN size % 4 > {j} THEN {octet(f'size - size % 4 + {j}')} * {256 ** j} ELSE 0 END" for j in range(3)
+    )
+    mixed = lambda k: f"(({_ROT(f'(({k} * 3432918353::UBIGINT) & {_M})', 15)} * 461845907::UBIGINT) & {_M})"
+    joined = lambda h, k: f"(({_ROT(f'xor({h}, {k})', 13)} * 5::UBIGINT + 3864292196::UBIGINT) & {_M})"
+    return f"""murmur_terms AS (
+        SELECT w, hex(encode(w)) AS h, octet_length(encode(w))::BIGINT AS size FROM (SELECT DISTINCT w FROM {words})
+      ), murmur_blocks AS (
+        SELECT w, size, list_transform(range(0, size // 4), lambda b: {mixed(f'({block})')}) AS ks,
+               {mixed(f'(({tail})::UBIGINT)')} AS rest
+        FROM murmur_terms
+      ), murmur_body AS (
+        SELECT w, xor(xor(list_reduce(ks, lambda h, k: {joined('h', 'k')}, 42::UBIGINT), rest), size::UBIGINT) AS a
+        FROM murmur_blocks
+      ), murmur_mid AS (
+        SELECT w, ((xor(a, a >> 16)) * 2246822507::UBIGINT) & {_M} AS a FROM murmur_body
+      ), murmur_end AS (
+        SELECT w, ((xor(a, a >> 13)) * 3266489909::UBIGINT) & {_M} AS a FROM murmur_mid
+      ), hashed_terms AS (
+        SELECT w, (xor(a, a >> 16) & {_M})::BIGINT AS v FROM murmur_end
+      ), hashed_buckets AS (
+        SELECT w, (CASE WHEN v >= 2147483648 THEN v - 4294967296 ELSE v END % {buckets} + {buckets}) % {buckets} AS i
+        FROM hashed_terms
+      )"""
+
+
+def _entries(source: str) -> str:
+    """``listed(id, entries)``: ``index:value`` pairs of (id, i, n) rows, joined in order."""
+    return f"""listed AS (
+        SELECT id, string_agg(i || ':' || n, ',' ORDER BY i) AS entries
+        FROM (SELECT id, i, sum(n)::BIGINT AS n FROM {source} GROUP BY id, i) GROUP BY id)"""
+
 
 def _coefficient_rows(count: int) -> str:
     a, b = coefficients(count)
@@ -267,7 +337,7 @@ def _signatures(rows: str, count: int, keys: str = "id") -> str:
 
 def _forest(count: int, k: int, runs: str = "") -> str:
     """``forest(runs, test_id, train_id, depth, rank)`` by comparing all prefixes."""
-    depth = count // C.FOREST_TREES
+    depth = count // FOREST_TREES
     r = f"{runs}, " if runs else ""
     using = f"{r}tree, d, prefix"
     return f"""
@@ -275,7 +345,7 @@ def _forest(count: int, k: int, runs: str = "") -> str:
       prefixes AS (
         SELECT {r}id, is_test, tree, d,
                list_slice(s, tree * {depth} + 1, tree * {depth} + d) AS prefix
-        FROM lists JOIN feat USING ({r}id), range({C.FOREST_TREES}) x(tree), range(1, {depth + 1}) y(d)
+        FROM lists JOIN feat USING ({r}id), range({FOREST_TREES}) x(tree), range(1, {depth + 1}) y(d)
       ), forest AS (
         SELECT * FROM (
           SELECT *, row_number() OVER (
@@ -290,12 +360,13 @@ def _forest(count: int, k: int, runs: str = "") -> str:
       )"""
 
 
-def _grid(scenario: int) -> str:
-    """One SELECT with the cells of an engine scenario."""
-    tables = max(C.NUM_HASH_TABLES)
-    counts = ", ".join(f"({n})" for n in C.NUM_HASH_TABLES)
-    ks = ", ".join(f"({k})" for k in C.K_VALUES)
-    return f"""WITH {ENGINE}, {_feature_rows(scenario)}, {_pairs()}, {_signatures('feat', tables)},
+def _grid(scenario: int, neutral: int) -> str:
+    """One SELECT with the cells of an engine scenario, for two classes or three."""
+    tables = max(NUM_HASH_TABLES)
+    counts = ", ".join(f"({n})" for n in NUM_HASH_TABLES)
+    ks = ", ".join(f"({k})" for k in K_VALUES)
+    return f"""WITH {_engine(TERNARY if neutral else BINARY)}, {_feature_rows(scenario)}, {_pairs()},
+      {_signatures('feat', tables)},
       agree AS (
         SELECT n.test_id, n.train_id, min(a.j) + 1 AS first_table
         FROM near n JOIN sig a ON a.id = n.test_id
@@ -328,11 +399,11 @@ def _grid(scenario: int) -> str:
              coalesce(any_value(n), 0) / count(*) AS avg_candidates,
              coalesce(any_value(n), 0) AS neighbor_pairs,
              count(*) FILTER (is_fallback) AS n_fallback, count(*) AS test_size,
-             (SELECT count(*) FROM feat WHERE NOT is_test) AS train_size, 0 AS use_neutral
+             (SELECT count(*) FROM feat WHERE NOT is_test) AS train_size, {neutral} AS use_neutral
       FROM preds LEFT JOIN found USING (num_hash_tables, k) GROUP BY num_hash_tables, k"""
 
 
-HARNESS_WORDS = CUSTOM_STOP_WORDS + C.PLATFORM_STOP_WORDS
+HARNESS_WORDS = CUSTOM_STOP_WORDS + PLATFORM_STOP_WORDS
 HARNESS = f"""
   raw AS (
     SELECT id, label, text FROM (
@@ -345,10 +416,10 @@ HARNESS = f"""
 
 
 def _sweep(tables: int) -> str:
-    """CTEs up to ``cells``: the fraction sweep for one table count."""
-    fractions = ", ".join(f"({f}::DOUBLE)" for f in C.FRACTIONS)
-    ks = ", ".join(f"({k})" for k in C.K_VALUES)
-    bigrams, sequences = _grams("tokens", 2, "_"), _grams("tokens", C.SEQUENCE_LENGTH, "_")
+    """One SELECT with the cells of the fraction sweep for one table count."""
+    fractions = ", ".join(f"({f}::DOUBLE)" for f in FRACTIONS)
+    ks = ", ".join(f"({k})" for k in K_VALUES)
+    bigrams, sequences = _grams("tokens", 2, "_"), _grams("tokens", SEQUENCE_LENGTH, "_")
     runs = "scenario, fraction"
     return f"""WITH {HARNESS}, fractions(fraction) AS (VALUES {fractions}),
       ordered AS (
@@ -369,7 +440,7 @@ def _sweep(tables: int) -> str:
               SELECT fraction, unnest({sequences}) AS gram FROM split WHERE NOT is_test
             ) GROUP BY ALL
           )
-        ) WHERE r <= {C.SEQUENCE_VOCAB}
+        ) WHERE r <= {SEQUENCES}
       ), uni AS (SELECT fraction, id, unnest(tokens) AS t FROM split),
       bi AS (SELECT fraction, id, unnest({bigrams}) AS t FROM split),
       pat AS (
@@ -384,7 +455,7 @@ def _sweep(tables: int) -> str:
         SELECT i.scenario, fraction, id, any_value(label) AS label, any_value(is_test) AS is_test,
                list_distinct(list(t)) AS f
         FROM items i JOIN split USING (fraction, id) GROUP BY i.scenario, fraction, id
-      ), {_signatures('feat', tables, f'{runs}, id')}, {_forest(tables, max(C.K_VALUES), runs)},
+      ), {_signatures('feat', tables, f'{runs}, id')}, {_forest(tables, max(K_VALUES), runs)},
       scored AS (
         SELECT {runs}, test_id, a.label AS test_label, train_id, b.label AS train_label, rank,
                len(list_intersect(a.f, b.f)) AS overlap,
@@ -423,25 +494,31 @@ def _sweep(tables: int) -> str:
                count(*) FILTER (is_fallback) AS n_fallback, count(*) AS test_size,
                any_value(train_size) AS train_size, {tables} AS num_hash_tables
         FROM preds LEFT JOIN found USING ({runs}, k) GROUP BY {runs}, k
+      ) SELECT * FROM cells"""
+
+
+def _swept() -> str:
+    """CTEs ``cells`` (all table counts), ``timed``, ``best`` and ``summary``."""
+    runs = "scenario, fraction"
+    cells = " UNION ALL ".join(f"SELECT * FROM ({_sweep(n)})" for n in NUM_HASH_TABLES)
+    return f"""WITH {HARNESS}, cells AS ({cells}
       ), timed AS (
-        SELECT *, train_size / 1e6::DOUBLE AS training_time_sec,
-               CASE WHEN k > 50 THEN neighbor_pairs / 1e6::DOUBLE END AS evaluation_time_sec
+        SELECT *, train_size / 1e6::DOUBLE AS train_rows_m, neighbor_pairs / 1e6::DOUBLE AS pairs_m
         FROM cells
       ), best AS (
         SELECT * FROM (
-          SELECT * REPLACE (coalesce(evaluation_time_sec, 0) AS evaluation_time_sec),
-                 training_time_sec + coalesce(evaluation_time_sec, 0) AS total_time_sec,
+          SELECT *, train_rows_m + pairs_m AS total_m,
                  row_number() OVER (PARTITION BY {runs} ORDER BY accuracy DESC,
-                   training_time_sec + coalesce(evaluation_time_sec, 0), num_hash_tables, k) AS r
+                   train_rows_m + pairs_m, num_hash_tables, k) AS r
           FROM timed
         ) WHERE r = 1
       ), total AS (SELECT count(*) AS base FROM harness),
       summary AS (
-        SELECT CASE scenario {' '.join(f"WHEN '{s}' THEN '{n}'" for s, n in C.SCENARIOS.items())} END
+        SELECT CASE scenario {' '.join(f"WHEN '{s}' THEN '{n}'" for s, n in SCENARIOS.items())} END
                  AS scenario_label, scenario, fraction AS fraction_requested,
                greatest(1, round_even(base * fraction, 0))::BIGINT / base AS fraction_actual,
                greatest(1, round_even(base * fraction, 0))::BIGINT AS sample_size,
-               num_hash_tables, k, accuracy, training_time_sec, evaluation_time_sec, total_time_sec
+               num_hash_tables, k, accuracy, train_rows_m, pairs_m, total_m
         FROM best, total
       )"""
 
@@ -462,6 +539,21 @@ def _unrolled_crc() -> str:
       )"""
 
 
+def _bloom_sums(words: str) -> str:
+    """``sums(w, crc, lo, hi)``: CRC-32 and the halves of Adler-32 of each distinct word."""
+    return f"""octets AS (
+        SELECT w, list_transform(range(1, len(hex(w::BLOB)) // 2 + 1),
+          lambda i: ('0x' || substr(hex(w::BLOB), 2 * i - 1, 2))::BIGINT) AS o
+        FROM (SELECT DISTINCT w FROM {words})
+      ), sums AS (
+        SELECT w, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, o),
+          lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1]))) AS crc,
+          (1 + list_sum(o)) % 65521 AS lo,
+          (len(o) + list_sum(list_transform(o, lambda x, i: x * (len(o) - i + 1)))) % 65521 AS hi
+        FROM octets, crc_table
+      )"""
+
+
 def oracle_statements() -> dict[str, str]:
     sql: dict[str, str] = {}
 
@@ -471,7 +563,8 @@ def oracle_statements() -> dict[str, str]:
     sql["src_csv_header"] = sql["src_csv_fixed"]
     sql["src_named_columns"] = "SELECT role AS label, text FROM conversations"
     sql["src_pair_dropna"] = f"""SELECT d.doc_id::VARCHAR AS "textID", d.text,
-        substr(d.text, 1, 20) AS selected_text, {WORD} AS sentiment, part
+        list_max(list_transform(string_split(d.text, chr(10)), lambda x: {{'n': length(x), 'line': x}}))['line']
+          AS selected_text, {WORD} AS sentiment, part
         FROM {INNER}, (VALUES ('train'), ('test')) p(part) WHERE {RAW} <> 2"""
     sql["src_skip_malformed"] = f"SELECT {RAW} AS label, d.text FROM {INNER} WHERE {RAW} <> 2"
     sql["src_row_cap"] = f"""SELECT id, CASE raw WHEN 0 THEN 0 ELSE 1 END AS label, text FROM (
@@ -481,6 +574,23 @@ def oracle_statements() -> dict[str, str]:
     # sinks
     sql["sink_csv_roundtrip"] = f"SELECT doc_id AS id, {_alnum('text')} AS text FROM documents"
 
+    sql["sink_csv_single_file"] = f"""SELECT d.doc_id AS id, {_alnum('d.text')} AS text, l.quality AS label,
+        1 AS n_files FROM {INNER}"""
+    job_words = _drop(f"string_split_regex({_letters('d.text')}, '\\s')", ENGLISH_STOP_WORDS)
+    job = f"""jobs AS (SELECT d.doc_id AS id, l.quality AS label, {job_words} AS t FROM {INNER}),
+      one AS (SELECT id, unnest(t) AS w FROM jobs),
+      two AS (SELECT id, unnest({_grams('t', 2, ' ')}) AS w FROM jobs),
+      terms AS (SELECT w FROM one UNION ALL SELECT w FROM two), {_murmur('terms', JOB_HASH_BUCKETS)},
+      counted AS (SELECT id, i, 1 AS n FROM one JOIN hashed_buckets USING (w)
+        UNION ALL SELECT id, i + {JOB_HASH_BUCKETS}, 1 FROM two JOIN hashed_buckets USING (w)),
+      {_entries('counted')}"""
+    sql["hashing_tf_counts"] = f"""WITH {job} SELECT id, label, coalesce(entries, '') AS entries
+      FROM jobs LEFT JOIN listed USING (id)"""
+    sql["project_features"] = f"""WITH {job} SELECT id AS row_id, label, coalesce(entries, '') AS entries
+      FROM jobs LEFT JOIN listed USING (id)"""
+    sql["sink_parquet_roundtrip"] = f"""WITH {job} SELECT label, coalesce(entries, '') AS entries
+      FROM jobs LEFT JOIN listed USING (id)"""
+
     # projections and filters
     sql["project_label_text"] = f"SELECT d.doc_id AS id, {WORD} AS label, d.text FROM {INNER}"
     binary = f"""SELECT * FROM (SELECT d.doc_id AS id, CASE {RAW} WHEN 0 THEN 0 WHEN 4 THEN 1 END AS label
@@ -509,8 +619,8 @@ def oracle_statements() -> dict[str, str]:
     letters_split = f"string_split_regex({_letters('text')}, '\\s')"
     sql["tokenize_ws"] = _listing(letters_split)
     sql["tokenize_regex"] = _listing(_gaps(_social("text")))
-    sql["tokenize_match"] = _listing(_match("text", C.PLATFORM_STOP_WORDS))
-    sql["stopwords_default"] = _listing(_drop(letters_split, C.ENGLISH_STOP_WORDS))
+    sql["tokenize_match"] = _listing(_match("text", PLATFORM_STOP_WORDS))
+    sql["stopwords_default"] = _listing(_drop(letters_split, ENGLISH_STOP_WORDS))
     sql["stopwords_extended"] = _listing(_social_tokens("text"))
     sql["stopwords_custom"] = _listing(_match("text", HARNESS_WORDS))
     sql["tokens_dedupe"] = f"""WITH a AS (SELECT doc_id AS id, {_gaps(_social('text'))} AS t FROM documents),
@@ -521,11 +631,14 @@ def oracle_statements() -> dict[str, str]:
         sql[name] = f"""SELECT id, {_joined('g', '|')} AS tokens, len(g) AS n_tokens FROM (
             SELECT id, {_grams('t', n, sep)} AS g FROM (
               SELECT doc_id AS id, {_social_tokens('text')} AS t FROM documents))"""
-    sql["mask_rare_words"] = _listing(
-        f"list_transform({_social_tokens('text')}, lambda t: "
-        f"CASE WHEN list_contains({_words(FREQUENT_WORDS)}, t) THEN t ELSE '*' END)"
-    )
     doc_tokens = f"doc_tokens AS (SELECT doc_id AS id, {_social_tokens('text')} AS t FROM documents)"
+    sql["mask_rare_words"] = f"""WITH {doc_tokens}, top AS (
+        SELECT list(w) AS ws FROM (SELECT w FROM (SELECT unnest(t) AS w FROM doc_tokens)
+          GROUP BY w ORDER BY count(*) DESC, w LIMIT {TOP_WORDS})
+      ), masked AS (
+        SELECT id, list_transform(t, lambda x: CASE WHEN list_contains(ws, x) THEN x ELSE '*' END) AS t
+        FROM doc_tokens, top)
+      SELECT id, {_joined('t')} AS tokens, len(t) AS n_tokens FROM masked"""
     sql["hfw_patterns"] = f"""WITH {doc_tokens}, {_pattern_ctes('doc_tokens', 'doc_tokens')}
       SELECT id, coalesce(string_agg(pattern, ' ' ORDER BY n, pos), '') AS patterns,
              count(pattern) AS n_patterns
@@ -533,13 +646,13 @@ def oracle_statements() -> dict[str, str]:
     sql["pattern_vocab_filter"] = f"""WITH {doc_tokens},
       flat AS (SELECT id, unnest(gs) AS g, generate_subscripts(gs, 1) AS p
                FROM (SELECT id, {_grams('t', 2, '_')} AS gs FROM doc_tokens)),
-      vocab AS (SELECT g FROM flat GROUP BY g ORDER BY count(*) DESC, g LIMIT {C.SEQUENCE_VOCAB}),
+      vocab AS (SELECT g FROM flat GROUP BY g ORDER BY count(*) DESC, g LIMIT {SEQUENCES}),
       kept AS (SELECT id, string_agg(g, ' ' ORDER BY p) AS tokens FROM flat JOIN vocab USING (g) GROUP BY id)
       SELECT id, coalesce(tokens, '') AS tokens FROM doc_tokens LEFT JOIN kept USING (id)"""
-    match_ctes = f"""listed AS (SELECT doc_id AS id, {_match('text', C.PLATFORM_STOP_WORDS)} AS t
+    match_ctes = f"""listed AS (SELECT doc_id AS id, {_match('text', PLATFORM_STOP_WORDS)} AS t
         FROM documents), once AS ({_ordered_distinct('listed')}),
       toks AS (SELECT l.id, coalesce(o.t, []) AS t FROM listed l LEFT JOIN once o USING (id))"""
-    bigrams, sequences = _grams("t", 2, "_"), _grams("t", C.SEQUENCE_LENGTH, "_")
+    bigrams, sequences = _grams("t", 2, "_"), _grams("t", SEQUENCE_LENGTH, "_")
     scenario_sql = {
         "unigram": "SELECT id, 1 AS b, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM toks",
         "bigram": f"""SELECT id, 2 AS b, unnest(g) AS w, generate_subscripts(g, 1) AS p
@@ -551,7 +664,7 @@ def oracle_statements() -> dict[str, str]:
         sql[f"features_{scenario}"] = f"""WITH {match_ctes},
           seqs AS (SELECT id, unnest(g) AS w, generate_subscripts(g, 1) AS p
                    FROM (SELECT id, {sequences} AS g FROM toks)),
-          vocab AS (SELECT w FROM seqs GROUP BY w ORDER BY count(*) DESC, w LIMIT {C.SEQUENCE_VOCAB}),
+          vocab AS (SELECT w FROM seqs GROUP BY w ORDER BY count(*) DESC, w LIMIT {SEQUENCES}),
           firsts AS (SELECT id, w, min(b * 1000000000::BIGINT + p) AS place FROM ({items}) GROUP BY id, w),
           feats AS (SELECT id, string_agg(w, ' ' ORDER BY place) AS f, count(*) AS n FROM firsts GROUP BY id)
           SELECT id, coalesce(f, '') AS features, coalesce(n, 0) AS n_features
@@ -570,30 +683,63 @@ def oracle_statements() -> dict[str, str]:
             SELECT w, count(*) AS n FROM {source} GROUP BY w ORDER BY n DESC, w LIMIT {size})"""
 
     sql["count_vectorizer"] = f"""WITH {doc_tokens}, flat AS (SELECT id, unnest(t) AS w FROM doc_tokens),
-      vocab AS ({ranked_terms('flat', C.PATTERN_COLUMN_VOCAB)}),
+      vocab AS ({ranked_terms('flat', PATTERN_COLUMNS)}),
       hits AS (SELECT DISTINCT id, i FROM flat JOIN vocab USING (w)),
       lists AS (SELECT id, string_agg(i::VARCHAR, ',' ORDER BY i) AS x FROM hits GROUP BY id)
       SELECT id, coalesce(x, '') AS indices FROM doc_tokens LEFT JOIN lists USING (id)"""
+    def all_terms(source: str) -> str:
+        return f"""SELECT w, row_number() OVER (ORDER BY n DESC, w) - 1 AS i FROM (
+            SELECT w, count(*) AS n FROM {source} GROUP BY w)"""
+
     sql["assemble_blocks"] = f"""WITH {doc_tokens}, one AS (SELECT id, unnest(t) AS w FROM doc_tokens),
       two AS (SELECT id, unnest({_grams('t', 2, ' ')}) AS w FROM doc_tokens),
-      v1 AS ({ranked_terms('one', 5000)}), v2 AS ({ranked_terms('two', 20000)}),
+      v1 AS ({all_terms('one')}), v2 AS ({all_terms('two')}), width AS (SELECT count(*) AS n FROM v1),
       hits AS (SELECT DISTINCT id, i FROM one JOIN v1 USING (w)
-               UNION ALL SELECT DISTINCT id, i + 5000 FROM two JOIN v2 USING (w)),
+               UNION ALL SELECT DISTINCT id, i + n FROM two JOIN v2 USING (w), width),
       lists AS (SELECT id, string_agg(i::VARCHAR, ',' ORDER BY i) AS x FROM hits GROUP BY id)
       SELECT id, coalesce(x, '') AS indices FROM doc_tokens LEFT JOIN lists USING (id)"""
+    sql["hashing_tf_binary"] = f"""WITH eng AS (
+        SELECT d.doc_id AS id, l.quality AS label, {_social_tokens('d.text')} AS tokens FROM {INNER}
+      ), one AS (SELECT id, unnest(list_distinct(tokens)) AS w FROM eng), {_murmur('one', HASH_BUCKETS)},
+      counted AS (SELECT DISTINCT id, i, 1 AS n FROM one JOIN hashed_buckets USING (w)), {_entries('counted')}
+      SELECT id, label, coalesce(entries, '') AS entries FROM eng LEFT JOIN listed USING (id)"""
+    split_rows = f"""eng AS (
+        SELECT d.doc_id AS id, l.quality AS label, {_is_test('d.doc_id')} AS is_test,
+               {_social_tokens('d.text')} AS tokens FROM {INNER})"""
+    uni = "one AS (SELECT id, unnest(list_distinct(tokens)) AS w FROM eng)"
+    bi = f"two AS (SELECT id, unnest(list_distinct({_grams('tokens', 2, ' ')})) AS w FROM eng)"
+    learnt = f"""{_pattern_ctes("(SELECT id, tokens AS t FROM eng)", "(SELECT tokens AS t FROM eng WHERE NOT is_test)")},
+      pvoc AS (SELECT pattern, row_number() OVER (ORDER BY n DESC, pattern) - 1 AS i FROM (
+        SELECT pattern, count(*) AS n FROM pats JOIN eng USING (id) WHERE NOT is_test
+        GROUP BY pattern ORDER BY n DESC, pattern LIMIT {PATTERN_COLUMNS})),
+      three AS (SELECT id, i FROM pats JOIN pvoc USING (pattern))"""
+    murmur_all = f"terms AS (SELECT w FROM one UNION ALL SELECT w FROM two), {_murmur('terms', HASH_BUCKETS)}"
+    hits = {
+        1: f"{uni}, {_murmur('one', HASH_BUCKETS)}, counted AS (SELECT DISTINCT id, i, 1 AS n FROM one JOIN hashed_buckets USING (w))",
+        2: f"{bi}, {_murmur('two', HASH_BUCKETS)}, counted AS (SELECT DISTINCT id, i, 1 AS n FROM two JOIN hashed_buckets USING (w))",
+        3: f"{learnt}, counted AS (SELECT id, i, 1 AS n FROM three)",
+        4: f"""{uni}, {bi}, {murmur_all}, {learnt}, counted AS (
+          SELECT DISTINCT id, i, 1 AS n FROM one JOIN hashed_buckets USING (w)
+          UNION ALL SELECT DISTINCT id, i + {HASH_BUCKETS}, 1 FROM two JOIN hashed_buckets USING (w)
+          UNION ALL SELECT id, i + {2 * HASH_BUCKETS}, 1 FROM three)""",
+    }
+    for scenario, steps in hits.items():
+        sql[f"pipeline_scenario_{scenario}"] = f"""WITH {split_rows}, {steps}, {_entries('counted')}
+          SELECT id, label, is_test, entries FROM eng JOIN listed USING (id)"""
+    hashed_feat = f"""{ENGINE}, one AS (SELECT id, unnest(list_distinct(tokens)) AS w FROM eng),
+      {_murmur('one', HASH_BUCKETS)}, feat AS (
+        SELECT id, any_value(label) AS label, any_value(is_test) AS is_test, list_distinct(list(i)) AS f
+        FROM one JOIN hashed_buckets USING (w) JOIN eng USING (id) GROUP BY id)"""
+    sql["lsh_join_hashed"] = f"""WITH {hashed_feat}, {_pairs()},
+      strings AS (SELECT id, list_transform(f, lambda i: i::VARCHAR) AS f FROM feat),
+      {_signatures('strings', SIGNATURE_HASHES)},
+      bands AS (SELECT id, j // {ROWS_PER_BAND} AS band, list(v ORDER BY j) AS vs FROM sig GROUP BY ALL)
+      SELECT n.test_id, n.train_id, any_value(distance) AS distance, (min(a.band) + 1)::INT AS first_band
+      FROM near n JOIN bands a ON a.id = n.test_id
+      JOIN bands b ON b.id = n.train_id AND a.band = b.band AND a.vs = b.vs GROUP BY n.test_id, n.train_id"""
     sql["bloom_indices"] = f"""WITH {doc_tokens}, {_unrolled_crc()},
       flat AS (SELECT id, unnest(t) AS w FROM doc_tokens),
-      octets AS (
-        SELECT w, list_transform(range(1, len(hex(w::BLOB)) // 2 + 1),
-          lambda i: ('0x' || substr(hex(w::BLOB), 2 * i - 1, 2))::BIGINT) AS o
-        FROM (SELECT DISTINCT w FROM flat)
-      ), sums AS (
-        SELECT w, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, o),
-          lambda c, x: xor(c // 256, tab[xor(c % 256, x) + 1]))) AS crc,
-          (1 + list_sum(o)) % 65521 AS lo,
-          (len(o) + list_sum(list_transform(o, lambda x, i: x * (len(o) - i + 1)))) % 65521 AS hi
-        FROM octets, crc_table
-      ), bits AS (
+      {_bloom_sums('flat')}, bits AS (
         SELECT DISTINCT id, ((crc + i * (hi * 65536 + lo)) % {BLOOM_BITS})::BIGINT AS b
         FROM flat JOIN sums USING (w), range({BLOOM_HASHES}) r(i)
       ), lists AS (SELECT id, string_agg(b::VARCHAR, ',' ORDER BY b) AS x FROM bits GROUP BY id)
@@ -608,20 +754,29 @@ def oracle_statements() -> dict[str, str]:
     sql["count_per_class"] = f"SELECT {RAW} AS raw_label, count(*) AS n_rows FROM {INNER} GROUP BY 1"
     sql["hfw_top_words"] = f"""SELECT term, count(*) AS n_uses FROM (
         SELECT unnest({_social_tokens('text')}) AS term FROM documents)
-      GROUP BY term ORDER BY n_uses DESC, term LIMIT {C.HFW_TOP_N}"""
+      GROUP BY term ORDER BY n_uses DESC, term LIMIT {TOP_WORDS}"""
     sql["pattern_vocab_topn"] = f"""WITH {match_ctes} SELECT term, count(*) AS n_uses FROM (
         SELECT unnest({bigrams}) AS term FROM toks)
-      GROUP BY term ORDER BY n_uses DESC, term LIMIT {C.SEQUENCE_VOCAB}"""
+      GROUP BY term ORDER BY n_uses DESC, term LIMIT {SEQUENCES}"""
     sql["majority_label"] = f"""SELECT {RAW} AS majority_label, count(*) AS n_rows FROM {INNER}
       GROUP BY 1 ORDER BY n_rows DESC, 1 LIMIT 1"""
     sql["dedupe_clean_text"] = f"""SELECT min(doc_id) AS id, tc AS text_clean FROM (
         SELECT doc_id, {_social('text')} AS tc FROM documents) GROUP BY tc"""
     sql["dedupe_raw_text"] = "SELECT min(doc_id) AS id, text FROM documents GROUP BY text"
-    sql["retained_pct"] = f"""WITH {doc_tokens}
-      SELECT count(*) AS n_rows, count(*) FILTER (len(t) >= n) AS n_kept,
-             count(*) FILTER (len(t) >= n) * 100 / count(*) AS retained_pct, scenario
-      FROM doc_tokens, (VALUES ('unigram', 1), ('bigram', 2), ('patterns', 3)) s(scenario, n)
-      GROUP BY scenario"""
+    sequences3 = _grams("tokens", SEQUENCE_LENGTH, "_")
+    sql["retained_pct"] = f"""WITH {HARNESS},
+      seqs AS (SELECT id, unnest({sequences3}) AS w FROM harness),
+      vocab AS (SELECT w FROM seqs GROUP BY w ORDER BY count(*) DESC, w LIMIT {SEQUENCES}),
+      known AS (SELECT DISTINCT id FROM seqs JOIN vocab USING (w)),
+      marks AS (
+        SELECT len(tokens) > 0 AS unigram, len(tokens) > 1 AS bigram, known.id IS NOT NULL AS patterns
+        FROM harness LEFT JOIN known USING (id)),
+      kept AS (
+        SELECT 'unigram' AS scenario, unigram AS k FROM marks UNION ALL SELECT 'bigram', bigram FROM marks
+        UNION ALL SELECT 'patterns', patterns FROM marks
+        UNION ALL SELECT 'all', unigram OR bigram OR patterns FROM marks)
+      SELECT count(*) AS n_rows, scenario, count(*) FILTER (k) AS n_kept,
+             count(*) FILTER (k) * 100 / count(*) AS retained_pct FROM kept GROUP BY scenario"""
     sql["first_n_per_class"] = f"""SELECT * FROM (
         SELECT d.doc_id AS id, {RAW} AS label,
                row_number() OVER (PARTITION BY {RAW} ORDER BY d.doc_id)::INT AS rank FROM {INNER}
@@ -680,24 +835,40 @@ def oracle_statements() -> dict[str, str]:
     sql["split_stratified"] = f"""SELECT id, label, chosen AS is_test FROM (
         {_cut(raw_rows, 'floor({total} * 0.2::DOUBLE + 0.5)', 'label')})"""
 
+    sql["row_key"] = f"""SELECT doc_id AS id, ('0x' || substr(md5({_social('text')}), 1, 15))::BIGINT AS row_id
+      FROM documents"""
+
     # experiments
     sql["knn_evaluate"] = f"{EVALUATED} SELECT * FROM cell"
-    sql["knn_grid"] = " UNION ALL ".join(f"SELECT * FROM ({_grid(s)})" for s in (1, 2, 3, 4))
-    sql["results_sorted"] = f"SELECT * FROM ({_grid(1)}) ORDER BY num_hash_tables, k"
-    sql["sink_results"] = sql["results_sorted"]
-    sql["best_config"] = f"""SELECT num_hash_tables, k, accuracy FROM ({_grid(1)})
-      ORDER BY accuracy DESC, num_hash_tables, k LIMIT 1"""
-    sweep = _sweep(SWEEP_TABLES[0])
+    ternary = f"WITH {_engine(TERNARY)}, {_feature_rows(1)}, {_pairs()}, {_topk()}, {VOTES}, {PREDICTIONS}, {CELL}"
+    sql["knn_evaluate_ternary"] = f"{ternary} SELECT * FROM cell"
+    judged = f"{_pairs()}, {_topk()}, {VOTES}, {PREDICTIONS}, {CELL}"
+    bloom_feat = f"""{ENGINE}, {_unrolled_crc()}, flat AS (SELECT id, unnest(list_distinct(tokens)) AS w FROM eng),
+      {_bloom_sums('flat')}, bits AS (
+        SELECT DISTINCT id, ((crc + i * (hi * 65536 + lo)) % {HASH_BUCKETS})::BIGINT AS b
+        FROM flat JOIN sums USING (w), range({BLOOM_HASHES}) r(i)
+      ), feat AS (SELECT id, any_value(label) AS label, any_value(is_test) AS is_test, list(b) AS f
+                  FROM bits JOIN eng USING (id) GROUP BY id)"""
+    sql["bloom_vs_hashing"] = f"""SELECT *, 'hashing' AS kind FROM (WITH {hashed_feat}, {judged} SELECT * FROM cell)
+      UNION ALL SELECT *, 'bloom' FROM (WITH {bloom_feat}, {judged} SELECT * FROM cell)"""
+    grid = " UNION ALL ".join(f"SELECT * FROM ({_grid(s, n)})" for n in (0, 1) for s in (1, 2, 3, 4))
+    order = "use_neutral, scenario, num_hash_tables, k"
+    sql["knn_grid"] = sql["sink_results"] = grid
+    sql["results_sorted"] = f"SELECT * FROM ({grid}) ORDER BY {order}"
+    sql["best_config"] = f"SELECT {order}, accuracy FROM ({grid}) ORDER BY accuracy DESC, {order} LIMIT 1"
+    sweep = _swept()
     sql["fraction_sweep"] = f"{sweep} SELECT * FROM cells"
     sql["src_results_partitioned"] = (
         f"{sweep} SELECT * REPLACE (fraction::VARCHAR AS fraction) FROM timed"
     )
     sql["best_per_run"] = f"""{sweep} SELECT scenario, fraction, num_hash_tables, k, accuracy,
-        total_time_sec FROM best"""
+        total_m FROM best"""
     sql["sweep_summary"] = f"{sweep} SELECT * FROM summary"
     columns = ", ".join(
-        f"coalesce(max(training_time_sec) FILTER (scenario = '{s}'), 0) AS \"{s}\"" for s in C.SCENARIOS
+        f"coalesce(max(v) FILTER (scenario = '{s}'), 0) AS \"{s}\"" for s in SCENARIOS
     )
-    sql["sweep_pivot"] = f"""{sweep} SELECT fraction_actual AS fraction, {columns} FROM summary
-      GROUP BY 1 ORDER BY 1"""
+    sql["sweep_pivot"] = f"""{sweep}, measured AS (
+        SELECT 'train_rows_m' AS measure, fraction_actual AS fraction, scenario, train_rows_m AS v FROM summary
+        UNION ALL SELECT 'total_m', fraction_actual, scenario, total_m FROM summary)
+      SELECT measure, fraction, {columns} FROM measured GROUP BY 1, 2 ORDER BY 1, 2"""
     return sql

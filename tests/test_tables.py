@@ -3,9 +3,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from kinvote import constants as C
-from kinvote.operators import labels, ml_stages, sampling, votes
+from kinvote.functions.patterns import with_patterns
+from kinvote.operators import labels, ml_stages, sampling, vocabulary, votes
 from kinvote.plans import experiment
-from kinvote.session import scratch_path
+from kinvote.session import materialize, scratch_path
 from kinvote.sources import readers, writers
 
 
@@ -111,19 +112,49 @@ def test_csv_edge_rows(spark):
     rows = [("1", 'He said "hi", then left', "x", "Positive"), ("2", "two\nlines ", None, "negative"), ("3", None, "y", "neutral")]
     df = spark.createDataFrame(rows, readers.FOUR_COLUMNS)
     writers.write_csv(df.coalesce(1), path)
-    back = readers.read_four_columns(spark, path)
+    back = readers.read_four_columns(spark, path, multi_line=True)
     assert sorted(map(tuple, back.collect())) == [("Positive", 'He said "hi", then left'), ("negative", "two\nlines ")]
-    pair = readers.load_pair(spark, path, path)
+    pair = readers.load_pair(spark, path, path, multi_line=True)
     assert [r.textID for r in pair.train.collect()] == ["1"]
-    assert [r.label for r in readers.load_labelled(spark, path, four_columns=True).orderBy("label").collect()] == [0, 1]
-    assert readers.load_labelled(spark, path, path, four_columns=True).count() == 4
+    load = lambda *extra, **options: readers.load_labelled(spark, path, True, *extra, four_columns=True, **options)
+    assert [r.label for r in load().orderBy("label").collect()] == [0, 1]
+    assert load(path).count() == 4
+    assert [r.label for r in load(max_rows=1).collect()] == [1]
+
+
+def one_file(spark, lines, name="named"):
+    path = scratch_path(spark, name)
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def test_csv_columns_are_found_by_name(spark):
+    path = one_file(spark, ["text,role,conv_id", "hello,user,1", "bye,assistant,2"])
+    got = readers.read_named_columns(spark, path, "role", "text", multi_line=False)
+    assert sorted(map(tuple, got.collect())) == [("assistant", "bye"), ("user", "hello")]
+    wanted = readers.fields(conv_id=readers.IntegerType(), text=readers.StringType())
+    rows = readers.read_by_name(spark, path, wanted, multi_line=False)
+    assert rows.columns == ["conv_id", "text"] and {tuple(r) for r in rows.collect()} == {(1, "hello"), (2, "bye")}
+    lacking = one_file(spark, ["conv_id,foo,bar", "1,a,b"])
+    with pytest.raises(ValueError, match=r"(?s)named.*role"):
+        readers.read_named_columns(spark, lacking, "role", "text", multi_line=False)
+    moved = one_file(spark, ["textID,sentiment,text,selected_text", "1,positive,good,go"])
+    assert [tuple(r) for r in readers.read_four_columns(spark, moved, multi_line=False).collect()] == [("positive", "good")]
+    pair = readers.load_pair(spark, moved, moved, multi_line=False)
+    assert pair.test.first().asDict() == {"textID": "1", "text": "good", "selected_text": "go", "sentiment": "positive"}
+
+
+def test_files_of_one_input_must_agree(spark):
+    path = one_file(spark, ["text,role", "hello,user"])
+    spark.createDataFrame([("role,text",), ("user,hello",)], "value string").coalesce(1).write.mode("append").text(path)
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_named_columns(spark, path, "role", "text", multi_line=False).collect()
 
 
 def test_skip_malformed_lines(spark):
-    path = scratch_path(spark, "malformed")
     lines = ["0,1,d,q,u,fine", "x,2,d,q,u,bad label", "4,3,d,q,u,too,many", "4,5,d,q,u,also fine"]
-    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
-    got = readers.read_six_columns(spark, path, skip_malformed=True, multi_line=False)
+    path = one_file(spark, lines, "malformed")
+    got = readers.read_six_columns(spark, path, multi_line=False, skip_malformed=True)
     assert sorted(map(tuple, got.collect())) == [(0, "fine"), (4, "also fine")]
 
 
@@ -131,7 +162,7 @@ def test_latin1_file(spark):
     path = scratch_path(spark, "latin1")
     df = spark.createDataFrame([(4, "1", "d", "q", "u", "café ñandú")], readers.SIX_COLUMNS)
     writers.write_csv(df, path, header=False, encoding=readers.SIX_COLUMN_ENCODING)
-    assert readers.read_six_columns(spark, path).first().text == "café ñandú"
+    assert readers.read_six_columns(spark, path, multi_line=False).first().text == "café ñandú"
 
 
 def test_results_round_trip(spark):
@@ -141,6 +172,10 @@ def test_results_round_trip(spark):
     schema = df.drop("scenario", "fraction").schema
     back = readers.read_results(spark, path, schema)
     assert sorted(map(tuple, back.select(df.columns).collect())) == sorted(map(tuple, df.collect()))
+    runs = [("unigram", "0.2"), ("all", "1.0")]
+    assert readers.read_results(spark, path, schema, runs).count() == 2
+    with pytest.raises(ValueError, match="all.*0.2"):
+        readers.read_results(spark, path, schema, [*runs, ("all", "0.2")])
     writers.write_results(df.where("false"), path, ["num_hash_tables"], ["scenario", "fraction"])
     with pytest.raises(ValueError):
         readers.read_results(spark, path, schema)
@@ -155,29 +190,54 @@ def test_best_rows(spark):
     assert {r.scenario: r.total_time_sec for r in untimed.collect()} == {"unigram": 1.0, "all": 1.0}
     summary = experiment.sweep_summary(df, 100)
     assert {r.scenario_label: r.sample_size for r in summary.collect()} == {"scenario1_unigram": 20, "scenario4_all": 20}
-    pivot = experiment.sweep_pivot(summary, "training_time_sec").collect()
-    assert [tuple(r) for r in pivot] == [(0.2, 1.0, 0.0, 0.0, 1.0)]
-    assert experiment.best_config(df, ["num_hash_tables", "k"]).first().scenario == "all"
-
-
-def test_pattern_stage_save_and_load(spark, tmp_path):
-    df = spark.createDataFrame([(["i", "love", "it", "and", "i", "love"],), (["i", "q"],), ([],)], "tokens array<string>")
-    stage = ml_stages.FrequentWordPatterns(outputCol="p", topN=3, maxPatterns=4)
-    stage.write().overwrite().save(str(tmp_path / "stage"))
-    again = ml_stages.FrequentWordPatterns.load(str(tmp_path / "stage"))
-    assert (again.getOrDefault("topN"), again.getOutputCol()) == (3, "p")
-    model = Pipeline(stages=[stage]).fit(df)
-    model.write().overwrite().save(str(tmp_path / "model"))
-    back = PipelineModel.load(str(tmp_path / "model"))
-    expected = [r.p for r in model.transform(df).collect()]
-    assert [r.p for r in back.transform(df).collect()] == expected
-    assert len(expected[0]) == 4 and expected[1:] == [[], []]
-
-
-@pytest.mark.parametrize("scenario", [1, 2, 3, 4])
-def test_pipelines(spark, scenario):
-    df = spark.createDataFrame([(1, "good day good people all around good town"), (0, "bad day bad people good")], "label int, text_clean string")
-    out = ml_stages.experiment_pipeline(scenario, 64).fit(df).transform(df)
-    counts = out.select(ml_stages.vector_nonzeros(F.col("features")).alias("n"), F.size(ml_stages.vector_indices(F.col("features"))).alias("m"), "features")
-    for row in counts.collect():
-        assert row.n == row.m == row.features.numNonzeros()
+    pivot = experiment.sweep_pivot(summary, ["training_time_sec", "total_time_sec"]).collect()
+    assert [tuple(r) for r in pivot] == [("total_time_sec", 0.2, 1.5, 0.0, 0.0, 1.0), ("training_time_sec", 0.2, 1.0, 0.0, 0.0, 1.0)]
+
+
+def test_positions(spark):
+    rows = sampling.with_position(spark.range(500).withColumnRenamed("id", "key"), "key").collect()
+    assert sorted(r.position for r in rows) == list(range(1, 501))
+    sizes = {f: sorted(r.key for r in rows if r.position <= 500 * f) for f in (0.2, 0.6)}
+    for f, keys in sizes.items():
+        part = sampling.sample_uniform(spark.range(500), int(500 * f))
+        assert ids(part) == keys
+
+
+def test_full_vocabulary(spark):
+    docs = [(1, ["b", "a", "b"]), (2, ["c", "a"]), (3, []), (4, ["b"])]
+    df = spark.createDataFrame(docs, "id int, t array<string>")
+    index = vocabulary.full_index(df, F.col("t"))
+    assert {r.term: r["index"] for r in index.collect()} == {"b": 0, "a": 1, "c": 2}
+    found = {r.id: r.indices for r in vocabulary.full_presence(df, "id", F.col("t"), index).collect()}
+    assert found == {1: [0, 1], 2: [1, 2], 4: [0]}
+    kept = vocabulary.with_presence(df, "t", ["c", "b"])
+    assert {r.id: list(r.indices) for r in kept.collect()} == {1: [1], 2: [0], 3: [], 4: [1]}
+    with pytest.raises(ValueError):
+        vocabulary.frequent_words(df, "t", vocabulary.MOST_TERMS + 1)
+
+
+def test_presence_needs_no_shuffle(spark):
+    df = spark.createDataFrame([(1, ["a"])], "id int, t array<string>")
+    plan = vocabulary.with_presence(df, "t", ["a"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_pattern_cap_is_an_option(spark):
+    words = [f"w{i * i % 23}" for i in range(200)]
+    df = spark.createDataFrame([(words,)], "tokens array<string>")
+    every = with_patterns(df, "tokens", "p", ["w0", "w1", "w3"]).first().p
+    some = with_patterns(df, "tokens", "p", ["w0", "w1", "w3"], cap=5).first().p
+    assert len(every) > 5 and some == every[:5]
+
+
+def test_jobs_of_the_sweep_do_not_grow_with_its_cells(spark):
+    rows = [(i, i % 2, [f"w{(i * k) % 11}" for k in range(1, 8)]) for i in range(60)]
+    df = materialize(spark.createDataFrame(rows, "id bigint, label int, tokens array<string>"), "rows")
+    jobs = []
+    for name, fractions, scenarios in (("small", [0.5], ["unigram"]), ("large", [0.3, 0.5, 0.7, 1.0], list(C.SCENARIOS))):
+        spark.sparkContext.setJobGroup(name, name)
+        cells = experiment.fraction_sweep(df, scenarios, fractions, base=60, table_counts=[16], k_values=[1, 3])
+        assert cells.count() == 2 * len(fractions) * len(scenarios)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] * 1.5  # adaptive execution may run a few more stages as jobs
