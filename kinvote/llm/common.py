@@ -10,12 +10,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 """Text that a task tokenises at once; a longer text is a slice of its own."""
 
+BATCH_BYTES = 4 << 20
+"""Bytes of the Arrow batches in which rows travel to Python."""
+
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACES = bytes((9, 10, 11, 12, 13, 32))
 LOWER_BLANK_WORDS = _ASCII_LOWER
@@ -41,6 +44,19 @@ class Words:
         return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Let the session cut Arrow batches at ``BATCH_BYTES``, if it does not cut them lower.
+
+    Ten thousand rows of whole texts, Spark's own cut, are held several times over, in the
+    JVM's buffers and in every Python worker; so their memory would follow the texts' length.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(setting, "64m").lower().removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(setting, f"{BATCH_BYTES}b")
+    return spark
+
+
 def as_strings(column) -> pa.StringArray:
     """A text column of a batch; null texts become empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -19,6 +19,7 @@ from kinvote.llm import (
     url_filters,
     warc,
 )
+from kinvote.llm.common import small_batches
 from kinvote.session import scratch_path
 
 SHARDS = 8
@@ -34,7 +35,7 @@ PSEUDONYM_KEY = "corpus pseudonyms"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
