@@ -37,7 +37,8 @@ LEAST_SHARE = 0.05
 """A centroid with less of its language's sample is dropped: odd or wrongly labelled texts."""
 REJECT_QUANTILE = 0.01
 REJECT_MARGIN = 0.8
-MODEL_BYTES = 256 << 20
+MOST_LANGUAGES = 1024
+"""So a model has at most 4,096 centroids of 16 kB, 64 MB."""
 _LETTERS = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
@@ -138,10 +139,16 @@ def fit(docs: DataFrame, key: str, text: str, lang: str) -> CentroidModel:
     ).select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     rows, frequency = document_frequencies(learned, "_text")
     idf = (np.log((1 + rows) / (1 + frequency)) + 1).astype(np.float32)
-    counts = learned.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))
+    counts = learned.groupBy("_lang").count()
+    shares = [(row["_lang"], SAMPLE / row["count"]) for row in counts.limit(MOST_LANGUAGES + 1).collect()]
+    if len(shares) > MOST_LANGUAGES:
+        raise ValueError("more languages than a model of this kind is meant for")
+    # a literal, so texts are chosen where they are read and only chosen ones are shuffled
+    share = F.lit(None).cast("double")
+    if shares:
+        share = F.create_map(*[F.lit(x) for pair in sorted(shares) for x in pair])[F.col("_lang")]
     drawn = unit_hash(F.lit("language sample"), F.col("_key"))
-    sample = learned.join(counts, "_lang").filter(drawn < F.lit(float(SAMPLE)) / F.col("_n"))
-    sample = sample.select("_lang", "_key", "_text")
+    sample = learned.filter(drawn < share).select("_lang", "_key", "_text")
 
     def means(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["_key", "_text"])
@@ -159,10 +166,7 @@ def fit(docs: DataFrame, key: str, text: str, lang: str) -> CentroidModel:
         )
 
     made = sample.groupBy("_lang").applyInPandas(means, "_lang string, cluster int, center array<float>, floor double")
-    made = materialize(made, "language-centroids")
-    if made.count() * DIMENSIONS * 4 > MODEL_BYTES:
-        raise ValueError("more languages than a model of this kind is meant for")
-    found = sorted(made.collect(), key=lambda r: (r["_lang"], r["cluster"]))
+    found = sorted(materialize(made, "language-centroids").collect(), key=lambda r: (r["_lang"], r["cluster"]))
     return CentroidModel(
         [r["_lang"] for r in found],
         np.array([r["center"] for r in found], dtype=np.float32).reshape(len(found), DIMENSIONS),
@@ -173,7 +177,7 @@ def fit(docs: DataFrame, key: str, text: str, lang: str) -> CentroidModel:
 
 def identify(docs: DataFrame, key: str, text: str, model: CentroidModel) -> DataFrame:
     """Per row: key, held_out, lang_pred, score (the cosine) and rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_LANGUAGES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
