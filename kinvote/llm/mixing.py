@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinvote.llm.common import key_text, unit_hash
+from kinvote.session import materialize
 
 DRAW_MEAN = 64.0
 """Larger means are drawn as a sum of draws of this mean or less, as exp(-mean) must not vanish."""
@@ -96,11 +97,12 @@ def replicate(
 ) -> DataFrame:
     """All columns of the documents, once for each drawn copy, with the copy's number and hash.
 
-    Sorting by (order, key, copy) is the global order; nothing is sorted here. The rates come
-    back to the documents by a join on the source that moves no text when Spark finds the
-    rates (a row a source) small enough to broadcast, and is split where a source is hot.
+    Sorting by (order, key, copy) is the global order; nothing is sorted here. The rates (a row
+    a source) are written first, so Spark knows their size when it plans the join: it then
+    broadcasts them and no text moves, or, with very many sources, splits the hot ones.
     """
     rates = source_rates(df, text, source, weights, default_weight, epochs).select("_source", "_rate")
+    rates = materialize(rates, "source-rates")
     joined = df.join(rates, F.col(source).eqNullSafe(F.col("_source")))
     count = poisson_count(F.col("_rate"), key_text(F.col(key)), seed)
     drawn = joined.withColumn("_count", count).filter("_count > 0")
