@@ -700,14 +700,27 @@ def _hashed_rows(rows: DataFrame) -> DataFrame:
     return hashed.select("id", "label", "is_test", bits.alias("features"))
 
 
-@query
-def lsh_join_hashed(spark, sf_dir):
-    """Hashed features into the LSH join, two signature values a band."""
+def _hashed_pairs(spark, sf_dir, rows_per_band: int) -> DataFrame:
     rows = materialize(_hashed_rows(engine_rows(spark, sf_dir)), "hashed")
-    pairs = lsh_join.lsh_pairs(
-        labels.keep_nonempty(rows, "features"), SIGNATURE_HASHES, C.DISTANCE_THRESHOLD, ROWS_PER_BAND
+    return lsh_join.lsh_pairs(
+        labels.keep_nonempty(rows, "features"), SIGNATURE_HASHES, C.DISTANCE_THRESHOLD, rows_per_band
     )
-    return pairs.select("test_id", "train_id", "distance", "first_band")
+
+
+@query
+def lsh_join_hashed(spark, sf_dir):
+    """Hashed features into the LSH join, two signature values a band.
+
+    Finds the near pairs; most pairs just below the threshold are in ``lsh_join_hashed_tables`` only.
+    """
+    return _hashed_pairs(spark, sf_dir, ROWS_PER_BAND).select("test_id", "train_id", "distance", "first_band")
+
+
+@query
+def lsh_join_hashed_tables(spark, sf_dir):
+    """Hashed features into the LSH join, one hash a table: practically every pair below the threshold."""
+    pairs = _hashed_pairs(spark, sf_dir, 1)
+    return pairs.select("test_id", "train_id", "distance", F.col("first_band").alias("first_table"))
 
 
 @query

@@ -737,6 +737,12 @@ def oracle_statements() -> dict[str, str]:
       SELECT n.test_id, n.train_id, any_value(distance) AS distance, (min(a.band) + 1)::INT AS first_band
       FROM near n JOIN bands a ON a.id = n.test_id
       JOIN bands b ON b.id = n.train_id AND a.band = b.band AND a.vs = b.vs GROUP BY n.test_id, n.train_id"""
+    sql["lsh_join_hashed_tables"] = f"""WITH {hashed_feat}, {_pairs()},
+      strings AS (SELECT id, list_transform(f, lambda i: i::VARCHAR) AS f FROM feat),
+      {_signatures('strings', SIGNATURE_HASHES)}
+      SELECT n.test_id, n.train_id, any_value(distance) AS distance, (min(a.j) + 1)::INT AS first_table
+      FROM near n JOIN sig a ON a.id = n.test_id
+      JOIN sig b ON b.id = n.train_id AND a.j = b.j AND a.v = b.v GROUP BY n.test_id, n.train_id"""
     sql["bloom_indices"] = f"""WITH {doc_tokens}, {_unrolled_crc()},
       flat AS (SELECT id, unnest(t) AS w FROM doc_tokens),
       {_bloom_sums('flat')}, bits AS (

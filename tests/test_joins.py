@@ -213,3 +213,14 @@ def test_recall_of_the_lsh_join(spark):
     assert two <= one and len(two) >= 0.5 * len(exact)
     close = {p for p, d in exact.items() if d < 0.6}
     assert close <= two
+
+
+def test_recall_of_the_hashed_join(spark):
+    """Of the pairs of hashed features below distance 0.9, nine tenths of those at similarity 0.1 and more."""
+    folder = "/root/testdata/sf0.01"
+    hashed = materialize(catalog._hashed_rows(catalog.engine_rows(spark, folder)), "hashed-exact")
+    exact = {(r.test_id, r.train_id): r.distance for r in sj.threshold_pairs(hashed, 0.9).collect()}
+    got = {(r.test_id, r.train_id): r.distance for r in catalog.QUERIES["lsh_join_hashed_tables"](spark, folder).collect()}
+    far = {p for p, d in exact.items() if d >= 0.85}
+    assert got.items() <= exact.items() and len(got) >= 0.999 * len(exact)
+    assert far and len(far & got.keys()) >= 0.99 * len(far)
