@@ -6,9 +6,14 @@ A url is judged by the longest rule that fits it. Where none fits, its host's sc
 Two walks run over the edges "a page of host A links to host B": personalised PageRank from
 trusted hosts along the links (what trusted hosts link to is trusted), and from blocked hosts
 against them (what links to blocked hosts is not). A host's seed is the share of its pages
-that rules allow, or block. A host is blocked where its distrust is at least ``threshold`` and
-above its trust; scores are divided by the seeds' share of the walk, so that a host without
-links scores its own seed.
+that rules allow, or block. Scores are divided by the seeds' share of the walk, so that a host
+without links scores its own seed.
+
+Distrust is split among all that link to a blocked host, so one of many farms gets little of it.
+A host's ``exposure`` is not: it is the chance that a reader who starts there and follows links,
+each time with chance ``damping``, comes to a blocked page. A host that links to nothing but
+blocked ones has exposure ``damping``, however many others do. A host is blocked where its
+distrust or its exposure is at least ``threshold`` and above its trust.
 
 Edge cases: a null url, or one without ``://``, has empty host and path and is allowed unless
 a rule fits; rows that repeat are judged alike, each; links of a host to itself, and links
@@ -70,17 +75,30 @@ def host_edges(pages: DataFrame, url: str, html: str) -> DataFrame:
 
 
 def spread_scores(
-    seeds: DataFrame, edges: DataFrame, start: str, end: str, damping: float, rounds: int, cut: int = 5
+    seeds: DataFrame,
+    edges: DataFrame,
+    start: str,
+    end: str,
+    damping: float,
+    rounds: int,
+    cut: int = 5,
+    meeting: bool = False,
 ) -> DataFrame:
     """Personalised PageRank: (host, score) after ``rounds`` steps from column ``start`` to ``end``.
 
-    A round is one join on the edges and one sum that combines before its shuffle. The
+    With ``meeting`` a link counts as a share of the links of the host in column ``end``, and
+    only in so far as that host is no seed: the score is then the chance to meet a seed on a
+    walk from the host, from ``end`` to ``start``. A round is one join on the edges and one sum that combines before its shuffle. The
     lineage is cut every ``cut`` rounds by a written table.
     """
-    totals = edges.groupBy(start).agg(F.sum("links").alias("_all"))
-    shares = edges.join(totals, start).select(
+    whole = end if meeting else start
+    totals = edges.groupBy(whole).agg(F.sum("links").alias("_all"))
+    shares = edges.join(totals, whole).select(
         F.col(start).alias("_from"), F.col(end).alias("host"), (F.col("links") / F.col("_all")).alias("_share")
     )
+    if meeting:
+        goes_on = F.col("_share") * (1 - F.coalesce("seed", F.lit(0.0)))
+        shares = shares.join(seeds, "host", "left").select("_from", "host", goes_on.alias("_share"))
     shares = materialize(shares, "host-shares")
     base = seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))
     scores = base
@@ -97,7 +115,7 @@ def spread_scores(
 def host_scores(
     pages: DataFrame, url: str, html: str, rules: Sequence[tuple[str, str]], damping: float = 0.85, rounds: int = 10
 ) -> DataFrame:
-    """(host, trust, distrust) of every host that is a seed or is reached from one."""
+    """(host, trust, distrust, exposure) of every host that is a seed or is reached from one."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
     judged = pages.select(host.alias("host"), rule_of(host, path, rules)["verdict"].alias("_verdict"))
     shares = judged.filter("host <> ''").groupBy("host").agg(
@@ -109,13 +127,15 @@ def host_scores(
     seeds = lambda kind: shares.filter(F.col(kind) > 0).select("host", F.col(kind).alias("seed"))
     trust = spread_scores(seeds("trusted"), edges, "source", "target", damping, rounds)
     distrust = spread_scores(seeds("blocked"), edges, "target", "source", damping, rounds)
+    exposure = spread_scores(seeds("blocked"), edges, "target", "source", damping, rounds, meeting=True)
     scale = F.lit(1 / (1 - damping))
-    both = [
-        trust.select("host", (F.col("score") * scale).alias("trust"), F.lit(0.0).alias("distrust")),
-        distrust.select("host", F.lit(0.0).alias("trust"), (F.col("score") * scale).alias("distrust")),
+    walks = {"trust": trust, "distrust": distrust, "exposure": exposure}
+    scored = [
+        walk.select("host", *[(F.col("score") * scale if n == name else F.lit(0.0)).alias(n) for n in walks])
+        for name, walk in walks.items()
     ]
-    return reduce(DataFrame.unionByName, both).groupBy("host").agg(
-        F.round(F.sum("trust"), 9).alias("trust"), F.round(F.sum("distrust"), 9).alias("distrust")
+    return reduce(DataFrame.unionByName, scored).groupBy("host").agg(
+        *[F.round(F.sum(name), 9).alias(name) for name in walks]
     )
 
 
@@ -135,9 +155,8 @@ def judge_urls(
     that is not blocked is never gathered; a blocked one is split by adaptive execution.
     """
     scores = host_scores(pages, url, html, rules, damping, rounds)
-    bad = scores.filter((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust"))).select(
-        F.col("host").alias("_bad")
-    )
+    doubt = F.greatest("distrust", "exposure")
+    bad = scores.filter((doubt >= threshold) & (doubt > F.col("trust"))).select(F.col("host").alias("_bad"))
     host, path = host_of(F.col(url)), path_of(F.col(url))
     rows = pages.select(F.col(key), host.alias("host"), path.alias("path")).withColumn(
         "_rule", rule_of(F.col("host"), F.col("path"), rules)

@@ -303,6 +303,22 @@ def test_links_spread_trust_and_distrust(spark):
     assert url_filters.judge_urls(df.limit(0), "page_id", "url", "html", RULES).count() == 0
 
 
+@pytest.mark.parametrize("farms", [3, 40])
+def test_every_farm_of_a_blocked_host_is_blocked(spark, farms):
+    link = lambda h: f'<a href="https://{h}/p">l</a>'
+    pages = [(0, "http://worse.org/", link("worse2.worse.org")), (1, "http://worse2.worse.org/", link("worse.org"))]
+    pages += [(10 + i, f"http://farm{i}.net/", link("worse.org")) for i in range(farms)]
+    pages += [(100, "http://second.net/", link("farm0.net")), (101, "http://tenth.net/", link("worse.org") + link("fine.net") * 9)]
+    pages += [(102, "http://half.net/", link("worse.org") + link("fine.net")), (103, "http://fine.net/", "")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filters.judge_urls(df, "page_id", "url", "html", RULES).collect()}
+    blocked = {0, 1, 100, *range(10, 10 + farms)}
+    assert got == {p[0]: "block" if p[0] in blocked else "allow" for p in pages}
+    scores = {r.host: r for r in url_filters.host_scores(df, "url", "html", RULES).collect()}
+    expected = {"worse.org": 1, "farm0.net": 0.85, "second.net": 0.7225, "half.net": 0.425, "tenth.net": 0.085}
+    assert all(abs(scores[h].exposure - e) < 1e-6 for h, e in expected.items())
+
+
 def ranks_by_definition(edges, damping=0.85, rounds=10):
     # good.com: one of two pages allowed (the other has no path); worse.org and sub.bad.com blocked
     seeds = ({"good.com": 0.5}, {"worse.org": 1.0, "sub.bad.com": 1.0})
