@@ -1,7 +1,8 @@
 """Format-preserving Feistel pseudonyms for numbers and dates, as SQL functions only.
 
 Found and validated: card numbers (13 to 19 digits, in groups or not, with a right Luhn check
-digit), telephone numbers in the North American form, IPv4 addresses (octets up to 255), dates
+digit; if all of a match has none, the card in it that is ungrouped or in groups of 4-4-4-4, 4-6-5
+or 4-6-4 digits, so that a code, an expiry date or a count beside it does no harm), telephone numbers in the North American form, IPv4 addresses (octets up to 255), dates
 (year-month-day, day.month.year, month/day/year that exist), and e-mail addresses. Each is
 replaced by another of its format under a keyed permutation, so equal values get equal
 pseudonyms in all documents, different values different ones, and the key's owner can undo it:
@@ -10,7 +11,8 @@ pseudonyms in all documents, different values different ones, and the key's owne
   character of one half moves by a hash of (key, round, place, other half) among the characters
   of its kind (digits, small or capital letters). Telephone numbers keep the country code,
   e-mail addresses their domain's last part; cards permute all but the check digit, which is
-  then made right again;
+  then made right again; a card beside other numbers is walked until the whole match has a
+  wrong check digit again, so that undoing finds the same card;
 * numbers in a range: the same with two halves of a number. Addresses are numbers below 2**32;
   dates are days from 1900-01-01 to 2099-12-31, walked until the permuted number is a day of
   that range again.
@@ -31,8 +33,11 @@ IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}"
 PHONE = r"(?:\+1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[ .\-]\d{4}"
 CARD = r"\d(?:[ \-]?\d){12,18}"
+USUAL = r"\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{4,5}"
+INNER = rf"^(.*?)(?<!\d)({USUAL})(?!\d)(.*)$"
+NO_DATE = r"(?!(?<=[ \-]\d{1,2})/\d{1,2}/\d{4})"
 BEFORE, AFTER = r"(?<![\p{L}\p{N}_.@+\-])", r"(?![\p{L}\p{N}_@]|[.\-]\p{N})"
-VALUE = f"{EMAIL}|{BEFORE}(?:{IPV4}|{DATE}|{PHONE}|{CARD}){AFTER}"
+VALUE = f"{EMAIL}|{BEFORE}(?:{IPV4}|{DATE}|{PHONE}|{CARD}{NO_DATE}){AFTER}"
 KINDS = ("email", "ipv4", "date", "phone", "card")
 
 FIRST_DAY, DAYS = "1900-01-01", 73049
@@ -114,6 +119,11 @@ def _luhn_sum(digits: Column, doubled_last: bool) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), worth), F.lit(0), lambda a, b: a + b)
 
 
+def _passes(value: Column) -> Column:
+    """Whether the digits of a value end with a right Luhn digit."""
+    return F.pmod(_luhn_sum(F.regexp_replace(value, r"[^0-9]", ""), False), F.lit(10)) == 0
+
+
 def _filled(shape: Column, digits: Column) -> Column:
     """The digits put at the digit places of a shape, separators kept."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
@@ -154,7 +164,7 @@ def _date(value: Column, key: str, undo: bool) -> Column:
 
 def kind_of(value: Column) -> Column:
     """The kind of a found value, or null if it is not valid."""
-    digits = F.regexp_replace(value, r"[^0-9]", "")
+    is_card = _passes(value) | _passes(F.regexp_extract(value, INNER, 2))
     octets_ok = F.forall(F.split(value, r"\."), lambda o: o.try_cast("int") <= 255)
     in_days = _day(value).between(F.lit(FIRST_DAY).cast("date"), F.lit("2099-12-31").cast("date"))
     return (
@@ -162,10 +172,32 @@ def kind_of(value: Column) -> Column:
         .when(value.rlike(f"^(?:{IPV4})$"), F.when(octets_ok, "ipv4"))
         .when(value.rlike(f"^(?:{DATE})$"), F.when(in_days, "date"))
         .when(value.rlike(f"^(?:{PHONE})$"), "phone")
-        .when(value.rlike(f"^(?:{CARD})$"), F.when(F.pmod(_luhn_sum(digits, False), F.lit(10)) == 0, "card"))
+        .when(value.rlike(f"^(?:{CARD})$"), F.when(is_card, "card"))
     )
 
 
+def _card(value: Column, key: str, undo: bool) -> Column:
+    """All but the check digit permuted; the check digit follows."""
+    digits = F.regexp_replace(value, r"[^0-9]", "")
+    body = feistel_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, undo)
+    check = F.pmod(10 - F.pmod(_luhn_sum(body, True), F.lit(10)), F.lit(10))
+    return _filled(value, F.concat(body, check.cast("string")))
+
+
+def _inner_card(value: Column, key: str, undo: bool) -> Column:
+    """The card inside a value permuted until the whole value fails its check, as it did."""
+    before, inner, after = [F.regexp_extract(value, INNER, group) for group in (1, 2, 3)]
+    start = F.struct(inner.alias("v"), F.lit(False).alias("done"))
+
+    def one(state: Column, _: Column) -> Column:
+        new = _card(state["v"], key, undo)
+        done = ~_passes(F.concat(before, new, after))
+        return F.when(state["done"], state).otherwise(F.struct(new.alias("v"), done.alias("done")))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), start, one, lambda s: s["v"])
+    return F.concat(before, walked, after)
+
+
 def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
     """The pseudonym of a found value (``undo``: the value of a pseudonym); invalid values stay."""
     kind, digits = kind_of(value), F.regexp_replace(value, r"[^0-9]", "")
@@ -180,10 +212,7 @@ def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
     # telephone: the last ten digits
     country = F.substring(digits, F.lit(1), F.length(digits) - 10)
     phone = _filled(value, F.concat(country, feistel_text(F.substring(digits, F.length(digits) - 9, F.lit(10)), f"{key}|phone", undo)))
-    # card: all but the check digit, which follows
-    body = feistel_text(F.substring(digits, F.lit(1), F.length(digits) - 1), f"{key}|card", undo)
-    check = F.pmod(10 - F.pmod(_luhn_sum(body, True), F.lit(10)), F.lit(10))
-    card = _filled(value, F.concat(body, check.cast("string")))
+    card = F.when(_passes(value), _card(value, f"{key}|card", undo)).otherwise(_inner_card(value, f"{key}|card", undo))
     return (
         F.when(kind == "email", email)
         .when(kind == "ipv4", address)

@@ -453,6 +453,25 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(table(spark, []), "text", "k").count() == 0
 
 
+def test_cards_beside_other_numbers(spark):
+    card, grouped, short = "4111111111111111", "4111 1111 1111 1111", "3782 822463 10005"
+    forms = [
+        "{} 12/27", "{} 123", "{} 2 items", "{} 12/27 123", "no. 7 {} end", "2-{}", "{} 01/02/2027", "{} 2027-01-05", "{}/12", "x {}, 1"
+    ]
+    texts = [f.format(c) for c in (card, grouped, grouped.replace(" ", "-"), short) for f in forms]
+    texts += [f"{grouped} {code}" for code in range(100, 180)] + ["4111111111111112 123", "12 34 56 78 90 12 34 56"]
+    df = table(spark, list(enumerate(texts, 1)))
+    new = pii.pseudonymise(df, "text", "k", counts="found")
+    rows = {r.doc_id: r for r in new.collect()}
+    for i, text in enumerate(texts[:-2], 1):
+        assert rows[i].found.card == 1 and len(rows[i].text) == len(text)
+        assert not any(c in rows[i].text for c in (card, grouped, grouped.replace(" ", "-"), short))
+    assert rows[7].found.date == rows[8].found.date == 1
+    assert [rows[i].text for i in (len(texts) - 1, len(texts))] == texts[-2:]
+    back = {r.doc_id: r.text for r in pii.pseudonymise(new.drop("found"), "text", "k", undo=True).collect()}
+    assert back == dict(enumerate(texts, 1))
+
+
 def test_feistel_numbers_are_a_permutation(spark):
     df = spark.range(49).select(pii.feistel_number(F.col("id"), 7, "k").alias("v"))
     assert sorted(r.v for r in df.collect()) == list(range(49))
