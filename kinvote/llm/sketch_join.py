@@ -255,7 +255,8 @@ def shared_keys(entries: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts' sets link. Only texts of rows in pairs are shuffled."""
     involved = pairs.select(F.col("a").alias("_id")).union(pairs.select("b"))
-    texts = marked(_slim(docs, key, text), F.col("_key"), involved, "_id").filter("_hit").select("_key", "_text")
+    slim = _slim(docs, key, text).filter("_text IS NOT NULL")  # an id's other rows may have a text
+    texts = marked(slim, F.col("_key"), involved, "_id").filter("_hit").select("_key", "_text")
     left = texts.select(F.col("_key").alias("a"), F.col("_text").alias("_left"))
     right = texts.select(F.col("_key").alias("b"), F.col("_text").alias("_right"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "_left", "_right")

@@ -171,6 +171,13 @@ def test_jaccard_components(spark, n, percent):
     assert sorted(map(tuple, got.collect()), key=str) == components_by_definition(rows, n, percent)
 
 
+def test_null_text_of_an_id_with_a_near_copy(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, None), (2, " ".join(words[:-1] + ["x"])), (3, None), (1, None)]
+    got = sketch_join.jaccard_components(table(spark, rows), n=3, percent=90).drop("representative")
+    assert sorted(map(tuple, got.collect()), key=str) == components_by_definition(rows, 3, 90)
+
+
 def test_jaccard_components_of_nothing(spark):
     assert sketch_join.jaccard_components(table(spark, [])).count() == 0
 
