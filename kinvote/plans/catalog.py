@@ -250,12 +250,15 @@ def sink_csv_roundtrip(spark, sf_dir):
 
 @query
 def sink_csv_single_file(spark, sf_dir):
-    """The cleaned labelled texts as one file, read back by name with the file's row count."""
+    """The cleaned labelled texts as one file, read back by name with the file's row count.
+
+    Join and cleaning run in parallel; only the copy into the one file is a single task.
+    """
     path = scratch_path(spark, "one_csv")
     rows = labelled(spark, sf_dir).select(
         "id", cleaning.clean_alnum(F.col("text")).alias("text"), F.col("quality").alias("label")
     )
-    writers.write_csv(rows, path, single_file=True)
+    writers.write_csv(materialize(rows, "one-csv"), path, single_file=True)
     schema = StructType.fromDDL("label int, id bigint, text string")
     back = readers.read_by_name(spark, path, schema, multi_line=False).fillna("", subset=["text"])
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)

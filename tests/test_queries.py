@@ -27,3 +27,17 @@ def test_statements_belong_to_queries():
 def test_entry(spark):
     row = entry.entry(spark).first()
     assert 0 <= row.accuracy <= 1 and row.test_size > 0
+
+
+def test_one_file_is_only_copied_by_one_task(spark, monkeypatch):
+    from kinvote.sources import writers
+
+    plans, write = [], writers.write_csv
+
+    def seen(df, *args, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(df, *args, **options)
+
+    monkeypatch.setattr(writers, "write_csv", seen)
+    assert QUERIES["sink_csv_single_file"](spark, FOLDER).first().n_files == 1
+    assert len(plans) == 1 and "Join" not in plans[0] and "regexp" not in plans[0]
