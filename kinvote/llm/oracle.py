@@ -160,6 +160,77 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_co
 FROM base
 """
 
+FILTER_AUDIT = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS upper,
+         min(doc_id) OVER (PARTITION BY t) AS first FROM d
+), f AS (
+  SELECT doc_id, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * upper > 5 * length(t),
+         regexp_matches(t, '[#$%&*|]'), coalesce(first < doc_id, false)] AS fails FROM w
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM f LEFT JOIN l ON l.doc_id = f.doc_id GROUP BY ALL
+), letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o
+  FROM letters AS a JOIN letters AS b ON b.x <> a.x JOIN letters AS c ON c.x NOT IN (a.x, b.x)
+  JOIN letters AS d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters AS e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+), steps AS (
+  SELECT o, s, [instr('ABCDE', x) FOR x IN string_split(o, '')] AS k FROM orders, range(1, 6) AS r(s)
+), outcomes AS (
+  SELECT part, o, s, k[s] AS k, n, good, toxic, fails[k[s]] AS failed,
+         len([i FOR i IN k[1 : s - 1] IF fails[i]]) > 0 AS gone,
+         len([x FOR x IN fails IF x]) = 1 AS single
+  FROM c, steps
+), counted AS (
+  SELECT part, o, s, k,
+         sum(CASE WHEN NOT gone AND NOT failed THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN NOT gone AND failed THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone AND failed THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN failed AND single THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN NOT gone AND failed AND good THEN n ELSE 0 END) AS good_lost,
+         sum(CASE WHEN NOT gone AND failed AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM outcomes GROUP BY part, o, s, k
+)
+SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+       CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley
+FROM counted
+"""
+
+RANKED_SEARCH = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_lowered("text")}, '{_ALNUM}') AS w FROM documents
+), sized AS (SELECT r, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM docs WHERE len(w) > 0
+), whole AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM sized
+), wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_lowered("text")}, '{_ALNUM}')) AS term FROM benchmark
+), postings AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM sized) AS u
+  WHERE term IN (SELECT term FROM wanted) GROUP BY r, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term) AS p, whole
+), impacts AS (
+  SELECT term, r, doc_id, weights.w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nn) // ll))) AS v
+  FROM postings JOIN weights USING (term) JOIN sized USING (r), whole
+), scores AS (
+  SELECT item_id, r, doc_id, CAST(sum(v) AS BIGINT) AS score FROM wanted JOIN impacts USING (term) GROUP BY item_id, r, doc_id
+), ranks AS (
+  SELECT item_id, doc_id, score,
+         row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank
+  FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranks WHERE rank <= 50
+"""
+
 STATEMENTS = {
     "op1_decontamination": DECONTAMINATION,
     "op2_ngram_jaccard": NGRAM_JACCARD,
@@ -167,4 +238,6 @@ STATEMENTS = {
     "op4_mixing": MIXING,
     "op6_warc": WARC,
     "op7_quality": QUALITY,
+    "op12_filter_audit": FILTER_AUDIT,
+    "op13_ranked_search": RANKED_SEARCH,
 }

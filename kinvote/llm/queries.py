@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinvote.llm import (
     decontamination,
+    filter_audit,
     language_id,
     licenses,
     mixing,
     pii,
+    ranked_search,
     repetition,
+    sentencepiece_bpe,
     sharding,
     sketch_join,
     url_filters,
@@ -31,6 +35,8 @@ URL_RULES = [
     ("block", "net/fr/"),
 ]
 CHUNK_BYTES = 64 << 10
+MODEL = "piece_bpe_32k.model"
+RANKED_DOCS = 50
 PSEUDONYM_KEY = "corpus pseudonyms"
 
 
@@ -104,6 +110,20 @@ def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_of(_table(spark, sf_dir, "documents"))
 
 
+def encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return sentencepiece_bpe.encoding_digests(docs, "doc_id", "text", public_tokenizers.path(MODEL))
+
+
+def audit_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def search_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return ranked_search.ranked(docs, items, RANKED_DOCS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate,
     "op2_ngram_jaccard": ngram_jaccard,
@@ -115,4 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pseudonymise,
     "op9_licenses": scan_licenses,
     "op10_language": languages,
+    "op11_sentencepiece": encode_pieces,
+    "op12_filter_audit": audit_filters,
+    "op13_ranked_search": search_items,
 }
