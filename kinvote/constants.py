@@ -50,7 +50,6 @@ SEED = 42
 SAMPLES_PER_CLASS = 6000
 FRACTIONS = [0.2, 0.4, 0.6, 0.8, 1.0]
 BASE_SAMPLE = 50000
-FOREST_TREES = 8
 SCENARIOS = {
     "unigram": "scenario1_unigram",
     "bigram": "scenario2_bigram",

@@ -1,4 +1,4 @@
-"""Token hashes, MinHash signatures, prefix-bucket keys and Bloom indices."""
+"""Token hashes, MinHash signatures, candidate lists and Bloom indices."""
 
 from __future__ import annotations
 
@@ -103,71 +103,45 @@ def minhash_signature(tokens: Column, num_hashes: int, seed: int = SEED) -> Colu
     return signature_udf(num_hashes, seed)(token_hashes(tokens))
 
 
-def prefix_keys_udf(trees: int):
-    """Bucket keys of a signature in a prefix forest.
+def distinct_candidates_udf(around: int):
+    """A row's distinct candidates, by block.
 
-    The signature is cut in ``trees`` equal runs; every prefix of every run is one bucket.
-    Element ``tree * depth + d`` is the key of the prefix of length ``d + 1`` in that tree.
+    Takes a list of (tree, first, list of (at, id, rb)) per row, of which the ``around`` places from
+    ``first`` on count, and gives a list of (rb, ids, trees): an id once, with the first of its trees.
     """
 
-    @F.arrow_udf("array<bigint>")
-    def prefix_keys(signatures: pa.Array) -> pa.Array:
-        sizes = _sizes(signatures)
-        values = np.asarray(signatures.flatten(), dtype=np.int64)
-        width = int(sizes.max()) if len(sizes) else 0
-        depth = width // trees if width else 0
-        grid = values.reshape(-1, width) if width else values.reshape(0, 0)
-        keys = np.empty((len(grid), trees * depth), dtype=np.uint64)
-        for tree in range(trees):
-            state = np.full(len(grid), tree + 1, dtype=np.uint64)
-            for d in range(depth):
-                state = _mix(state ^ grid[:, tree * depth + d].astype(np.uint64))
-                keys[:, tree * depth + d] = state
-        out_sizes = np.where(sizes > 0, trees * depth, 0)
-        return _as_lists(keys.view(np.int64).ravel(), out_sizes, signatures.is_null(), pa.int64())
-
-    return prefix_keys
-
-
-def deepest_udf(k: int):
-    """The ``k`` deepest of a row's matches, ties by id.
-
-    Takes a list of (depth, ids) per row, gives (id, depth) in rank order. An id counts with
-    its greatest depth.
-    """
-
-    @F.arrow_udf("array<struct<train_id: bigint, depth: int>>")
-    def deepest(matches: pa.Array) -> pa.Array:
-        bounds = np.concatenate([[0], np.cumsum(_sizes(matches))])
-        flat = matches.flatten()
-        depths, lists = (flat.field(n) for n in ("d", "train_ids"))
-        counts = _sizes(lists)
-        ids = np.asarray(lists.flatten(), dtype=np.int64)
-        depth = np.repeat(np.asarray(depths, dtype=np.int32), counts)
-        at = np.concatenate([[0], np.cumsum(counts)])[bounds]
-        rows = []
-        for a, b in zip(at[:-1], at[1:]):
-            order = a + np.lexsort((-depth[a:b], ids[a:b]))
-            _, first = np.unique(ids[order], return_index=True)
-            best = order[first]
-            rows.append(best[np.lexsort((ids[best], -depth[best]))[:k]])
-        sizes = np.array([len(r) for r in rows], dtype=np.int64)
-        chosen = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        pairs = pa.StructArray.from_arrays(
-            [pa.array(ids[chosen]), pa.array(depth[chosen], pa.int32())], ["train_id", "depth"]
+    @F.arrow_udf("array<struct<rb: int, ids: array<bigint>, trees: array<int>>>")
+    def distinct(lists: pa.Array) -> pa.Array:
+        per_row = _sizes(lists)
+        flat = lists.flatten()
+        offered = flat.field("offers")
+        counts = _sizes(offered)
+        offers = offered.flatten()
+        past = np.asarray(offers.field("at"), dtype=np.int64) - np.repeat(np.asarray(flat.field("first"), dtype=np.int64), counts)
+        near = np.flatnonzero((past >= 0) & (past < around))
+        ids, rb = np.asarray(offers.field("id"), dtype=np.int64)[near], np.asarray(offers.field("rb"), dtype=np.int32)[near]
+        tree = np.repeat(np.asarray(flat.field("tree"), dtype=np.int32), counts)[near]
+        row = np.repeat(np.repeat(np.arange(len(per_row)), per_row), counts)[near]
+        order = np.lexsort((tree, ids, rb, row))
+        ids, rb, tree, row = ids[order], rb[order], tree[order], row[order]
+        new_block = np.ones(len(ids), bool)
+        new_block[1:] = (row[1:] != row[:-1]) | (rb[1:] != rb[:-1])
+        first = new_block.copy()
+        first[1:] |= ids[1:] != ids[:-1]
+        opens = np.flatnonzero(new_block)
+        bounds = np.append(np.cumsum(first)[opens] - 1, first.sum()).astype(np.int32)
+        blocks = pa.StructArray.from_arrays(
+            [
+                pa.array(rb[opens], pa.int32()),
+                pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids[first], pa.int64())),
+                pa.ListArray.from_arrays(pa.array(bounds), pa.array(tree[first], pa.int32())),
+            ],
+            ["rb", "ids", "trees"],
         )
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pairs)
-
-    return deepest
-
+        of_rows = np.searchsorted(row[opens], np.arange(len(per_row) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(of_rows), blocks)
 
-def _mix(v: np.ndarray) -> np.ndarray:
-    """64-bit finaliser: spreads each input bit over the whole word."""
-    v = v + np.uint64(0x9E3779B97F4A7C15)
-    v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return v ^ (v >> np.uint64(31))
+    return distinct
 
 
 _ADLER_MOD = 65521

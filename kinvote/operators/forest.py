@@ -1,89 +1,130 @@
-"""Approximate nearest neighbours: a prefix forest over MinHash signatures.
-
-A signature is cut into ``trees`` runs of equal depth. Two rows match at depth d if in some
-tree their first d values agree. The k neighbours of a row are the rows with the deepest
-match (ties by id). Work is linear in the rows: each enters ``num_hashes`` buckets, a
-bucket offers at most k rows, and a test row looks at its own buckets only.
+"""Approximate nearest neighbours: a forest of sorted MinHash signatures, ranked by exact distance.
+
+A signature is cut into trees of ``DEPTH`` values. In a tree all rows lie in the order of their
+values, so rows that share a longer prefix lie closer together, and a test row's candidates are the
+``AROUND`` training rows around its place: half before it, half behind. The candidates of all
+trees are compared by their token sets, and the ``k`` nearest stay. Two rows of Jaccard similarity s
+share the first value of a tree with chance s, so of some tree with ``1 - (1 - s)^trees``.
+
+Work is linear in the rows: a row is one entry a tree, a test row has ``AROUND`` candidates a
+tree, and a group of equal or similar rows, however large, offers no more. Places are counted over
+range partitions of the order, so no tree is sorted by one task; neighbours come from blocks of
+``AROUND`` training rows by an equi-join on the block's number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import FOREST_TREES, SEED
-from ..functions.hashing import deepest_udf, minhash_signature, prefix_keys_udf
+from ..constants import SEED
+from ..functions.hashing import distinct_candidates_udf, minhash_signature
 from ..session import materialize
+from .similarity_join import block_of, block_counts, rank_neighbors, score_candidates
+
+DEPTH = 4
+"""Signature values of a tree: two longs, which sort like them."""
+AROUND = 50
+"""Training rows that a tree offers to a test row (an even number)."""
 
 
 def with_signature(rows: DataFrame, num_hashes: int, seed: int = SEED) -> DataFrame:
     return rows.withColumn("signature", minhash_signature(F.col("features"), num_hashes, seed))
 
 
+def tree_entries(rows: DataFrame, num_hashes: int, seed: int = SEED, runs: tuple[str, ...] = ()) -> DataFrame:
+    """``runs, id, is_test, tree, high, low``: the values of each tree as two sortable numbers."""
+    signed = with_signature(rows.where(F.size("features") > 0), num_hashes, seed)
+    value = lambda t, i: F.element_at("signature", t * DEPTH + i + 1).cast("bigint")
+    two = lambda t, i: F.shiftleft(value(t, i), 32).bitwiseOR(value(t, i + 1))
+    trees = F.transform(
+        F.sequence(F.lit(0), F.lit(num_hashes // DEPTH - 1)),
+        lambda t: F.struct(two(t, 0).alias("high"), two(t, 2).alias("low")),
+    )
+    exploded = signed.select(*runs, "id", "is_test", F.posexplode(trees).alias("tree", "at"))
+    return exploded.select(*runs, "id", "is_test", "tree", "at.high", "at.low")
+
+
+def placed(entries: DataFrame, runs: tuple[str, ...] = ()) -> DataFrame:
+    """``runs, tree, id, is_test, at``: how many training rows come before each entry.
+
+    Entries are dealt to ranges of (run, tree, values, id). Each range counts on its own as it is
+    written, and begins where those before it end (a row a range), so ``at`` runs on over runs and
+    trees; it is meant for comparing places within one.
+    """
+    order = [*runs, "tree", "high", "low", "id"]
+    ranged = entries.repartitionByRange(*order).sortWithinPartitions(*order)
+    slim = ranged.select(*runs, "tree", "id", "is_test", F.spark_partition_id().alias("part"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            train = ~np.asarray(batch.column("is_test").to_numpy(zero_copy_only=False), dtype=bool)
+            ends = before + np.cumsum(train)
+            yield batch.append_column("place", pa.array(ends - train, pa.int64()))
+            before = int(ends[-1]) if len(ends) else before
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema)
+    counted = materialize(slim.mapInArrow(count, f"{kinds}, place bigint"), "forest-places")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = counted.groupBy("part").agg(F.sum((~F.col("is_test")).cast("bigint")).alias("n"))
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    at = (F.col("place") + F.col("start")).alias("at")
+    return counted.join(F.broadcast(starts), "part").select(*runs, "tree", "id", "is_test", at)
+
+
+def candidates(
+    places: DataFrame, train_blocks: int, around: int = AROUND, runs: tuple[str, ...] = ()
+) -> DataFrame:
+    """``runs, test_id, rb, ids, trees``: distinct candidates by block of training rows.
+
+    ``trees`` has the first tree of each. Blocks of ``around`` training places meet a test row in
+    one or two of them; a test row's lists are bounded by twice that a tree.
+    """
+    half = around // 2
+    number = lambda c: F.floor(c / F.lit(around)).cast("bigint")
+    offer = F.struct("at", "id", block_of("id", train_blocks).alias("rb"))
+    train = places.where("not is_test").groupBy(*runs, "tree", number(F.col("at")).alias("block")).agg(
+        F.collect_list(offer).alias("offers")
+    )
+    first = F.col("at") - half
+    test = places.where("is_test").select(
+        *runs, "tree", F.col("id").alias("test_id"), first.alias("first"),
+        F.explode(F.array_distinct(F.array(number(first), number(first + around - 1)))).alias("block"),
+    )
+    met = test.join(train.hint("merge"), [*runs, "tree", "block"])  # exploded: file sizes say too little
+    lists = met.groupBy(*runs, "test_id").agg(F.collect_list(F.struct("tree", "first", "offers")).alias("lists"))
+    return lists.select(*runs, "test_id", F.inline(distinct_candidates_udf(around)("lists")))
+
+
 def forest_topk(
     rows: DataFrame,
     k: int,
-    num_hashes: int,
-    trees: int = FOREST_TREES,
+    table_counts: Sequence[int],
     seed: int = SEED,
     runs: tuple[str, ...] = (),
+    around: int = AROUND,
 ) -> DataFrame:
-    """Up to ``k`` training rows per test row: ``test_id, train_id, depth, rank``.
-
-    ``rows`` has ``id, features, is_test``; ``runs`` are extra key columns, and rows meet
-    only within a run. Of a bucket only the first k training ids are kept, which loses
-    nothing: a row after them has k rows of smaller id that match the same test rows at
-    least as deep. The cut runs before the shuffle, so a bucket that holds a third of the
-    rows (copies, near copies) costs no more than any other, and no bucket emits all pairs. A test row gets its buckets' offers as ``num_hashes`` packed lists and picks its
-    k from them in one step, so no row per (test row, offer) is made.
-    """
-    depth = num_hashes // trees
-    keys = prefix_keys_udf(trees)(minhash_signature(F.col("features"), num_hashes, seed))
-    keyed = materialize(rows.select(*runs, "id", "is_test", keys.alias("keys")), "forest")
-    entries = keyed.select(*runs, "id", "is_test", F.posexplode("keys").alias("slot", "bucket"))
-    place = [*runs, "slot", "bucket"]
-    offers = _first_ids(entries.where("not is_test"), place, k)
-    depth_of = (F.col("slot") % depth + 1).cast("int")
-    matches = (
-        entries.where("is_test")
-        .join(offers.hint("merge"), place)  # exploded: estimates from file sizes are too low
-        .groupBy(*runs, F.col("id").alias("test_id"))
-        .agg(F.collect_list(F.struct(depth_of.alias("d"), "train_ids")).alias("matches"))
-    )
-    ranked = matches.select(*runs, "test_id", F.posexplode(deepest_udf(k)("matches")).alias("r", "pair"))
-    return ranked.select(
-        *runs, "test_id", "pair.train_id", "pair.depth", (F.col("r") + 1).cast("int").alias("rank")
-    )
-
+    """The ``k`` nearest candidates of each test row, for each number of hashes.
 
-def _first_ids(entries: DataFrame, place: list[str], k: int) -> DataFrame:
-    """The ``k`` smallest ids of each bucket as one list (cut before the shuffle)."""
-    first = F.row_number().over(Window.partitionBy(*place).orderBy("id"))
-    kept = entries.withColumn("n", first).where(F.col("n") <= k)
-    return kept.groupBy(*place).agg(F.collect_list("id").alias("train_ids"))
-
-
-def with_overlap(pairs: DataFrame, rows: DataFrame, runs: tuple[str, ...] = ()) -> DataFrame:
-    """Add labels and the exact ``overlap`` and ``union_size`` of each pair.
-
-    ``pairs`` is a top-k result, at most k rows per test row, so carrying both token lists
-    through the two joins is bounded.
+    Gives ``num_hash_tables, runs..., test_id, test_label, train_id, train_label, distance, overlap,
+    union_size, rank``. ``rows`` is a written table ``id, label, features, is_test``; ``runs`` are
+    extra key columns, and rows meet only within a run. One signature of the largest count serves
+    all: n hashes are its first ``n // DEPTH`` trees. Pairs without a common token are left out.
     """
-
-    def side(name: str) -> DataFrame:
-        return rows.select(
-            *runs,
-            F.col("id").alias(f"{name}_id"),
-            F.col("label").alias(f"{name}_label"),
-            F.col("features").alias(f"__{name}"),
-        )
-
-    return (
-        pairs.join(side("test"), [*runs, "test_id"])
-        .join(side("train"), [*runs, "train_id"])
-        .withColumn("overlap", F.size(F.array_intersect("__test", "__train")).cast("bigint"))
-        .withColumn(
-            "union_size", (F.size("__test") + F.size("__train") - F.col("overlap")).cast("bigint")
-        )
-        .drop("__test", "__train")
-    )
+    counts = sorted(set(table_counts))
+    blocks = block_counts(rows, runs)
+    places = placed(tree_entries(rows, counts[-1], seed, runs), runs)
+    asked = materialize(candidates(places, blocks[1], around, runs), "forest-candidates")
+    limits = [n // DEPTH for n in counts]
+    near = materialize(score_candidates(rows, asked, k, limits, blocks, runs), "forest-near")
+    listed = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(t).alias("t")) for n, t in zip(counts, limits)])
+    fits = F.filter(listed, lambda c: F.col("first_tree") < c["t"])
+    each = near.withColumn("_count", F.explode(fits)).withColumn("num_hash_tables", F.col("_count.n"))
+    ranked = rank_neighbors(each, k, ("num_hash_tables", *runs, "test_id"))
+    pair = ["test_id", "test_label", "train_id", "train_label", "distance", "overlap", "union_size", "rank"]
+    return ranked.select("num_hash_tables", *runs, *pair)

@@ -43,17 +43,19 @@ def _blocks(rows: int, most: int, wanted: int) -> int:
     return max(1, -(-rows // most), min(wanted, rows // LEAST_ROWS))
 
 
-def _block_counts(rows: DataFrame) -> tuple[int, int]:
-    """Numbers of test and training blocks, from the numbers of rows."""
-    found = rows.agg(
+def block_counts(rows: DataFrame, runs: Sequence[str] = ()) -> tuple[int, int]:
+    """Numbers of test and training blocks, from the numbers of rows (of the largest run)."""
+    counts = rows.groupBy(*runs).agg(
         F.count(F.when(F.col("is_test"), 1)).alias("test"), F.count(F.when(~F.col("is_test"), 1)).alias("train")
-    ).first()
+    )
+    found = counts.agg(F.max("test").alias("test"), F.max("train").alias("train"), F.count(F.lit(1)).alias("runs")).first()
+    tests, trains = found["test"] or 0, found["train"] or 0
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    train = _blocks(found["train"], TRAIN_ROWS, 1)
-    return _blocks(found["test"], TEST_ROWS, -(-cores // train)), train
+    train = _blocks(trains, TRAIN_ROWS, 1)
+    return _blocks(tests, TEST_ROWS, -(-cores // (train * max(found["runs"], 1)))), train
 
 
-def _block(key: str, blocks: int) -> Column:
+def block_of(key: str, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
@@ -61,7 +63,7 @@ def _dealt(rows: DataFrame, blocks: tuple[int, int], *extra: str) -> DataFrame:
     """Every row in each group that it takes part in: ``tb, rb, id, label, is_test, t, ...``."""
     tests, trains = blocks
     every = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    own_test, own_train = F.array(_block("id", tests)), F.array(_block("id", trains))
+    own_test, own_train = F.array(block_of("id", tests)), F.array(block_of("id", trains))
     hashed = F.transform("features", lambda t: F.xxhash64(t))
     side = rows.select("id", F.col("label").cast("int").alias("label"), "is_test", hashed.alias("t"), *extra)
     test = side.where("is_test").withColumn("tb", F.explode(own_test)).withColumn("rb", F.explode(every(trains)))
@@ -123,7 +125,7 @@ def block_pairs(
     get its number (from 1) as ``first_table``; the first ``k`` are kept for each table count.
     """
     signed = ["signature"] if table_counts else []
-    dealt = _dealt(rows, _block_counts(rows), *signed)
+    dealt = _dealt(rows, block_counts(rows), *signed)
     limits = sorted(set(table_counts))
 
     def run(group: pa.Table) -> pa.Table:
@@ -195,9 +197,9 @@ def score_pairs(rows: DataFrame, pairs: DataFrame, threshold: float, kept: str)
     A pair goes to the group of its rows' blocks as two ids; token sets travel once a group,
     not once a pair.
     """
-    blocks = _block_counts(rows)
+    blocks = block_counts(rows)
     asked = pairs.select(
-        _block("test_id", blocks[0]).alias("tb"), _block("train_id", blocks[1]).alias("rb"), "test_id", "train_id", kept
+        block_of("test_id", blocks[0]).alias("tb"), block_of("train_id", blocks[1]).alias("rb"), "test_id", "train_id", kept
     )
 
     def run(group: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -232,3 +234,76 @@ def score_pairs(rows: DataFrame, pairs: DataFrame, threshold: float, kept: str)
 
     sides = _dealt(rows, blocks).groupBy("tb", "rb")
     return sides.cogroup(asked.groupBy("tb", "rb")).applyInArrow(run, f"{PAIRS}, {kept} int")
+
+
+def _side(rows: DataFrame, runs: Sequence[str]) -> DataFrame:
+    hashed = F.transform("features", lambda t: F.xxhash64(t))
+    return rows.select(*runs, "id", F.col("label").cast("int").alias("label"), "is_test", hashed.alias("t"))
+
+
+def score_candidates(
+    rows: DataFrame,
+    asked: DataFrame,
+    k: int,
+    limits: Sequence[int],
+    blocks: tuple[int, int],
+    runs: tuple[str, ...] = (),
+) -> DataFrame:
+    """Exact scores of candidate lists ``runs..., test_id, rb, ids, trees``, with ``first_tree``.
+
+    A test row's list of a training block goes to the group of (run, test block, training block).
+    Each row that a group needs goes there once, however many lists it is in. A group gives, for
+    each limit, a test row's ``k`` nearest candidates of trees below it (a common token needed).
+    """
+    asked = asked.withColumn("tb", block_of("test_id", blocks[0]))
+    keys = [*runs, "tb", "rb"]
+    side = _side(rows, runs)
+    needed = asked.select(*keys, F.col("test_id").alias("id")).distinct().join(side.where("is_test"), [*runs, "id"])
+    train = side.where("not is_test")
+    if blocks[0] == 1:  # every row of a training block is in its only group
+        train = train.withColumn("tb", F.lit(0)).withColumn("rb", block_of("id", blocks[1]))
+    else:
+        used = asked.select(*keys, F.explode("ids").alias("id")).distinct()
+        train = used.join(train, [*runs, "id"])
+    columns = [*keys, "id", "label", "is_test", "t"]
+    dealt = needed.select(*columns).unionByName(train.select(*columns))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema if f.name in runs}
+
+    def run(key: tuple, group: pa.Table, wanted: pa.Table) -> pa.Table:
+        is_test = group["is_test"]
+        tests, trains = _Side(group.filter(is_test)), _Side(group.filter(pc.invert(is_test)))
+        parts = []
+        if len(wanted):
+            index = _Index(trains)
+            by_test, by_train = np.argsort(tests.id, kind="stable"), np.argsort(trains.id, kind="stable")
+            lists = wanted["ids"].combine_chunks()
+            ends = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths(), dtype=np.int64))])
+            ids, trees = (np.asarray(wanted[c].combine_chunks().flatten()) for c in ("ids", "trees"))
+            places = by_train[np.searchsorted(trains.id[by_train], ids)]
+            mine = by_test[np.searchsorted(tests.id[by_test], _numpy(wanted["test_id"]))]
+            for i, low, high in zip(mine, ends[:-1], ends[1:]):
+                j, tree = places[low:high], trees[low:high]
+                overlap = index.overlaps(tests.tokens[tests.at[i] : tests.at[i + 1]])[j]
+                union = tests.size[i] + trains.size[j] - overlap
+                distance = (union - overlap) / union
+                some = [np.flatnonzero((tree < n) & (overlap > 0)) for n in limits]
+                keep = np.unique(np.concatenate([c[_nearest(distance[c], trains.id[j[c]], k)] for c in some]))
+                parts.append((np.full(len(keep), i), j[keep], distance[keep], overlap[keep], union[keep], tree[keep]))
+        i, j, distance, overlap, union, tree = (np.concatenate(c) for c in zip(*parts)) if parts else [np.zeros(0, int)] * 6
+        return pa.table(
+            {
+                **{name: pa.array([value.as_py()] * len(i), value.type) for name, value in zip(runs, key)},
+                "test_id": pa.array(tests.id[i], pa.int64()),
+                "test_label": pa.array(tests.label[i]).cast(pa.int32()),
+                "train_id": pa.array(trains.id[j], pa.int64()),
+                "train_label": pa.array(trains.label[j]).cast(pa.int32()),
+                "distance": pa.array(distance, pa.float64()),
+                "overlap": pa.array(overlap, pa.int64()),
+                "union_size": pa.array(union, pa.int64()),
+                "first_tree": pa.array(tree, pa.int32()),
+            }
+        )
+
+    schema = ", ".join([*(f"{n} {kinds[n]}" for n in runs), PAIRS, "first_tree int"])
+    asked = asked.toDF(*asked.columns)  # columns of its own: ``dealt`` comes from it, too
+    return dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(run, schema)

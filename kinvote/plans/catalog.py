@@ -783,7 +783,9 @@ def minhash_signature(spark, sf_dir):
 
 @query
 def lsh_banded_topk(spark, sf_dir):
-    return forest.forest_topk(unigram_rows(spark, sf_dir), 50, SIGNATURE_HASHES)
+    rows = materialize(unigram_rows(spark, sf_dir), "unigrams")
+    found = forest.forest_topk(rows, 50, [SIGNATURE_HASHES])
+    return found.select("test_id", "train_id", "distance", "rank")
 
 
 # ---------------------------------------------------------------- samples and splits

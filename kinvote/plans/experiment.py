@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..operators.forest import forest_topk, with_overlap, with_signature
+from ..operators.forest import forest_topk, with_signature
 from ..operators.labels import count_per_class, keep_nonempty
 from ..operators.sampling import clamp_fractions, split_stratified, with_position
 from ..operators.similarity_join import block_pairs, rank_neighbors, topk_pairs
@@ -128,9 +128,9 @@ def fraction_sweep(
 ) -> DataFrame:
     """Scenario x fraction x hash tables x k with the forest and the weighted vote.
 
-    ``rows`` is a written table ``id, label, tokens``. All (scenario, fraction) runs share
-    one plan per table count: the run is a key of every join, so the grid is one set of
-    shuffles and not one job per cell. Vocabularies are fitted on the training rows of
+    ``rows`` is a written table ``id, label, tokens``. All (scenario, fraction) runs and table
+    counts share one plan: the run is a key of every join, so the grid is one set of shuffles and
+    not one job per cell; a smaller table count is the first trees of the largest. Vocabularies are fitted on the training rows of
     each sample, all of them in one aggregate, hence the split comes before the features.
     """
     runs = ("scenario", "fraction")
@@ -156,18 +156,11 @@ def fraction_sweep(
         .select(*runs, F.col("id").alias("test_id"), F.col("label").alias("test_label"))
         .join(F.broadcast(majority), list(runs), "left")  # one row per run
     )
-    out = []
-    for n in table_counts:
-        top = forest_topk(featured, max(k_values), n, seed=seed, runs=runs)
-        near = materialize(with_overlap(top, featured, runs), "forest_near")
-        cells = evaluate(
-            at_each_k(near, list(k_values)),
-            for_each_k(tests, list(k_values)),
-            (*runs, "k"),
-            weighted=True,
-        )
-        out.append(cells.withColumn("num_hash_tables", F.lit(n)))
-    return reduce(DataFrame.unionByName, out)
+    near = forest_topk(featured, max(k_values), list(table_counts), seed, runs)
+    near = materialize(near, "sweep-ranked")
+    counts = ", ".join(str(n) for n in sorted(set(table_counts)))
+    cells = for_each_k(tests, list(k_values)).withColumn("num_hash_tables", F.expr(f"explode(array({counts}))"))
+    return evaluate(at_each_k(near, list(k_values)), cells, (*runs, "num_hash_tables", "k"), weighted=True)
 
 
 def best_config(results: DataFrame, keys: list[str]) -> DataFrame:

@@ -18,7 +18,8 @@ NUM_HASH_TABLES, K_VALUES = [128, 250], [50, 100, 150, 200]
 FRACTIONS = [0.2, 0.4, 0.6, 0.8, 1.0]
 THRESHOLD = 0.9
 TOP_WORDS, PATTERN_COLUMNS, SEQUENCES, SEQUENCE_LENGTH = 300, 20000, 600, 3
-FOREST_TREES = 8
+FOREST_DEPTH = 4
+FOREST_AROUND = 50
 PLATFORM_STOP_WORDS = ["rt", "amp", "https", "http", "co", "im"]
 EXTENDED_STOP_WORDS = ENGLISH_STOP_WORDS + PLATFORM_STOP_WORDS
 CUSTOM_STOP_WORDS = ["the", "of", "and", "to", "in", "that", "is", "que", "de", "la", "und", "der"]
@@ -335,27 +336,38 @@ def _signatures(rows: str, count: int, keys: str = "id") -> str:
       )"""
 
 
-def _forest(count: int, k: int, runs: str = "") -> str:
-    """``forest(runs, test_id, train_id, depth, rank)`` by comparing all prefixes."""
-    depth = count // FOREST_TREES
+def _forest(counts: list[int], k: int, runs: str = "") -> str:
+    """``forest(num_hash_tables, runs, test_id, ..., rank)``: the places of all rows in every tree."""
     r = f"{runs}, " if runs else ""
-    using = f"{r}tree, d, prefix"
+    half = FOREST_AROUND // 2
+    listed = ", ".join(f"({n}, {n // FOREST_DEPTH})" for n in counts)
     return f"""
-      lists AS (SELECT {r}id, list(v ORDER BY j) AS s FROM sig GROUP BY {r}id),
-      prefixes AS (
-        SELECT {r}id, is_test, tree, d,
-               list_slice(s, tree * {depth} + 1, tree * {depth} + d) AS prefix
-        FROM lists JOIN feat USING ({r}id), range({FOREST_TREES}) x(tree), range(1, {depth + 1}) y(d)
+      trees AS (
+        SELECT {r}id, j // {FOREST_DEPTH} AS tree, list(v ORDER BY j) AS vs FROM sig
+        WHERE j < {max(counts) // FOREST_DEPTH * FOREST_DEPTH} GROUP BY ALL
+      ), places AS (
+        SELECT {r}id, tree, is_test, coalesce(count(*) FILTER (NOT is_test) OVER (
+          PARTITION BY {r}tree ORDER BY vs, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+        FROM trees JOIN feat USING ({r}id)
+      ), around AS (
+        SELECT {r}id, tree, unnest(range(place - {half}, place + {half})) AS place FROM places WHERE is_test
+      ), offered AS (
+        SELECT {r}a.id AS test_id, b.id AS train_id, min(tree) AS first_tree
+        FROM around a JOIN (SELECT * FROM places WHERE NOT is_test) b USING ({r}tree, place) GROUP BY ALL
+      ), judged AS (
+        SELECT {r}test_id, a.label AS test_label, train_id, b.label AS train_label, first_tree,
+               len(list_intersect(a.f, b.f)) AS overlap,
+               len(a.f) + len(b.f) - len(list_intersect(a.f, b.f)) AS union_size
+        FROM offered
+        JOIN (SELECT {r}id AS test_id, label, f FROM feat) a USING ({r}test_id)
+        JOIN (SELECT {r}id AS train_id, label, f FROM feat) b USING ({r}train_id)
       ), forest AS (
         SELECT * FROM (
-          SELECT *, row_number() OVER (
-            PARTITION BY {r}test_id ORDER BY depth DESC, train_id)::INT AS rank
-          FROM (
-            SELECT {r}a.id AS test_id, b.id AS train_id, max(d)::INT AS depth
-            FROM (SELECT * FROM prefixes WHERE is_test) a
-            JOIN (SELECT * FROM prefixes WHERE NOT is_test) b USING ({using})
-            GROUP BY ALL
-          )
+          SELECT num_hash_tables, judged.*, (union_size - overlap) / union_size AS distance,
+                 row_number() OVER (PARTITION BY {r}num_hash_tables, test_id
+                   ORDER BY (union_size - overlap) / union_size, train_id)::INT AS rank
+          FROM judged JOIN (VALUES {listed}) AS c(num_hash_tables, trees) ON first_tree < trees
+          WHERE overlap > 0
         ) WHERE rank <= {k}
       )"""
 
@@ -415,10 +427,11 @@ HARNESS = f"""
   harness AS (SELECT id, label, t AS tokens FROM raw JOIN deduped USING (id))"""
 
 
-def _sweep(tables: int) -> str:
-    """One SELECT with the cells of the fraction sweep for one table count."""
+def _sweep() -> str:
+    """One SELECT with the cells of the fraction sweep."""
     fractions = ", ".join(f"({f}::DOUBLE)" for f in FRACTIONS)
     ks = ", ".join(f"({k})" for k in K_VALUES)
+    tables = ", ".join(f"({n})" for n in NUM_HASH_TABLES)
     bigrams, sequences = _grams("tokens", 2, "_"), _grams("tokens", SEQUENCE_LENGTH, "_")
     runs = "scenario, fraction"
     return f"""WITH {HARNESS}, fractions(fraction) AS (VALUES {fractions}),
@@ -455,23 +468,16 @@ def _sweep(tables: int) -> str:
         SELECT i.scenario, fraction, id, any_value(label) AS label, any_value(is_test) AS is_test,
                list_distinct(list(t)) AS f
         FROM items i JOIN split USING (fraction, id) GROUP BY i.scenario, fraction, id
-      ), {_signatures('feat', tables, f'{runs}, id')}, {_forest(tables, max(K_VALUES), runs)},
-      scored AS (
-        SELECT {runs}, test_id, a.label AS test_label, train_id, b.label AS train_label, rank,
-               len(list_intersect(a.f, b.f)) AS overlap,
-               len(a.f) + len(b.f) - len(list_intersect(a.f, b.f)) AS union_size
-        FROM forest
-        JOIN (SELECT {runs}, id AS test_id, label, f FROM feat) a USING ({runs}, test_id)
-        JOIN (SELECT {runs}, id AS train_id, label, f FROM feat) b USING ({runs}, train_id)
-      ), ks(k) AS (VALUES {ks}), top AS (SELECT k, scored.* FROM scored JOIN ks ON rank <= k),
+      ), {_signatures('feat', max(NUM_HASH_TABLES), f'{runs}, id')}, {_forest(NUM_HASH_TABLES, max(K_VALUES), runs)},
+      ks(k) AS (VALUES {ks}), top AS (SELECT k, forest.* FROM forest JOIN ks ON rank <= k),
       votes AS (
-        SELECT {runs}, k, test_id, train_label, sum(
+        SELECT {runs}, num_hash_tables, k, test_id, train_label, sum(
           CASE WHEN overlap > 0 THEN (overlap * 1000000000000::BIGINT) // union_size
                ELSE 1000000 END) AS votes FROM top GROUP BY ALL
       ), winner AS (
         SELECT * FROM (
           SELECT *, row_number() OVER (
-            PARTITION BY {runs}, k, test_id ORDER BY votes DESC, train_label) AS r FROM votes
+            PARTITION BY {runs}, num_hash_tables, k, test_id ORDER BY votes DESC, train_label) AS r FROM votes
         ) WHERE r = 1
       ), trained AS (
         SELECT {runs}, label AS fallback, train_size FROM (
@@ -480,27 +486,27 @@ def _sweep(tables: int) -> str:
           FROM (SELECT {runs}, label, count(*) AS n FROM feat WHERE NOT is_test GROUP BY ALL)
         ) WHERE r = 1
       ), preds AS (
-        SELECT f.scenario, f.fraction, f.k, f.label, w.train_label IS NULL AS is_fallback,
+        SELECT f.scenario, f.fraction, f.k, f.num_hash_tables, f.label, w.train_label IS NULL AS is_fallback,
                coalesce(w.train_label, t.fallback) AS prediction, t.train_size
-        FROM (SELECT * FROM feat, ks WHERE is_test) f
+        FROM (SELECT * FROM feat, ks, (VALUES {tables}) AS c(num_hash_tables) WHERE is_test) f
         LEFT JOIN trained t ON f.scenario = t.scenario AND f.fraction = t.fraction
         LEFT JOIN winner w ON w.scenario = f.scenario AND w.fraction = f.fraction
-          AND w.k = f.k AND w.test_id = f.id
-      ), found AS (SELECT {runs}, k, count(*) AS n FROM top GROUP BY ALL),
+          AND w.k = f.k AND w.num_hash_tables = f.num_hash_tables AND w.test_id = f.id
+      ), found AS (SELECT {runs}, num_hash_tables, k, count(*) AS n FROM top GROUP BY ALL),
       cells AS (
         SELECT {runs}, k, count(*) FILTER (prediction = label) / count(*) AS accuracy,
                coalesce(any_value(n), 0) / count(*) AS avg_candidates,
                coalesce(any_value(n), 0) AS neighbor_pairs,
                count(*) FILTER (is_fallback) AS n_fallback, count(*) AS test_size,
-               any_value(train_size) AS train_size, {tables} AS num_hash_tables
-        FROM preds LEFT JOIN found USING ({runs}, k) GROUP BY {runs}, k
+               any_value(train_size) AS train_size, num_hash_tables
+        FROM preds LEFT JOIN found USING ({runs}, num_hash_tables, k) GROUP BY {runs}, num_hash_tables, k
       ) SELECT * FROM cells"""
 
 
 def _swept() -> str:
     """CTEs ``cells`` (all table counts), ``timed``, ``best`` and ``summary``."""
     runs = "scenario, fraction"
-    cells = " UNION ALL ".join(f"SELECT * FROM ({_sweep(n)})" for n in NUM_HASH_TABLES)
+    cells = f"SELECT * FROM ({_sweep()})"
     return f"""WITH {HARNESS}, cells AS ({cells}
       ), timed AS (
         SELECT *, train_size / 1e6::DOUBLE AS train_rows_m, neighbor_pairs / 1e6::DOUBLE AS pairs_m
@@ -828,7 +834,7 @@ def oracle_statements() -> dict[str, str]:
              string_agg(v::VARCHAR, ',' ORDER BY j) AS signature
       FROM first JOIN sig USING (id) GROUP BY label, id"""
     sql["lsh_banded_topk"] = f"""WITH {ENGINE}, {_feature_rows(1)}, {_signatures('feat', SIGNATURE_HASHES)},
-      {_forest(SIGNATURE_HASHES, 50)} SELECT test_id, train_id, depth, rank FROM forest"""
+      {_forest([SIGNATURE_HASHES], 50)} SELECT test_id, train_id, distance, rank FROM forest"""
 
     # samples and splits
     raw_rows = f"(SELECT d.doc_id AS id, {RAW} AS label FROM {INNER})"

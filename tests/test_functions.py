@@ -173,15 +173,6 @@ def test_minhash_equals_definition(spark):
     assert short == [s[:8] for s in expected]
 
 
-def test_prefix_keys(spark):
-    rows = [(0, [1, 2, 3, 4]), (1, [1, 2, 9, 4]), (2, [7, 2, 3, 4]), (3, [])]
-    df = spark.createDataFrame(rows, "id int, s array<int>").coalesce(1)
-    k = column(df, hashing.prefix_keys_udf(2)("s"))
-    assert k[3] == []
-    assert k[0][:2] == k[1][:2] and k[0][2] != k[1][2] and k[0][3] != k[1][3]
-    assert k[0][0] != k[2][0] and k[0][1] != k[2][1] and k[0][2:] == k[2][2:]
-
-
 def test_vocabulary_and_assembly(spark):
     df = spark.createDataFrame([(0, ["a", "b", "a"]), (1, ["b", "c"]), (2, [])], "id int, t array<string>")
     top = vocabulary.top_terms(df, F.col("t"), 2)

@@ -122,46 +122,70 @@ def test_no_training_rows(spark):
     assert lsh_join.lsh_pairs(df, 8, 0.9).count() == 0
 
 
-def forest_by_definition(rows, signatures, k, trees):
-    expected = set()
-    train = [i for i, _, _, test in rows if not test]
-    for i in (i for i, _, _, test in rows if test):
-        found = []
-        for j in train:
-            a, b = signatures[i], signatures[j]
-            size = len(a) // trees
-            depth = 0
-            for t in range(trees):
-                run = 0
-                while run < size and a[t * size + run] == b[t * size + run]:
-                    run += 1
-                depth = max(depth, run)
-            if depth:
-                found.append((-depth, j))
-        expected |= {(i, j, -d, n + 1) for n, (d, j) in enumerate(sorted(found)[:k])}
-    return expected
-
-
-def test_forest_topk(spark):
+def forest_by_definition(rows, signatures, k, trees, around):
+    """{(test, train): (distance, rank)}: candidates lie around the test row in a tree's order."""
+    half, found = around // 2, {}
+    for t in range(trees):
+        value = lambda i: (signatures[i][4 * t : 4 * t + 4], i)
+        train = sorted((i for i, _, _, test in rows if not test), key=value)
+        for i in (i for i, _, _, test in rows if test):
+            place = sum(value(j) < value(i) for j in train)
+            found.setdefault(i, set()).update(train[max(0, place - half) : place + half])
+    near, out = brute(rows, 1.0), {}
+    for i, js in found.items():
+        first = sorted((near[i, j], j) for j in js if (i, j) in near)[:k]
+        out.update({(i, j): (d, n + 1) for n, (d, j) in enumerate(first)})
+    return out
+
+
+@pytest.mark.parametrize("blocks", ["small", "own"])
+@pytest.mark.parametrize("k, around", [(1, 2), (6, 8), (31, 30)])
+def test_forest_topk(spark, request, k, around, blocks):
+    if blocks == "small":
+        request.getfixturevalue("small_blocks")
     rows = random_rows(6, 150)
-    df = spark.createDataFrame(rows, SCHEMA)
-    signed = forest.with_signature(df, 32).collect()
-    signatures = {r.id: list(r.signature) for r in signed}
-    for k in (2, 30):
-        got = {
-            (r.test_id, r.train_id, r.depth, r["rank"])
-            for r in forest.forest_topk(df, k, 32, trees=4).collect()
-        }
-        assert got == forest_by_definition(rows, signatures, k, 4)
+    df = materialize(spark.createDataFrame(rows, SCHEMA), "forest-rows")
+    signatures = {r.id: list(r.signature) for r in forest.with_signature(df, 32).collect()}
+    got = forest.forest_topk(df, k, [8, 32], around=around).collect()
+    for n in (8, 32):
+        ranked = {(r.test_id, r.train_id): (r.distance, r["rank"]) for r in got if r.num_hash_tables == n}
+        assert ranked == forest_by_definition(rows, signatures, k, n // 4, around)
+    assert len(got) == len({(r.num_hash_tables, r.test_id, r.train_id) for r in got})
 
 
 def test_forest_runs_are_separate(spark):
     df = spark.createDataFrame(random_rows(7, 60), SCHEMA)
-    both = df.withColumn("run", F.lit(1)).unionByName(df.withColumn("run", F.lit(2)))
-    one = {tuple(r) for r in forest.forest_topk(df, 5, 32, trees=4).collect()}
-    got = forest.forest_topk(both, 5, 32, trees=4, runs=("run",)).collect()
-    for run in (1, 2):
-        assert {tuple(r)[1:] for r in got if r.run == run} == one
+    small = df.where("id < 40")
+    both = df.withColumn("run", F.lit("a")).unionByName(small.withColumn("run", F.lit("b")))
+    got = forest.forest_topk(materialize(both, "forest-rows"), 5, [32], runs=("run",)).collect()
+    for run, rows in (("a", df), ("b", small)):
+        one = {tuple(r) for r in forest.forest_topk(rows, 5, [32]).collect()}
+        assert {(r[0], *r[2:]) for r in got if r.run == run} == one
+
+
+def test_forest_of_nothing(spark):
+    for rows in ([], [(0, 1, ["a"], True)], [(0, 1, ["a"], False)], [(0, 1, [], True), (1, 1, ["a"], False)]):
+        assert forest.forest_topk(spark.createDataFrame(rows, SCHEMA), 3, [8]).count() == 0
+
+
+def test_places_run_on_over_ranges(spark):
+    rows = random_rows(3, 400)
+    entries = forest.tree_entries(spark.createDataFrame(rows, SCHEMA), 8).cache()
+    listed = sorted((r.tree, r.high, r.low, r.id, r.is_test) for r in entries.collect())
+    before, expected = 0, {}
+    for tree, _, _, i, test in listed:
+        expected[tree, i] = before
+        before += not test
+    assert {(r.tree, r.id): r.at for r in forest.placed(entries).collect()} == expected
+
+
+@pytest.mark.parametrize("scale, least", [("0.01", 0.99), ("0.1", 0.9)])
+def test_recall_of_the_forest(spark, scale, least):
+    """Share found of the 50 nearest below distance 0.9."""
+    rows = materialize(catalog.unigram_rows(spark, f"/root/testdata/sf{scale}"), "unigrams")
+    exact = {(r.test_id, r.train_id) for r in sj.topk_pairs(rows, 50, 0.9).collect()}
+    got = {(r.test_id, r.train_id) for r in forest.forest_topk(rows, 50, [128]).collect()}
+    assert len(exact & got) >= least * len(exact)
 
 
 @pytest.mark.parametrize("k", [2, 6, 500])
