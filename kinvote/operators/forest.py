@@ -37,8 +37,12 @@ def with_signature(rows: DataFrame, num_hashes: int, seed: int = SEED) -> DataFr
 
 
 def tree_entries(rows: DataFrame, num_hashes: int, seed: int = SEED, runs: tuple[str, ...] = ()) -> DataFrame:
-    """``runs, id, is_test, tree, high, low``: the values of each tree as two sortable numbers."""
+    """``runs, id, is_test, tree, high, low``: the values of each tree as two sortable numbers.
+
+    Signatures are written first, as dealing entries to ranges reads them twice.
+    """
     signed = with_signature(rows.where(F.size("features") > 0), num_hashes, seed)
+    signed = materialize(signed.select(*runs, "id", "is_test", "signature"), "forest-signatures")
     value = lambda t, i: F.element_at("signature", t * DEPTH + i + 1).cast("bigint")
     two = lambda t, i: F.shiftleft(value(t, i), 32).bitwiseOR(value(t, i + 1))
     trees = F.transform(
