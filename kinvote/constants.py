@@ -35,6 +35,7 @@ WORD_TERNARY = {"negative": 0, "neutral": 1, "positive": 2}
 NUM_HASH_TABLES = [128, 250]
 K_VALUES = [50, 100, 150, 200]
 DISTANCE_THRESHOLD = 0.9
+NEAR_THRESHOLD = 0.5
 HASH_BUCKETS = 32768
 JOB_HASH_BUCKETS = 262144
 PATTERN_COLUMN_VOCAB = 20000

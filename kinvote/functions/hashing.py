@@ -64,7 +64,8 @@ def _as_lists(flat: np.ndarray, sizes: np.ndarray, mask, type_) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=type_), mask=mask)
 
 
-def _sizes(lists: pa.ListArray) -> np.ndarray:
+def list_sizes(lists: pa.ListArray) -> np.ndarray:
+    """Lengths of the lists; 0 for a null."""
     return np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
 
 
@@ -79,7 +80,7 @@ def signature_udf(num_hashes: int, seed: int = SEED):
 
     @F.arrow_udf("array<int>")
     def signature(hashes: pa.Array) -> pa.Array:
-        sizes = _sizes(hashes)
+        sizes = list_sizes(hashes)
         values = np.asarray(hashes.flatten(), dtype=np.int64)
         full = np.flatnonzero(sizes)
         ends = np.cumsum(sizes[full])
@@ -112,10 +113,10 @@ def distinct_candidates_udf(around: int):
 
     @F.arrow_udf("array<struct<rb: int, ids: array<bigint>, trees: array<int>>>")
     def distinct(lists: pa.Array) -> pa.Array:
-        per_row = _sizes(lists)
+        per_row = list_sizes(lists)
         flat = lists.flatten()
         offered = flat.field("offers")
-        counts = _sizes(offered)
+        counts = list_sizes(offered)
         offers = offered.flatten()
         past = np.asarray(offers.field("at"), dtype=np.int64) - np.repeat(np.asarray(flat.field("first"), dtype=np.int64), counts)
         near = np.flatnonzero((past >= 0) & (past < around))
@@ -174,7 +175,7 @@ def bloom_indices(tokens: Column, size: int, num_hashes: int) -> Column:
 
     @F.arrow_udf("array<int>")
     def positions(words: pa.Array, crcs: pa.Array) -> pa.Array:
-        sizes = _sizes(words)
+        sizes = list_sizes(words)
         flat = words.flatten()
         steps = np.arange(num_hashes, dtype=np.int64)
         crc = np.asarray(crcs.flatten(), dtype=np.int64)

@@ -244,16 +244,18 @@ def _side(rows: DataFrame, runs: Sequence[str]) -> DataFrame:
 def score_candidates(
     rows: DataFrame,
     asked: DataFrame,
-    k: int,
+    k: int | None,
     limits: Sequence[int],
     blocks: tuple[int, int],
     runs: tuple[str, ...] = (),
+    threshold: float | None = None,
 ) -> DataFrame:
     """Exact scores of candidate lists ``runs..., test_id, rb, ids, trees``, with ``first_tree``.
 
     A test row's list of a training block goes to the group of (run, test block, training block).
     Each row that a group needs goes there once, however many lists it is in. A group gives, for
-    each limit, a test row's ``k`` nearest candidates of trees below it (a common token needed).
+    each limit, a test row's ``k`` nearest candidates of trees below it (all for None). A common
+    token is needed, and a distance strictly below ``threshold`` where one is given.
     """
     asked = asked.withColumn("tb", block_of("test_id", blocks[0]))
     keys = [*runs, "tb", "rb"]
@@ -286,7 +288,8 @@ def score_candidates(
                 overlap = index.overlaps(tests.tokens[tests.at[i] : tests.at[i + 1]])[j]
                 union = tests.size[i] + trains.size[j] - overlap
                 distance = (union - overlap) / union
-                some = [np.flatnonzero((tree < n) & (overlap > 0)) for n in limits]
+                near = (overlap > 0) & (distance < threshold) if threshold is not None else overlap > 0
+                some = [np.flatnonzero((tree < n) & near) for n in limits]
                 keep = np.unique(np.concatenate([c[_nearest(distance[c], trains.id[j[c]], k)] for c in some]))
                 parts.append((np.full(len(keep), i), j[keep], distance[keep], overlap[keep], union[keep], tree[keep]))
         i, j, distance, overlap, union, tree = (np.concatenate(c) for c in zip(*parts)) if parts else [np.zeros(0, int)] * 6

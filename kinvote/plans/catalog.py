@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, Str
 
 from .. import constants as C
 from ..functions import cleaning, hashing, patterns, tokens
-from ..operators import forest, labels, lsh_join, ml_stages, sampling, similarity_join, vocabulary, votes
+from ..operators import forest, labels, lsh_join, ml_stages, prefix_join, sampling, similarity_join, vocabulary, votes
 from ..session import materialize, scratch_path
 from ..sources import readers, writers
 from . import experiment, features
@@ -682,6 +682,13 @@ def jaccard_threshold_join(spark, sf_dir):
     return similarity_join.threshold_pairs(unigram_rows(spark, sf_dir), C.DISTANCE_THRESHOLD)
 
 
+@query
+def jaccard_prefix_join(spark, sf_dir):
+    """Pairs of at least half their tokens in common, by the prefix index."""
+    rows = materialize(unigram_rows(spark, sf_dir), "unigrams")
+    return prefix_join.prefix_pairs(rows, C.NEAR_THRESHOLD)
+
+
 @query
 def pairs_distinct(spark, sf_dir):
     # the join gives every pair once

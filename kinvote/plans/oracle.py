@@ -17,6 +17,7 @@ SIGNATURE_HASHES, ROWS_PER_BAND = 128, 2
 NUM_HASH_TABLES, K_VALUES = [128, 250], [50, 100, 150, 200]
 FRACTIONS = [0.2, 0.4, 0.6, 0.8, 1.0]
 THRESHOLD = 0.9
+NEAR_THRESHOLD = 0.5
 TOP_WORDS, PATTERN_COLUMNS, SEQUENCES, SEQUENCE_LENGTH = 300, 20000, 600, 3
 FOREST_DEPTH = 4
 FOREST_AROUND = 50
@@ -801,6 +802,8 @@ def oracle_statements() -> dict[str, str]:
     # neighbours and votes
     sql["jaccard_threshold_join"] = f"""{NEIGHBORS} SELECT test_id, test_label, train_id, train_label,
         distance, overlap, union_size FROM near"""
+    sql["jaccard_prefix_join"] = f"""WITH {ENGINE}, {_feature_rows(1)}, {_pairs(NEAR_THRESHOLD)}
+      SELECT test_id, test_label, train_id, train_label, distance, overlap, union_size FROM near"""
     sql["pairs_distinct"] = f"{NEIGHBORS} SELECT DISTINCT test_id, train_id FROM near"
     sql["lsh_similarity_join"] = f"""WITH {ENGINE}, {_feature_rows(1)}, {_pairs()},
         {_signatures('feat', SIGNATURE_HASHES)}

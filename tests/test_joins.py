@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kinvote.operators import forest, lsh_join, similarity_join as sj
+from kinvote.operators import forest, lsh_join, prefix_join, similarity_join as sj
 from kinvote.plans import catalog, experiment
 from kinvote.session import materialize
 
@@ -122,6 +122,36 @@ def test_no_training_rows(spark):
     assert lsh_join.lsh_pairs(df, 8, 0.9).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.1, 1 / 3, 0.5, 0.8])
+@pytest.mark.parametrize("common, piece", [(4096, 4096), (2, 7)])
+def test_prefix_pairs(spark, small_blocks, monkeypatch, threshold, common, piece):
+    monkeypatch.setattr(prefix_join, "COMMON", common)
+    monkeypatch.setattr(prefix_join, "PIECE", piece)
+    rows = random_rows(12, 160, 0.5)
+    df = materialize(spark.createDataFrame(rows, SCHEMA), "prefix-rows")
+    got = prefix_join.prefix_pairs(df, threshold).collect()
+    assert {(r.test_id, r.train_id): r.distance for r in got} == brute(rows, threshold)
+    assert len(got) == len({(r.test_id, r.train_id) for r in got})
+    label = {r[0]: r[1] for r in rows}
+    assert all(r.test_label == label[r.test_id] and r.train_label == label[r.train_id] for r in got)
+
+
+def test_prefix_join_of_nothing(spark):
+    for rows in ([], [(0, 1, ["a"], True)], [(0, 1, ["a"], False)], [(0, 1, [], True), (1, 1, ["a"], False)]):
+        assert prefix_join.prefix_pairs(spark.createDataFrame(rows, SCHEMA), 0.5).count() == 0
+
+
+def test_few_candidates_beside_the_pairs(spark):
+    """Scored pairs stay below three times the result, where the block join compares all."""
+    rows = materialize(catalog.unigram_rows(spark, "/root/testdata/sf0.1"), "unigrams")
+    for threshold in (0.3, 0.5):
+        pairs = prefix_join.prefix_pairs(rows, threshold)
+        exact = sj.threshold_pairs(rows, threshold)
+        found, asked = pairs.count(), prefix_join.candidate_count(rows, threshold)
+        assert found == exact.count() and found <= asked <= 3 * found
+        assert pairs.exceptAll(exact.select(pairs.columns)).count() == 0
+
+
 def forest_by_definition(rows, signatures, k, trees, around):
     """{(test, train): (distance, rank)}: candidates lie around the test row in a tree's order."""
     half, found = around // 2, {}
