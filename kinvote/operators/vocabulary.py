@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +35,65 @@ def top_terms(df: DataFrame, terms: Column, n: int) -> DataFrame:
     return term_counts(df, terms).orderBy(F.desc("n_uses"), F.asc("term")).limit(n)
 
 
+SUMMARY_TERMS = 1 << 16
+"""Terms that a task's summary keeps; a task with no more different terms counts exactly."""
+
+
+def summaries(df: DataFrame, terms: Column, capacity: int = SUMMARY_TERMS) -> DataFrame:
+    """``term, n, missed``: the Misra-Gries summary of each task, at most ``capacity`` terms.
+
+    A term occurs at least ``n`` and at most ``n + missed`` times in its task, one that the summary
+    lacks at most ``missed`` times. The row without a term has the task's ``missed``: when a summary
+    is too long, what its next term would have is taken from all, and those left without go.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        missed = 0
+        for batch in batches:
+            counted = pc.value_counts(batch.column("term"))
+            new = pa.table({"term": counted.field("values"), "n": counted.field("counts")})
+            if held is not None:
+                new = pa.concat_tables([held, new]).group_by("term").aggregate([("n", "sum")])
+                new = pa.table({"term": new["term"], "n": new["n_sum"]})
+            held = new
+            if len(held) > capacity:
+                counts = np.asarray(held["n"])
+                cut = int(np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1])
+                left = counts > cut
+                held = pa.table({"term": held["term"].filter(pa.array(left)), "n": pa.array(counts[left] - cut)})
+                missed += cut
+        ends = pa.table({"term": pa.nulls(1, pa.string()), "n": pa.array([0], pa.int64())})
+        out = ends if held is None else pa.concat_tables([held.cast(ends.schema), ends])
+        yield from out.append_column("missed", pa.array(np.full(len(out), missed), pa.int64())).to_batches()
+
+    return df.select(F.explode(terms).alias("term")).where("term IS NOT NULL").mapInArrow(run, "term string, n bigint, missed bigint")
+
+
+def heavy_terms(df: DataFrame, terms: Column, n: int, capacity: int = SUMMARY_TERMS) -> DataFrame:
+    """``top_terms`` in two passes, without a shuffle of all different terms.
+
+    The tasks' summaries give each term a least and a most count; only terms that can be among
+    the first ``n`` are then counted exactly. A term in no summary occurs at most ``missed`` times
+    in all. If that is not below the n-th least count, the summaries are made longer. ``df`` should
+    be a written table, since it is read twice or more.
+    """
+    while True:
+        found = materialize(summaries(df, terms, capacity), "term-summaries")
+        missed = found.where("term IS NULL").agg(F.sum("missed")).first()[0] or 0
+        least = found.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("least"))
+        top = least.orderBy(F.desc("least")).limit(n).agg(F.min("least").alias("bar"), F.count(F.lit(1)).alias("rows")).first()
+        if missed == 0 or (top["rows"] == n and top["bar"] > missed):
+            break
+        capacity *= 4
+    bar = (top["bar"] or 0) if top["rows"] == n else 0
+    likely = least.where(F.col("least") + missed >= bar).select("term")
+    if missed == 0:  # every task has counted exactly
+        return least.withColumnRenamed("least", "n_uses").orderBy(F.desc("n_uses"), F.asc("term")).limit(n)
+    used = df.select(F.explode(terms).alias("term")).join(likely, "term", "left_semi")
+    return used.groupBy("term").agg(F.count("*").alias("n_uses")).orderBy(F.desc("n_uses"), F.asc("term")).limit(n)
+
+
 def frequent_words(df: DataFrame, tokens_col: str, n: int = HFW_TOP_N) -> list[str]:
     """The ``n`` most frequent words, most frequent first. ``n`` bounds what reaches the driver."""
     rows = top_terms(df, F.col(tokens_col), _bounded(n)).collect()

@@ -21,7 +21,7 @@ QUERIES: dict[str, Query] = {}
 CUSTOM_STOP_WORDS = ["the", "of", "and", "to", "in", "that", "is", "que", "de", "la", "und", "der"]
 BLOOM_BITS, BLOOM_HASHES = 32768, 3
 SIGNATURE_HASHES = 128
-ROWS_PER_BAND = 2
+BAND_HASHES, ROWS_PER_BAND = 512, 2  # 256 bands: 92 % of the pairs at similarity 0.1, 97 % at 0.12
 
 
 def query(fn: Query) -> Query:
@@ -166,6 +166,33 @@ def src_skip_malformed(spark, sf_dir):
     return readers.read_six_columns(spark, path, multi_line=True, skip_malformed=True)
 
 
+def _uneven_lines(spark, sf_dir) -> str:
+    """Six-column lines of all documents, many of which do not fit their schema.
+
+    Neutral labels are no number, negative ones have a seventh field, unlabelled lines two.
+    """
+    path = scratch_path(spark, "uneven")
+    dialect = {"quote": '"', "escape": '"', "quoteAll": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    raw = F.col("raw_label")
+    first = F.when(raw == 2, F.lit("n/a")).otherwise(raw.cast("string"))
+    parts = [F.col("id").cast("string"), F.lit("date"), F.lit("query"), F.lit("user"), F.coalesce("text", F.lit(""))]
+    line = lambda columns: F.to_csv(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)]), dialect)
+    lines = F.when(raw.isNull(), line(parts[-1:] + parts[:1])).when(raw == 0, line([first, *parts, parts[0]])).otherwise(line([first, *parts]))
+    labelled(spark, sf_dir, True).select(lines.alias("value")).write.text(path)
+    return path
+
+
+@query
+def src_quarantine(spark, sf_dir):
+    """Rows that fit their schema, and how many records were refused for which reason."""
+    path = _uneven_lines(spark, sf_dir)
+    parsed = readers.read_csv_quarantine(spark, path, readers.SIX_COLUMNS, False, multi_line=True)
+    kept = parsed.kept.select(F.lit("kept").alias("outcome"), "label_raw", "text", F.lit(1).cast("bigint").alias("n_rows"))
+    counts = readers.refused_counts(parsed.refused)
+    nothing = [F.lit(None).cast("int").alias("label_raw"), F.lit(None).cast("string").alias("text")]
+    return kept.unionByName(counts.select(F.col("reason").alias("outcome"), *nothing, "n_rows"))
+
+
 @query
 def src_row_cap(spark, sf_dir):
     rows = labels.project_label_text(labelled(spark, sf_dir, True), "raw_label", "text", "id")
@@ -609,8 +636,7 @@ def count_per_class(spark, sf_dir):
 
 @query
 def hfw_top_words(spark, sf_dir):
-    rows = documents(spark, sf_dir)
-    return vocabulary.top_terms(rows, tokens.social_tokens(F.col("text")), C.HFW_TOP_N)
+    return vocabulary.heavy_terms(document_tokens(spark, sf_dir), F.col("tokens"), C.HFW_TOP_N)
 
 
 @query
@@ -618,7 +644,8 @@ def pattern_vocab_topn(spark, sf_dir):
     rows = documents(spark, sf_dir).select(
         tokens.tokenize_match(F.col("text"), C.PLATFORM_STOP_WORDS).alias("t")
     )
-    return vocabulary.top_terms(rows, tokens.sequence_grams(F.col("t"), 2), C.SEQUENCE_VOCAB)
+    rows = materialize(rows, "match-tokens")
+    return vocabulary.heavy_terms(rows, tokens.sequence_grams(F.col("t"), 2), C.SEQUENCE_VOCAB)
 
 
 @query
@@ -710,26 +737,26 @@ def _hashed_rows(rows: DataFrame) -> DataFrame:
     return hashed.select("id", "label", "is_test", bits.alias("features"))
 
 
-def _hashed_pairs(spark, sf_dir, rows_per_band: int) -> DataFrame:
+def _hashed_pairs(spark, sf_dir, hashes: int, rows_per_band: int) -> DataFrame:
     rows = materialize(_hashed_rows(engine_rows(spark, sf_dir)), "hashed")
-    return lsh_join.lsh_pairs(
-        labels.keep_nonempty(rows, "features"), SIGNATURE_HASHES, C.DISTANCE_THRESHOLD, rows_per_band
-    )
+    rows = labels.keep_nonempty(rows, "features")
+    return lsh_join.lsh_pairs(rows, hashes, C.DISTANCE_THRESHOLD, rows_per_band)
 
 
 @query
 def lsh_join_hashed(spark, sf_dir):
-    """Hashed features into the LSH join, two signature values a band.
+    """Hashed features into the LSH join, two signature values a band, with bands for a recall of 0.9.
 
-    Finds the near pairs; most pairs just below the threshold are in ``lsh_join_hashed_tables`` only.
+    A pair just below the threshold is found with chance 0.92; ``lsh_join_hashed_tables`` has all.
     """
-    return _hashed_pairs(spark, sf_dir, ROWS_PER_BAND).select("test_id", "train_id", "distance", "first_band")
+    pairs = _hashed_pairs(spark, sf_dir, BAND_HASHES, ROWS_PER_BAND)
+    return pairs.select("test_id", "train_id", "distance", "first_band")
 
 
 @query
 def lsh_join_hashed_tables(spark, sf_dir):
     """Hashed features into the LSH join, one hash a table: practically every pair below the threshold."""
-    pairs = _hashed_pairs(spark, sf_dir, 1)
+    pairs = _hashed_pairs(spark, sf_dir, SIGNATURE_HASHES, 1)
     return pairs.select("test_id", "train_id", "distance", F.col("first_band").alias("first_table"))
 
 

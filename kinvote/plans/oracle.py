@@ -13,7 +13,8 @@ from ..constants import ENGLISH_STOP_WORDS
 PRIME = 2147483647
 BLOOM_BITS, BLOOM_HASHES = 32768, 3
 HASH_BUCKETS, JOB_HASH_BUCKETS = 32768, 262144
-SIGNATURE_HASHES, ROWS_PER_BAND = 128, 2
+SIGNATURE_HASHES = 128
+BAND_HASHES, ROWS_PER_BAND = 512, 2
 NUM_HASH_TABLES, K_VALUES = [128, 250], [50, 100, 150, 200]
 FRACTIONS = [0.2, 0.4, 0.6, 0.8, 1.0]
 THRESHOLD = 0.9
@@ -574,6 +575,10 @@ def oracle_statements() -> dict[str, str]:
           AS selected_text, {WORD} AS sentiment, part
         FROM {INNER}, (VALUES ('train'), ('test')) p(part) WHERE {RAW} <> 2"""
     sql["src_skip_malformed"] = f"SELECT {RAW} AS label, d.text FROM {INNER} WHERE {RAW} <> 2"
+    sql["src_quarantine"] = f"""WITH lines AS (SELECT {RAW} AS raw, d.text FROM {LEFT})
+      SELECT 'kept' AS outcome, raw::INT AS label_raw, coalesce(text, '') AS text, 1::BIGINT AS n_rows FROM lines WHERE raw = 4
+      UNION ALL SELECT CASE WHEN raw IS NULL THEN 'missing fields' WHEN raw = 0 THEN 'surplus fields' ELSE 'bad value' END,
+        NULL, NULL, count(*) FROM lines WHERE raw IS DISTINCT FROM 4 GROUP BY 1"""
     sql["src_row_cap"] = f"""SELECT id, CASE raw WHEN 0 THEN 0 ELSE 1 END AS label, text FROM (
         SELECT d.doc_id AS id, {RAW} AS raw, d.text FROM {INNER} ORDER BY d.doc_id LIMIT 100
       ) WHERE raw IN (0, 4)"""
@@ -739,7 +744,7 @@ def oracle_statements() -> dict[str, str]:
         FROM one JOIN hashed_buckets USING (w) JOIN eng USING (id) GROUP BY id)"""
     sql["lsh_join_hashed"] = f"""WITH {hashed_feat}, {_pairs()},
       strings AS (SELECT id, list_transform(f, lambda i: i::VARCHAR) AS f FROM feat),
-      {_signatures('strings', SIGNATURE_HASHES)},
+      {_signatures('strings', BAND_HASHES)},
       bands AS (SELECT id, j // {ROWS_PER_BAND} AS band, list(v ORDER BY j) AS vs FROM sig GROUP BY ALL)
       SELECT n.test_id, n.train_id, any_value(distance) AS distance, (min(a.band) + 1)::INT AS first_band
       FROM near n JOIN bands a ON a.id = n.test_id

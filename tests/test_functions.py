@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.ml.feature import NGram, RegexTokenizer, StopWordsRemover, Tokenizer
@@ -181,3 +182,31 @@ def test_vocabulary_and_assembly(spark):
     assert column(got, "indices") == [[0, 1], [1], []]
     both = vocabulary.assemble([(F.col("indices"), 2), (F.col("indices"), 2)])
     assert column(got, both) == [[0, 1, 2, 3], [1, 3], []]
+
+
+@pytest.mark.parametrize("capacity", [3, 20, 1 << 16])
+def test_heavy_terms_are_the_top_terms(spark, capacity):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    rows = [(i, rng.choices(words, weights, k=rng.randint(0, 40))) for i in range(400)]
+    df = spark.createDataFrame([*rows, (900, None), (901, [None, "w0"])], "id int, t array<string>").repartition(5)
+    for n in (1, 7, 400):
+        want = [tuple(r) for r in vocabulary.top_terms(df, F.filter("t", lambda x: x.isNotNull()), n).collect()]
+        assert [tuple(r) for r in vocabulary.heavy_terms(df, F.col("t"), n, capacity).collect()] == want
+    assert vocabulary.heavy_terms(df.limit(0), F.col("t"), 3).count() == 0
+
+
+def test_summaries_keep_their_bound(spark):
+    """What a summary says of a term is at most what occurs, and short of it by ``missed`` at most."""
+    rng = random.Random(9)
+    rows = [(i % 3, rng.choices([f"w{i}" for i in range(500)], [1 / (i + 1) for i in range(500)], k=30)) for i in range(900)]
+    for part in range(3):
+        df = spark.createDataFrame([r for r in rows if r[0] == part], "p int, t array<string>").coalesce(1)
+        true = Counter(w for p, t in rows if p == part for w in t)
+        got = vocabulary.summaries(df, F.col("t"), 40).collect()
+        missed = next(r.missed for r in got if r.term is None)
+        kept = {r.term: r.n for r in got if r.term is not None}
+        assert len(kept) <= 40 and 0 < missed <= sum(true.values()) / 40
+        assert all(n <= true[t] <= n + missed for t, n in kept.items())
+        assert all(c <= missed for t, c in true.items() if t not in kept)

@@ -151,6 +151,24 @@ def test_files_of_one_input_must_agree(spark):
         readers.read_named_columns(spark, path, "role", "text", multi_line=False).collect()
 
 
+def test_refused_records_keep_their_reason(spark):
+    lines = [
+        '4,"1",d,q,u,"fits, with ""quotes"", commas"', '4,"2",d,q', 'x,"3",d,q,u,"no, number"', '0,"4",d,q,u,"one, more",7,8',
+        '0,"5",d,q,u,""', '"6"',
+    ]
+    path = one_file(spark, lines, "refused")
+    for multi_line in (False, True):
+        got = readers.read_csv_quarantine(spark, path, readers.SIX_COLUMNS, False, multi_line)
+        kept = {(r.label_raw, r.tweet_id, r.text or "") for r in got.kept.collect()}
+        assert kept == {(4, "1", 'fits, with "quotes", commas'), (0, "5", "")}
+        assert {(r.record.strip(), r.reason) for r in got.refused.collect()} == {
+            (lines[1], "missing fields"), (lines[2], "bad value"), (lines[3], "surplus fields"), (lines[5], "missing fields"),
+        }
+        assert {(r.reason, r.n_rows) for r in readers.refused_counts(got.refused).collect()} == {
+            ("missing fields", 2), ("bad value", 1), ("surplus fields", 1),
+        }
+
+
 def test_skip_malformed_lines(spark):
     lines = ["0,1,d,q,u,fine", "x,2,d,q,u,bad label", "4,3,d,q,u,too,many", "4,5,d,q,u,also fine"]
     path = one_file(spark, lines, "malformed")
