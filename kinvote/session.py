@@ -94,6 +94,23 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
+@contextmanager
+def scratch_list(spark: SparkSession) -> Iterator[list[str]]:
+    """Gives the list of the scratch folders made inside; the caller deletes them in time."""
+    made: list[str] = []
+    _owners.append(made)
+    try:
+        yield made
+    finally:
+        _owners.remove(made)
+
+
+def delete_scratch(spark: SparkSession, folders: list[str]) -> None:
+    """Delete the folders of a ``scratch_list``; the list is empty afterwards."""
+    while folders:
+        _delete(spark, folders.pop())
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Delete all scratch tables of this application."""
     _delete(spark, _run_folder(spark))
