@@ -20,10 +20,12 @@ of ``SEEDS`` rounds its empty pieces are keys, so no pair is lost (``_keys`` has
 
 Candidates: in each key's group the smallest native is compared with every other member (a
 star: as many pairs as members). Members that the stars leave in different components are
-compared pair by pair, if a second parity sketch, of single bits, allows it: its Hamming
-distance is also a lower bound of the symmetric difference. Members of one component need no
-more comparisons, as only components are asked for. Every candidate is verified on the whole
-shingle sets. Hashes have 64 bits (sets are compared by 128).
+compared pair by pair. Members of one component need no more comparisons, as only components are
+asked for. A second parity sketch, of single bits and about as many as the set has shingles,
+judges every candidate before a text moves: its Hamming distance is also
+a lower bound of the symmetric difference, and sets with little in common differ in nearly half of
+their bits. What is left is verified on the whole shingle sets. Hashes have 64 bits (sets are
+compared by 128).
 
 Edge cases: null and empty texts have size 0 and link with nothing; a text of fewer than ``n``
 words has one shingle; rows that share an id are one node, linked to what any of their texts links
@@ -38,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinvote.llm.common import LOWER_BLANK_WORDS, marked, mix, shingle_sets, slices, words_of
@@ -48,8 +50,8 @@ from kinvote.session import materialize
 SEEDS = 4
 LARGEST = 1 << 40
 """Set sizes are below this; it only ends the table of bands."""
-FILTER_WORDS = 4
-"""64-bit words of the second sketch."""
+LEAST_WORDS = 4
+"""64-bit words of the smallest second sketches; others have a power of two, a bit a shingle at least."""
 
 
 def bands(percent: int) -> np.ndarray:
@@ -142,14 +144,35 @@ def _keys(values: np.ndarray, bounds: np.ndarray, percent: int):
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)]
 
 
-def _bits(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The second sketch: each shingle flips one of ``64 * FILTER_WORDS`` bits."""
-    sketch = np.zeros((len(bounds) - 1, FILTER_WORDS), np.uint64)
-    spot = mix(values ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(40)
-    spot = (spot % np.uint64(64 * FILTER_WORDS)).astype(np.int64)
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    flat = np.bincount(owner * (64 * FILTER_WORDS) + spot, minlength=sketch.size * 64) & 1
-    return np.packbits(flat.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view(np.uint64).reshape(sketch.shape)
+def _bits(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The second sketches, one after another, and their bounds: each shingle flips a bit.
+
+    A sketch is a power of two of words, so that the wider of two folds to the narrower.
+    """
+    sizes = np.diff(bounds)
+    words = LEAST_WORDS << np.ceil(np.log2(np.maximum(sizes / (64 * LEAST_WORDS), 1))).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(words)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    spot = mix(values ^ np.uint64(0x5851F42D4C957F2D)).astype(np.int64) & (64 * words[owner] - 1)
+    flat = (np.bincount(64 * ends[owner] + spot, minlength=64 * ends[-1]) & 1).astype(np.uint8)
+    return np.packbits(flat.reshape(-1, 64), axis=1, bitorder="little").view(np.int64).ravel(), ends
+
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether the sets with ``n_`` and ``bits_`` of these names can link, by sizes and Hamming distance.
+
+    Sets whose sketches differ by more than one fold are left to the verification.
+    """
+    n, m = F.col(f"n_{a}"), F.col(f"n_{b}")
+    x, y = F.col(f"bits_{a}"), F.col(f"bits_{b}")
+    narrow = F.least(F.size(x), F.size(y))
+    folded = lambda z: F.when(F.size(z) == narrow, z).otherwise(
+        F.zip_with(F.slice(z, 1, narrow), F.slice(z, narrow + 1, narrow), lambda p, q: p.bitwiseXOR(q))
+    )
+    differ = F.zip_with(folded(x), folded(y), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    flipped = F.aggregate(differ, F.lit(0), lambda total, k: total + k)
+    near = (flipped * (100 + percent) <= (n + m) * (100 - percent)) | (F.greatest(F.size(x), F.size(y)) > 2 * narrow)
+    return F.when(100 * F.least(n, m) < percent * F.greatest(n, m), False).otherwise(near)
 
 
 def _slim(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -163,14 +186,14 @@ def set_table(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
         for batch in slices(batches, "_text", rows=1 << 14):
             values, bounds = shingle_sets(words_of(batch.column("_text"), LOWER_BLANK_WORDS), n)
             high, low = (_sums(mix(values ^ np.uint64(c)), bounds) for c in (0x1234567, 0x89ABCDEF))
-            bits = _bits(values, bounds).view(np.int64)
+            bits, ends = _bits(values, bounds)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_key"),
                     pa.array(np.diff(bounds), pa.int64()),
                     pa.array(high.view(np.int64)),
                     pa.array(low.view(np.int64)),
-                    pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel()), FILTER_WORDS).cast(pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bits)),
                 ],
                 ["_key", "size", "high", "low", "bits"],
             )
@@ -318,8 +341,12 @@ def jaccard_components(
     entries = piece_keys(docs, key, text, n, percent)
     members = shared_keys(entries).join(classes.select("id"), "id", "left_semi")
     members = materialize(members.select("key", "id", "native", "hub"), "sketch-members")
+    sketches = lambda name: classes.select(
+        F.col("id").alias(name), F.col("size").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}")
+    )
     star = members.filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-    star = materialize(star.distinct(), "sketch-stars")
+    star = star.distinct().join(sketches("a"), "a").join(sketches("b"), "b").filter(may_link("a", "b", percent))
+    star = materialize(star.select("a", "b"), "sketch-stars")
     links = materialize(verified(star, docs, key, text, n, percent), "sketch-links").unionByName(shared_ids)
     tied = components(links)
     # keys whose members the stars have left apart
@@ -331,18 +358,15 @@ def jaccard_components(
         F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows")
     ).filter("x <> y AND rows > 2").select("key")
     apart = placed.join(open_keys, "key").join(classes, "id").withColumnRenamed("size", "n")
+    apart = materialize(apart, "sketch-apart")
     names = ["id", "native", "component", "n", "bits"]
     left = apart.select("key", *[F.col(c).alias(f"{c}_a") for c in names])
     right = apart.select("key", *[F.col(c).alias(f"{c}_b") for c in names])
-    flipped = F.aggregate(
-        F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y
-    )
     may = (
         (F.col("id_a") < F.col("id_b"))
         & (F.col("native_a") | F.col("native_b"))
         & (F.col("component_a") != F.col("component_b"))
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        & (flipped * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+        & may_link("a", "b", percent)
     )
     rest = left.join(right, "key").filter(may).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "sketch-rest")

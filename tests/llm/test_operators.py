@@ -203,8 +203,28 @@ def test_every_linked_pair_shares_a_key():
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(2)
     a, b = (np.unique(rng.integers(0, 500, 200).astype(np.uint64)) for _ in range(2))
-    bits = sketch_join._bits(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
-    assert sum(int(x).bit_count() for x in bits[0] ^ bits[1]) <= len(np.setxor1d(a, b))
+    bits, ends = sketch_join._bits(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+    assert ends.tolist() == [0, 4, 8]
+    assert sum(int(x & (2**64 - 1)).bit_count() for x in (bits[:4] ^ bits[4:]).tolist()) <= len(np.setxor1d(a, b))
+
+
+def test_sketches_refuse_only_what_cannot_link(spark):
+    rng = np.random.default_rng(4)
+    rows, truth = [], []
+    for i in range(300):
+        size, changed = int(rng.integers(1, 3000)), rng.choice([0.0, 0.02, 0.08, 0.11, 0.2, 1.0])
+        a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        b = a.copy()
+        b[rng.random(len(b)) < changed] += np.uint64(12345)
+        b = np.unique(np.concatenate([b, rng.integers(0, 2**63, int(size * changed / 3)).astype(np.uint64)]))
+        bits, ends = sketch_join._bits(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        rows.append((i, len(a), bits[: ends[1]].tolist(), len(b), bits[ends[1] :].tolist()))
+        truth.append(sketch_join._links(a, b, 80))
+    df = spark.createDataFrame(rows, "i int, n_x bigint, bits_x array<bigint>, n_y bigint, bits_y array<bigint>")
+    got = {r.i: r.may for r in df.select("i", sketch_join.may_link("x", "y", 80).alias("may")).collect()}
+    assert all(got[i] for i, t in enumerate(truth) if t) and sum(truth) > 50
+    far = [i for i, r in enumerate(rows) if not truth[i] and min(r[1], r[3]) > 300]
+    assert sum(got[i] for i in far) < 0.5 * len(far)
 
 
 def test_components(spark):
