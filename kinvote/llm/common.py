@@ -151,6 +151,17 @@ def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return values[first], np.concatenate([[0], np.cumsum(first)])[bounds]
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of ``df`` has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def covered(marks: np.ndarray) -> np.ndarray:
     """True where the running sum of span starts (+1) and ends (-1) is above zero."""
     return np.cumsum(marks[:-1]) > 0

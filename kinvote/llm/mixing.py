@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinvote.llm.common import key_text, unit_hash
+from kinvote.llm.common import free_names, key_text, unit_hash
 from kinvote.session import materialize
 
 DRAW_MEAN = 64.0
@@ -97,16 +97,20 @@ def replicate(
 ) -> DataFrame:
     """All columns of the documents, once for each drawn copy, with the copy's number and hash.
 
+    ``df`` may have columns of any other names than ``order`` and ``copy``, else it raises.
     Sorting by (order, key, copy) is the global order; nothing is sorted here. The rates (a row
     a source) are written first, so Spark knows their size when it plans the join: it then
     broadcasts them and no text moves, or, with very many sources, splits the hot ones.
     """
-    rates = source_rates(df, text, source, weights, default_weight, epochs).select("_source", "_rate")
-    rates = materialize(rates, "source-rates")
-    joined = df.join(rates, F.col(source).eqNullSafe(F.col("_source")))
-    count = poisson_count(F.col("_rate"), key_text(F.col(key)), seed)
-    drawn = joined.withColumn("_count", count).filter("_count > 0")
-    out = drawn.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col("_count") - 1)))
+    if [order, copy] != free_names(df, order, copy):
+        raise ValueError(f"the table has a column {order} or {copy}: give other names for order and copy")
+    of, rate, drawn = free_names(df, "_source", "_rate", "_count")
+    rates = source_rates(df, text, source, weights, default_weight, epochs)
+    rates = materialize(rates.select(F.col("_source").alias(of), F.col("_rate").alias(rate)), "source-rates")
+    joined = df.join(rates, F.col(source).eqNullSafe(F.col(of)))
+    count = poisson_count(F.col(rate), key_text(F.col(key)), seed)
+    kept = joined.withColumn(drawn, count).filter(F.col(drawn) > 0)
+    out = kept.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(drawn) - 1)))
     place = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col(copy).cast("string"), key_text(F.col(key))))
     return out.withColumn(order, place).select(*df.columns, copy, order)
 

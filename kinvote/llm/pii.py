@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinvote.llm.common import free_names
+
 ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9][A-Za-z0-9.\-]*\.[A-Za-z]{2,}"
 IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
@@ -239,18 +241,19 @@ def pseudonymise(
     may = F.col(text).rlike("[0-9@]")
     none = F.array().cast("array<string>")
     values = F.when(may, F.regexp_extract_all(F.col(text), F.lit(VALUE), F.lit(0))).when(~may, none)
-    found = df.withColumn("_values", values).withColumn(
-        "_new", F.transform("_values", lambda v: pseudonym(v, key, undo))
+    held_values, made = free_names(df, "_values", "_new")
+    found = df.withColumn(held_values, values).withColumn(
+        made, F.transform(held_values, lambda v: pseudonym(v, key, undo))
     )
     parts = F.split(F.col(text), VALUE, -1)
     # a text of n values has n + 1 parts; an array of n + 1 new values ends with an empty one
     joined = F.array_join(
-        F.flatten(F.zip_with(parts, F.concat("_new", F.array(F.lit(""))), lambda p, v: F.array(p, v))), ""
+        F.flatten(F.zip_with(parts, F.concat(made, F.array(F.lit(""))), lambda p, v: F.array(p, v))), ""
     )
-    whole = F.when(F.size("_values") > 0, joined).otherwise(F.col(text))
+    whole = F.when(F.size(held_values) > 0, joined).otherwise(F.col(text))
     result = found.withColumn(out or text, whole)
     if counts:
-        kinds = F.transform("_values", kind_of)
+        kinds = F.transform(held_values, kind_of)
         held = [_count_of(kinds, kind).alias(kind) for kind in KINDS]
-        result = result.withColumn(counts, F.when(F.col("_values").isNotNull(), F.struct(*held)))
-    return result.drop("_values", "_new")
+        result = result.withColumn(counts, F.when(F.col(held_values).isNotNull(), F.struct(*held)))
+    return result.drop(held_values, made)
