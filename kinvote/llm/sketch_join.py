@@ -18,10 +18,11 @@ on (group, piece number, piece) finds them. Empty pieces say nothing and are lef
 with more than ``spare`` empty pieces is dealt anew with another seed as well, and in the last
 of ``SEEDS`` rounds its empty pieces are keys, so no pair is lost (``_keys`` has the argument).
 
-Candidates: in each key's group the smallest native is compared with every other member (a
-star: as many pairs as members). Members that the stars leave in different components are
-compared pair by pair. Members of one component need no more comparisons, as only components are
-asked for. A second parity sketch, of single bits and about as many as the set has shingles,
+Candidates: in each key's group the smallest native, the hub, is compared with other members. First
+every member with the smallest of its hubs, one pair each, which ties most groups of near copies
+together; then, in keys whose members are still in different components, members with their key's
+hub (as many pairs as members); in keys that this leaves open, members of different components pair
+by pair. Members of one component need no more comparisons, as only components are asked for. A second parity sketch, of single bits and about as many as the set has shingles,
 judges every candidate before a text moves: its Hamming distance is also
 a lower bound of the symmetric difference, and sets with little in common differ in nearly half of
 their bits. What is left is verified on the whole shingle sets. Hashes have 64 bits (sets are
@@ -344,33 +345,46 @@ def jaccard_components(
     sketches = lambda name: classes.select(
         F.col("id").alias(name), F.col("size").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}")
     )
-    star = members.filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-    star = star.distinct().join(sketches("a"), "a").join(sketches("b"), "b").filter(may_link("a", "b", percent))
-    star = materialize(star.select("a", "b"), "sketch-stars")
-    links = materialize(verified(star, docs, key, text, n, percent), "sketch-links").unionByName(shared_ids)
-    tied = components(links)
-    # keys whose members the stars have left apart
-    placed = members.join(tied.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", "native", F.coalesce("component", "id").alias("component")
-    )
-    placed = materialize(placed, "sketch-placed")
-    open_keys = placed.groupBy("key").agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("rows")
-    ).filter("x <> y AND rows > 2").select("key")
-    apart = placed.join(open_keys, "key").join(classes, "id").withColumnRenamed("size", "n")
-    apart = materialize(apart, "sketch-apart")
+    ordered = [F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")]
+
+    def judged(pairs: DataFrame) -> DataFrame:
+        """The pairs that size and sketch allow, written."""
+        both = pairs.join(sketches("a"), "a").join(sketches("b"), "b").filter(may_link("a", "b", percent))
+        return materialize(both.select("a", "b"), "sketch-pairs")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return materialize(verified(pairs, docs, key, text, n, percent), "sketch-links")
+
+    def open_members(links: DataFrame) -> DataFrame:
+        """Members, with their components, of the keys whose members are in several."""
+        tied = components(links).withColumnRenamed("node", "id")
+        placed = members.join(tied, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = materialize(placed.select("key", "id", "native", "hub", "component"), "sketch-placed")
+        apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+        return materialize(placed.join(apart.filter("x <> y").select("key"), "key"), "sketch-open")
+
+    # one pair a member, with the smallest of its hubs, ties most groups of near copies together
+    near = judged(members.filter("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(*ordered))
+    links = shared_ids.unionByName(linked(near))
+    left = open_members(links)
+    # the hubs of the keys left open, by component: a member needs no other pair with its own
+    hubs = left.filter("id = hub").select("key", F.col("component").alias("led"))
+    star = left.join(hubs, "key").filter("component <> led").select(*ordered).distinct()
+    star = judged(star.join(near, ["a", "b"], "left_anti"))
+    links = links.unionByName(linked(star))
+    left = open_members(links).join(classes.withColumnRenamed("size", "n"), "id")
     names = ["id", "native", "component", "n", "bits"]
-    left = apart.select("key", *[F.col(c).alias(f"{c}_a") for c in names])
-    right = apart.select("key", *[F.col(c).alias(f"{c}_b") for c in names])
+    first = left.select("key", *[F.col(c).alias(f"{c}_a") for c in names])
+    second = left.select("key", *[F.col(c).alias(f"{c}_b") for c in names])
     may = (
         (F.col("id_a") < F.col("id_b"))
         & (F.col("native_a") | F.col("native_b"))
         & (F.col("component_a") != F.col("component_b"))
         & may_link("a", "b", percent)
     )
-    rest = left.join(right, "key").filter(may).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "sketch-rest")
-    more = materialize(verified(rest, docs, key, text, n, percent), "sketch-links")
+    rest = first.join(second, "key").filter(may).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    rest = rest.join(near.unionByName(star), ["a", "b"], "left_anti")
+    more = linked(materialize(rest, "sketch-rest"))
     tied = components(links.unionByName(more))
     found = rows.join(tied.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("_key").isNotNull(), F.coalesce("component", "rep", "_key"))
