@@ -366,11 +366,15 @@ def jaccard_components(
     # one pair a member, with the smallest of its hubs, ties most groups of near copies together
     near = judged(members.filter("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(*ordered))
     links = shared_ids.unionByName(linked(near))
-    left = open_members(links)
-    # the hubs of the keys left open, by component: a member needs no other pair with its own
-    hubs = left.filter("id = hub").select("key", F.col("component").alias("led"))
-    star = left.join(hubs, "key").filter("component <> led").select(*ordered).distinct()
-    star = judged(star.join(near, ["a", "b"], "left_anti"))
+    # a key's hub and its members of other components; sizes and sketches judge in the join
+    left = open_members(links).join(classes.withColumnRenamed("size", "n"), "id")
+    hubs = left.filter("id = hub").select(
+        "key", F.col("component").alias("led"), F.col("n").alias("n_hub"), F.col("bits").alias("bits_hub")
+    )
+    left = left.select("key", "id", "hub", "component", F.col("n").alias("n_own"), F.col("bits").alias("bits_own"))
+    fits = (F.col("component") != F.col("led")) & may_link("own", "hub", percent)
+    star = left.join(hubs, "key").filter(fits).select(*ordered).distinct()
+    star = materialize(star.join(near, ["a", "b"], "left_anti"), "sketch-stars")
     links = links.unionByName(linked(star))
     left = open_members(links).join(classes.withColumnRenamed("size", "n"), "id")
     names = ["id", "native", "component", "n", "bits"]
