@@ -2,9 +2,11 @@
 
 Found and validated: card numbers (13 to 19 digits, in groups or not, with a right Luhn check
 digit; if all of a match has none, the card in it that is ungrouped or in groups of 4-4-4-4, 4-6-5
-or 4-6-4 digits, so that a code, an expiry date or a count beside it does no harm), telephone numbers in the North American form, IPv4 addresses (octets up to 255), dates
-(year-month-day, day.month.year, month/day/year that exist), and e-mail addresses. Each is
-replaced by another of its format under a keyed permutation, so equal values get equal
+or 4-6-4 digits, so that a code, an expiry date or a count beside it does no harm), telephone numbers in
+the North American form, social security numbers (three, two and four digits, of ranges in use), IBANs
+written without blanks (check digits by mod 97), IPv4 addresses (octets up to 255, without leading
+zeros), dates that exist (year-month-day, day.month.year, month/day/year, and day/month/year where
+that is no month/day/year), and e-mail addresses. Each is replaced by another of its format under a keyed permutation, so equal values get equal
 pseudonyms in all documents, different values different ones, and the key's owner can undo it:
 
 * characters: a Feistel network over the two halves of the letters and digits; in a round each
@@ -12,10 +14,13 @@ pseudonyms in all documents, different values different ones, and the key's owne
   of its kind (digits, small or capital letters). Telephone numbers keep the country code,
   e-mail addresses their domain's last part; cards permute all but the check digit, which is
   then made right again; a card beside other numbers is walked until the whole match has a
-  wrong check digit again, so that undoing finds the same card;
+  wrong check digit again, so that undoing finds the same card; IBANs keep the country, and their
+  check digits are made right again; social security numbers are walked until their range is in use;
 * numbers in a range: the same with two halves of a number. Addresses are numbers below 2**32;
   dates are days from 1900-01-01 to 2099-12-31, walked until the permuted number is a day of
-  that range again.
+  that range again that can be written in the same shape: a day or month of one digit stays one
+  of one digit, and a day first before a slash stays above 12. So 1.2.1999 and 01.02.1999 are
+  different values.
 
 Edge cases: a null text stays null, an empty one empty; values that fail their check, or are
 part of a longer word or number, stay; a text without a value stays as it is; repeated rows
@@ -34,17 +39,21 @@ EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9][A-Za-z0-9.\-]*\.[
 IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}"
 PHONE = r"(?:\+1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[ .\-]\d{4}"
+SSN = r"\d{3}-\d{2}-\d{4}"
+SSN_USED = r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"
+IBAN = r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}"
 CARD = r"\d(?:[ \-]?\d){12,18}"
 USUAL = r"\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{4,5}"
 INNER = rf"^(.*?)(?<!\d)({USUAL})(?!\d)(.*)$"
 NO_DATE = r"(?!(?<=[ \-]\d{1,2})/\d{1,2}/\d{4})"
 BEFORE, AFTER = r"(?<![\p{L}\p{N}_.@+\-])", r"(?![\p{L}\p{N}_@]|[.\-]\p{N})"
-VALUE = f"{EMAIL}|{BEFORE}(?:{IPV4}|{DATE}|{PHONE}|{CARD}{NO_DATE}){AFTER}"
-KINDS = ("email", "ipv4", "date", "phone", "card")
+VALUE = f"{EMAIL}|{BEFORE}(?:{IPV4}|{DATE}|{PHONE}|{SSN}|{IBAN}|{CARD}{NO_DATE}){AFTER}"
+KINDS = ("email", "ipv4", "date", "phone", "card", "ssn", "iban")
 
 FIRST_DAY, DAYS = "1900-01-01", 73049
 _DATE_SIDE = 271  # 271 * 271 is the smallest square not below DAYS
 _WALK = 64  # a step stays outside the range once in 600; 64 steps in a row do once in 10**177
+_LONG_WALK = 384  # a fifth of all days has the rarest shape; so many steps miss it once in 10**41
 
 
 def _hash(key: str, number: Column, *parts: Column) -> Column:
@@ -98,15 +107,38 @@ def feistel_number(value: Column, side: int, key: str, undo: bool = False) -> Co
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), value.cast("bigint"), one)
 
 
-def _in_range(value: Column, key: str, undo: bool) -> Column:
-    """Cycle walking: permute until the number is below DAYS; one step at least."""
-    start = F.struct(value.cast("bigint").alias("v"), F.lit(False).alias("done"))
+def _in_range(
+    value: Column, key: str, undo: bool, days: tuple[Column, Column] | None = None, months: Column | None = None
+) -> Column:
+    """Cycle walking: permute until the number is below DAYS; one step at least.
+
+    ``days``: the least and the largest day of the month that is taken; ``months``: the largest month.
+    """
+    least, most = days or (F.lit(1), F.lit(31))
+    months = F.lit(12) if months is None else months
+    start = F.struct(
+        value.cast("bigint").alias("v"), F.lit(False).alias("done"), least.alias("low"), most.alias("high"), months.alias("months")
+    )
 
     def one(state: Column, _: Column) -> Column:
         new = feistel_number(state["v"], _DATE_SIDE, key, undo)
-        return F.when(state["done"], state).otherwise(F.struct(new.alias("v"), (new < DAYS).alias("done")))
+        return F.when(state["done"], state).otherwise(
+            F.struct(
+                new.alias("v"),
+                _written(new, state).alias("done"),
+                *[state[name].alias(name) for name in ("low", "high", "months")],
+            )
+        )
+
+    steps = F.when((least > 1) | (most < 31) | (months < 12), _LONG_WALK).otherwise(_WALK)
+    return F.aggregate(F.sequence(F.lit(1), steps), start, one, lambda s: s["v"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), start, one, lambda s: s["v"])
+
+def _written(number: Column, state: Column) -> Column:
+    """Whether a number is a day of the range and within the state's days and months."""
+    day = F.date_add(F.lit(FIRST_DAY).cast("date"), number.cast("int"))
+    inside = F.dayofmonth(day).between(state["low"], state["high"]) & (F.month(day) <= state["months"])
+    return (number < DAYS) & inside
 
 
 def _luhn_sum(digits: Column, doubled_last: bool) -> Column:
@@ -140,40 +172,103 @@ def _filled(shape: Column, digits: Column) -> Column:
     return F.aggregate(F.split(shape, ""), start, one, lambda s: s["out"])
 
 
+def _fields(value: Column) -> tuple[Column, Column]:
+    """The first two numbers of a date that ends with the year."""
+    return F.regexp_extract(value, r"^(\d+)[./]", 1), F.regexp_extract(value, r"^\d+[./](\d+)", 1)
+
+
+def _existing(value: Column, month: Column, day: Column) -> Column:
+    written = F.concat_ws("-", F.substring(value, F.length(value) - 3, F.lit(4)), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+    return F.try_to_date(written, "yyyy-MM-dd")
+
+
+def _month_first(value: Column) -> Column:
+    """Whether a value is a month, a day and a year that exist, with slashes."""
+    first, second = _fields(value)
+    return value.contains("/") & _existing(value, first, second).isNotNull()
+
+
 def _day(value: Column) -> Column:
     """The date that a value writes; null if there is none."""
-    ymd = F.when(value.rlike(r"^\d{4}-"), value)
-    dmy = F.when(
-        value.rlike(r"^\d{1,2}\."),
-        F.concat_ws("-", F.split(value, r"\.")[2], F.lpad(F.split(value, r"\.")[1], 2, "0"), F.lpad(F.split(value, r"\.")[0], 2, "0")),
-    )
-    mdy = F.when(
-        value.rlike(r"^\d{1,2}/"),
-        F.concat_ws("-", F.split(value, "/")[2], F.lpad(F.split(value, "/")[0], 2, "0"), F.lpad(F.split(value, "/")[1], 2, "0")),
+    first, second = _fields(value)
+    return (
+        F.when(value.rlike(r"^\d{4}-"), F.try_to_date(value, "yyyy-MM-dd"))
+        .when(_month_first(value), _existing(value, first, second))
+        .when(value.rlike(r"^\d{1,2}[./]"), _existing(value, second, first))
     )
-    return F.try_to_date(F.coalesce(ymd, dmy, mdy), "yyyy-MM-dd")
 
 
 def _date(value: Column, key: str, undo: bool) -> Column:
-    day = _day(value)
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), _in_range(F.datediff(day, F.lit(FIRST_DAY).cast("date")), key, undo).cast("int"))
-    return (
-        F.when(value.rlike(r"^\d{4}-"), F.date_format(new, "yyyy-MM-dd"))
-        .when(value.rlike(r"^\d{1,2}\."), F.date_format(new, "dd.MM.yyyy"))
-        .otherwise(F.date_format(new, "MM/dd/yyyy"))
+    first, second = _fields(value)
+    iso, month_first = value.rlike(r"^\d{4}-"), _month_first(value)
+    one_digit = lambda field: ~iso & (F.length(field) == 1)
+    short_day = one_digit(F.when(month_first, second).otherwise(first))
+    short_month = one_digit(F.when(month_first, first).otherwise(second))
+    least = F.when(value.contains("/") & ~month_first, 13).otherwise(1)
+    start = F.lit(FIRST_DAY).cast("date")
+    walked = _in_range(
+        F.datediff(_day(value), start),
+        key,
+        undo,
+        (least, F.when(short_day, 9).otherwise(31)),
+        F.when(short_month, 9).otherwise(12),
     )
+    new = F.date_add(start, walked.cast("int"))
+    mark = F.when(value.contains("/"), "/").otherwise(".")
+    # a short one has no leading zero, as it is below 10
+    day = F.date_format(new, "dd")
+    month = F.date_format(new, "MM")
+    day = F.when(short_day, F.substring(day, 2, 1)).otherwise(day)
+    month = F.when(short_month, F.substring(month, 2, 1)).otherwise(month)
+    halves = F.when(month_first, F.concat(month, mark, day)).otherwise(F.concat(day, mark, month))
+    return F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(halves, mark, F.date_format(new, "yyyy")))
+
+
+def _mod97(text: Column) -> Column:
+    """The rest modulo 97 of the number that digits and capital letters (A is 10) write."""
+    def one(rest: Column, char: Column) -> Column:
+        code = F.ascii(char)
+        return F.when(code >= 65, F.pmod(rest * 100 + code - 55, F.lit(97))).otherwise(F.pmod(rest * 10 + code - 48, F.lit(97)))
+
+    return F.aggregate(F.split(text, ""), F.lit(0), one)
+
+
+def _iban(value: Column, key: str, undo: bool) -> Column:
+    """The account permuted; the check digits follow."""
+    country = F.substring(value, 1, 2)
+    account = feistel_text(F.substring(value, F.lit(5), F.length(value)), key, undo)
+    check = 98 - _mod97(F.concat(account, country, F.lit("00")))
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), account)
+
+
+def _is_iban(value: Column) -> Column:
+    rest = _mod97(F.concat(F.substring(value, F.lit(5), F.length(value)), F.substring(value, 1, 4)))
+    return (rest == 1) & F.substring(value, 3, 2).between("02", "98")
+
+
+def _ssn(value: Column, key: str, undo: bool) -> Column:
+    """The nine digits permuted until their range is in use; one of nine is not."""
+    start = F.struct(value.alias("v"), F.lit(False).alias("done"))
+
+    def one(state: Column, _: Column) -> Column:
+        new = _filled(state["v"], feistel_text(F.regexp_replace(state["v"], "-", ""), key, undo))
+        return F.when(state["done"], state).otherwise(F.struct(new.alias("v"), new.rlike(SSN_USED).alias("done")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), start, one, lambda s: s["v"])
 
 
 def kind_of(value: Column) -> Column:
     """The kind of a found value, or null if it is not valid."""
     is_card = _passes(value) | _passes(F.regexp_extract(value, INNER, 2))
-    octets_ok = F.forall(F.split(value, r"\."), lambda o: o.try_cast("int") <= 255)
+    octets_ok = F.forall(F.split(value, r"\."), lambda o: (o.try_cast("int") <= 255) & ~o.rlike("^0."))
     in_days = _day(value).between(F.lit(FIRST_DAY).cast("date"), F.lit("2099-12-31").cast("date"))
     return (
         F.when(value.contains("@"), "email")
         .when(value.rlike(f"^(?:{IPV4})$"), F.when(octets_ok, "ipv4"))
         .when(value.rlike(f"^(?:{DATE})$"), F.when(in_days, "date"))
         .when(value.rlike(f"^(?:{PHONE})$"), "phone")
+        .when(value.rlike(f"^(?:{SSN})$"), F.when(value.rlike(SSN_USED), "ssn"))
+        .when(value.rlike(f"^(?:{IBAN})$"), F.when(_is_iban(value), "iban"))
         .when(value.rlike(f"^(?:{CARD})$"), F.when(is_card, "card"))
     )
 
@@ -221,6 +316,8 @@ def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
         .when(kind == "date", _date(value, f"{key}|date", undo))
         .when(kind == "phone", phone)
         .when(kind == "card", card)
+        .when(kind == "ssn", _ssn(value, f"{key}|ssn", undo))
+        .when(kind == "iban", _iban(value, f"{key}|iban", undo))
         .otherwise(value)
     )
 

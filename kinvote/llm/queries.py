@@ -38,6 +38,7 @@ CHUNK_BYTES = 64 << 10
 MODEL = "piece_bpe_32k.model"
 RANKED_DOCS = 50
 PSEUDONYM_KEY = "corpus pseudonyms"
+"""Where the session names no secret in ``spark.kinvote.pseudonymKey``."""
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,7 +99,8 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pseudonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.pseudonymise(docs, "text", PSEUDONYM_KEY, counts="found")
+    key = spark.conf.get("spark.kinvote.pseudonymKey", PSEUDONYM_KEY)
+    found = pii.pseudonymise(docs, "text", key, counts="found")
     return found.select("doc_id", "text", *[F.col(f"found.{k}").alias(f"n_{k}") for k in pii.KINDS])
 
 
