@@ -29,6 +29,8 @@ are changed alike; an empty table gives an empty result; all other columns are k
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,11 @@ _WALK = 64  # a step stays outside the range once in 600; 64 steps in a row do o
 _LONG_WALK = 384  # a fifth of all days has the rarest shape; so many steps miss it once in 10**41
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda Spark computes each mention anew."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _hash(key: str, number: Column, *parts: Column) -> Column:
     """A number below 2**48 of the key, the round and the parts."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), number.cast("string"), *parts), 256)
@@ -121,13 +128,12 @@ def _in_range(
     )
 
     def one(state: Column, _: Column) -> Column:
-        new = feistel_number(state["v"], _DATE_SIDE, key, undo)
+        def stepped(new: Column) -> Column:
+            held = [state[name].alias(name) for name in ("low", "high", "months")]
+            return F.struct(new.alias("v"), _written(new, state).alias("done"), *held)
+
         return F.when(state["done"], state).otherwise(
-            F.struct(
-                new.alias("v"),
-                _written(new, state).alias("done"),
-                *[state[name].alias(name) for name in ("low", "high", "months")],
-            )
+            _bound(feistel_number(state["v"], _DATE_SIDE, key, undo), stepped)
         )
 
     steps = F.when((least > 1) | (most < 31) | (months < 12), _LONG_WALK).otherwise(_WALK)
@@ -162,14 +168,17 @@ def _filled(shape: Column, digits: Column) -> Column:
     """The digits put at the digit places of a shape, separators kept."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
-    def one(state: Column, c: Column) -> Column:
-        is_digit = c.rlike("^[0-9]$")
-        return F.struct(
-            F.concat(state["out"], F.when(is_digit, F.substring(digits, state["at"], F.lit(1))).otherwise(c)).alias("out"),
-            (state["at"] + F.when(is_digit, 1).otherwise(0)).alias("at"),
-        )
+    def filled(held: Column) -> Column:
+        def one(state: Column, c: Column) -> Column:
+            is_digit = c.rlike("^[0-9]$")
+            put = F.when(is_digit, F.substring(held, state["at"], F.lit(1))).otherwise(c)
+            return F.struct(
+                F.concat(state["out"], put).alias("out"), (state["at"] + F.when(is_digit, 1).otherwise(0)).alias("at")
+            )
 
-    return F.aggregate(F.split(shape, ""), start, one, lambda s: s["out"])
+        return F.aggregate(F.split(shape, ""), start, one, lambda s: s["out"])
+
+    return _bound(digits, filled)
 
 
 def _fields(value: Column) -> tuple[Column, Column]:
@@ -200,28 +209,29 @@ def _day(value: Column) -> Column:
 
 def _date(value: Column, key: str, undo: bool) -> Column:
     first, second = _fields(value)
-    iso, month_first = value.rlike(r"^\d{4}-"), _month_first(value)
-    one_digit = lambda field: ~iso & (F.length(field) == 1)
-    short_day = one_digit(F.when(month_first, second).otherwise(first))
-    short_month = one_digit(F.when(month_first, first).otherwise(second))
-    least = F.when(value.contains("/") & ~month_first, 13).otherwise(1)
-    start = F.lit(FIRST_DAY).cast("date")
-    walked = _in_range(
-        F.datediff(_day(value), start),
-        key,
-        undo,
-        (least, F.when(short_day, 9).otherwise(31)),
-        F.when(short_month, 9).otherwise(12),
-    )
-    new = F.date_add(start, walked.cast("int"))
+    iso, start = value.rlike(r"^\d{4}-"), F.lit(FIRST_DAY).cast("date")
     mark = F.when(value.contains("/"), "/").otherwise(".")
-    # a short one has no leading zero, as it is below 10
-    day = F.date_format(new, "dd")
-    month = F.date_format(new, "MM")
-    day = F.when(short_day, F.substring(day, 2, 1)).otherwise(day)
-    month = F.when(short_month, F.substring(month, 2, 1)).otherwise(month)
-    halves = F.when(month_first, F.concat(month, mark, day)).otherwise(F.concat(day, mark, month))
-    return F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.concat(halves, mark, F.date_format(new, "yyyy")))
+
+    def moved(month_first: Column) -> Column:
+        short_day = ~iso & (F.length(F.when(month_first, second).otherwise(first)) == 1)
+        short_month = ~iso & (F.length(F.when(month_first, first).otherwise(second)) == 1)
+        days = (F.when(value.contains("/") & ~month_first, 13).otherwise(1), F.when(short_day, 9).otherwise(31))
+        months = F.when(short_month, 9).otherwise(12)
+        walked = _in_range(F.datediff(_day(value), start), key, undo, days, months)
+
+        def written(new: Column) -> Column:
+            # a short one has no leading zero, as it is below 10
+            day, month = F.date_format(new, "dd"), F.date_format(new, "MM")
+            day = F.when(short_day, F.substring(day, 2, 1)).otherwise(day)
+            month = F.when(short_month, F.substring(month, 2, 1)).otherwise(month)
+            halves = F.when(month_first, F.concat(month, mark, day)).otherwise(F.concat(day, mark, month))
+            return F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(
+                F.concat(halves, mark, F.date_format(new, "yyyy"))
+            )
+
+        return _bound(F.date_add(start, walked.cast("int")), written)
+
+    return _bound(_month_first(value), moved)
 
 
 def _mod97(text: Column) -> Column:
@@ -236,9 +246,12 @@ def _mod97(text: Column) -> Column:
 def _iban(value: Column, key: str, undo: bool) -> Column:
     """The account permuted; the check digits follow."""
     country = F.substring(value, 1, 2)
-    account = feistel_text(F.substring(value, F.lit(5), F.length(value)), key, undo)
-    check = 98 - _mod97(F.concat(account, country, F.lit("00")))
-    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), account)
+
+    def checked(account: Column) -> Column:
+        check = 98 - _mod97(F.concat(account, country, F.lit("00")))
+        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), account)
+
+    return _bound(feistel_text(F.substring(value, F.lit(5), F.length(value)), key, undo), checked)
 
 
 def _is_iban(value: Column) -> Column:
@@ -252,7 +265,9 @@ def _ssn(value: Column, key: str, undo: bool) -> Column:
 
     def one(state: Column, _: Column) -> Column:
         new = _filled(state["v"], feistel_text(F.regexp_replace(state["v"], "-", ""), key, undo))
-        return F.when(state["done"], state).otherwise(F.struct(new.alias("v"), new.rlike(SSN_USED).alias("done")))
+        return F.when(state["done"], state).otherwise(
+            _bound(new, lambda n: F.struct(n.alias("v"), n.rlike(SSN_USED).alias("done")))
+        )
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), start, one, lambda s: s["v"])
 
@@ -277,8 +292,12 @@ def _card(value: Column, key: str, undo: bool) -> Column:
     """All but the check digit permuted; the check digit follows."""
     digits = F.regexp_replace(value, r"[^0-9]", "")
     body = feistel_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, undo)
-    check = F.pmod(10 - F.pmod(_luhn_sum(body, True), F.lit(10)), F.lit(10))
-    return _filled(value, F.concat(body, check.cast("string")))
+
+    def checked(held: Column) -> Column:
+        check = F.pmod(10 - F.pmod(_luhn_sum(held, True), F.lit(10)), F.lit(10))
+        return F.concat(held, check.cast("string"))
+
+    return _filled(value, _bound(body, checked))
 
 
 def _inner_card(value: Column, key: str, undo: bool) -> Column:
@@ -287,9 +306,10 @@ def _inner_card(value: Column, key: str, undo: bool) -> Column:
     start = F.struct(inner.alias("v"), F.lit(False).alias("done"))
 
     def one(state: Column, _: Column) -> Column:
-        new = _card(state["v"], key, undo)
-        done = ~_passes(F.concat(before, new, after))
-        return F.when(state["done"], state).otherwise(F.struct(new.alias("v"), done.alias("done")))
+        def stepped(new: Column) -> Column:
+            return F.struct(new.alias("v"), (~_passes(F.concat(before, new, after))).alias("done"))
+
+        return F.when(state["done"], state).otherwise(_bound(_card(state["v"], key, undo), stepped))
 
     walked = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), start, one, lambda s: s["v"])
     return F.concat(before, walked, after)
@@ -297,7 +317,7 @@ def _inner_card(value: Column, key: str, undo: bool) -> Column:
 
 def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
     """The pseudonym of a found value (``undo``: the value of a pseudonym); invalid values stay."""
-    kind, digits = kind_of(value), F.regexp_replace(value, r"[^0-9]", "")
+    digits = F.regexp_replace(value, r"[^0-9]", "")
     # e-mail: all but the last label of the domain
     stem = F.regexp_extract(value, r"^(.*)\.[A-Za-z]+$", 1)
     email = F.concat(feistel_text(stem, f"{key}|email", undo), F.substring(value, F.length(stem) + 1, F.length(value)))
@@ -305,21 +325,26 @@ def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
     octets = F.split(value, r"\.")
     number = F.aggregate(octets, F.lit(0).cast("bigint"), lambda a, o: a * 256 + o.try_cast("bigint"))
     moved = feistel_number(number, 65536, f"{key}|ipv4", undo)
-    address = F.concat_ws(".", *[F.pmod(F.shiftright(moved, bits), F.lit(256)).cast("string") for bits in (24, 16, 8, 0)])
+    octet = lambda n, bits: F.pmod(F.shiftright(n, bits), F.lit(256)).cast("string")
+    address = _bound(moved, lambda n: F.concat_ws(".", *[octet(n, bits) for bits in (24, 16, 8, 0)]))
     # telephone: the last ten digits
     country = F.substring(digits, F.lit(1), F.length(digits) - 10)
     phone = _filled(value, F.concat(country, feistel_text(F.substring(digits, F.length(digits) - 9, F.lit(10)), f"{key}|phone", undo)))
     card = F.when(_passes(value), _card(value, f"{key}|card", undo)).otherwise(_inner_card(value, f"{key}|card", undo))
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "ipv4", address)
-        .when(kind == "date", _date(value, f"{key}|date", undo))
-        .when(kind == "phone", phone)
-        .when(kind == "card", card)
-        .when(kind == "ssn", _ssn(value, f"{key}|ssn", undo))
-        .when(kind == "iban", _iban(value, f"{key}|iban", undo))
-        .otherwise(value)
-    )
+
+    def replaced(kind: Column) -> Column:
+        return (
+            F.when(kind == "email", email)
+            .when(kind == "ipv4", address)
+            .when(kind == "date", _date(value, f"{key}|date", undo))
+            .when(kind == "phone", phone)
+            .when(kind == "card", card)
+            .when(kind == "ssn", _ssn(value, f"{key}|ssn", undo))
+            .when(kind == "iban", _iban(value, f"{key}|iban", undo))
+            .otherwise(value)
+        )
+
+    return _bound(kind_of(value), replaced)
 
 
 def _count_of(kinds: Column, kind: str) -> Column:
