@@ -6,12 +6,12 @@ order of the tokens that all rows keep, two such sets have a common token among
 prefixes hold rare ones: the ``COMMON`` most frequent by rising count, all others before them
 by hash. The order decides what the join costs, never what it finds.
 
-Index: a training row enters the list of each token of its prefix, with its place there and its
-size. Lists are cut into pieces by a hash of the id, of about ``PIECE`` rows at most, so a token
-that a third of the rows have is many pieces. A test row collects the pieces of its prefix tokens
-and keeps an id once. Each common token of two prefixes bounds the overlap: those before it, itself,
-and the smaller of what is left in the two sets behind it; so does their number, with what a set has
-behind its prefix. Pairs whose bounds, or sizes, rule the similarity out go. What is left is scored exactly, each set once a group (``score_candidates``).
+Index: rows are dealt to blocks (``similarity_join.meet``). In a training block of about ``PIECE`` rows, a
+row enters the list of each token of its prefix, with its place there. A test row looks its prefix tokens
+up in each block's lists, and an id once is kept. Each common token of two prefixes bounds the overlap:
+those before it, itself, and the smaller of what is left in the two sets behind it; so does their number,
+with what a set has behind its prefix. Pairs whose bounds, or sizes, rule the similarity out go. What is
+left is scored exactly in the same place, so neither lists nor candidates are shuffled or written.
 
 For distances near 1 prefixes are whole sets and nearly all pairs share a token: take
 ``similarity_join``, which compares blocks.
@@ -19,21 +19,19 @@ For distances near 1 prefixes are whole sets and nearly all pairs share a token:
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import list_sizes
-from ..session import materialize
-from .similarity_join import block_counts, block_of, score_candidates
+from .similarity_join import Found, Postings, _Side, block_counts, meet, near_candidates
 from .vocabulary import top_terms
 
 COMMON = 4096
 """Tokens that are ordered by their number of rows: that many reach the tasks with the function."""
 PIECE = 4096
+"""Training rows that are indexed together."""
 
 
 def common_tokens(rows: DataFrame, most: int = COMMON) -> list[int]:
@@ -72,70 +70,50 @@ def prefix_udf(similarity: float, common: list[int]):
     return prefix
 
 
-def offers_udf(similarity: float):
-    """A test row's candidates ``(rb, ids, trees)`` from its size and the lists of its prefix tokens."""
-
-    @F.arrow_udf("array<struct<rb: int, ids: array<bigint>, trees: array<int>>>")
-    def offers(size: pa.Array, lists: pa.Array) -> pa.Array:
-        per_row, flat = list_sizes(lists), lists.flatten()
-        listed = flat.field("rows")
-        counts, inner = list_sizes(listed), listed.flatten()
-        column = lambda name: np.asarray(inner.field(name), dtype=np.int64)
-        ids, rb, other, behind = column("id"), column("rb"), column("n"), column("place")
-        before = np.repeat(np.asarray(flat.field("place"), dtype=np.int64), counts)
-        row = np.repeat(np.repeat(np.arange(len(per_row)), per_row), counts)
-        own = np.asarray(size, dtype=np.int64)[row]
-        fits = np.minimum(own, other) >= least_overlap(similarity, np.maximum(own, other))
-        order = np.flatnonzero(fits)
-        order = order[np.lexsort((before[order], ids[order], rb[order], row[order]))]
-        ids, rb, other, behind, before, row, own = (x[order] for x in (ids, rb, other, behind, before, row, own))
-        new = np.ones(len(ids), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (row[1:] != row[:-1])
-        opens = np.flatnonzero(new)
-        shared = np.diff(np.append(opens, len(ids)))
-        nth = np.arange(len(ids)) - np.repeat(opens, shared)
+def _candidates(tests: _Side, trains: _Side, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``(i, j)`` of the pairs that prefixes, sizes and places allow, in order of ``i``."""
+
+    def bounds(side: _Side) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(side.size - least_overlap(similarity, side.size) + 1)])
+
+    starts, ends = bounds(trains), bounds(tests)
+    length = np.diff(starts)
+    owner = np.repeat(np.arange(len(length)), length)
+    place = np.arange(len(owner)) - np.repeat(starts[:-1], length)
+    index, parts = Postings(trains.extra["prefix"]), []
+    for i in range(len(tests.id)):
+        entries, before = index.of(tests.extra["prefix"][ends[i] : ends[i + 1]])
+        j, own = owner[entries], tests.size[i]
+        larger = np.maximum(own, trains.size[j])
+        fits = np.flatnonzero(np.minimum(own, trains.size[j]) >= least_overlap(similarity, larger))
+        fits = fits[np.lexsort((before[fits], j[fits]))]
+        j, before, behind, larger = j[fits], before[fits], place[entries[fits]], larger[fits]
+        if not len(j):
+            continue
+        other = trains.size[j]
+        opens = np.flatnonzero(np.append(True, j[1:] != j[:-1]))
+        shared = np.diff(np.append(opens, len(j)))
+        nth = np.arange(len(j)) - np.repeat(opens, shared)
         most = nth + 1 + np.minimum(own - before - 1, other - behind - 1)
         # of the prefix that ends first in the order, all common tokens are counted; behind it a set
         # has one token less than ``least_overlap``
-        rest = least_overlap(similarity, np.maximum(own, other)) - 1
-        most = np.minimum(most, np.repeat(shared, shared) + rest)
+        most = np.minimum(most, np.repeat(shared, shared) + least_overlap(similarity, larger) - 1)
         needed = least_overlap(similarity / (1 + similarity), own + other)
-        good = np.minimum.reduceat(most - needed, opens) >= 0 if len(opens) else np.zeros(0, bool)
-        ids, rb, row = ids[opens][good], rb[opens][good], row[opens][good]
-        block = np.ones(len(ids), bool)
-        block[1:] = (row[1:] != row[:-1]) | (rb[1:] != rb[:-1])
-        starts = np.flatnonzero(block)
-        bounds = pa.array(np.append(starts, len(ids)), pa.int32())
-        found = pa.StructArray.from_arrays(
-            [
-                pa.array(rb[starts], pa.int32()),
-                pa.ListArray.from_arrays(bounds, pa.array(ids, pa.int64())),
-                pa.ListArray.from_arrays(bounds, pa.array(np.zeros(len(ids)), pa.int32())),
-            ],
-            ["rb", "ids", "trees"],
-        )
-        ends = np.searchsorted(row[starts], np.arange(len(per_row) + 1))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
-
-    return offers
-
-
-def prefix_candidates(rows: DataFrame, threshold: float, blocks: tuple[int, int]) -> DataFrame:
-    """``test_id, rb, ids, trees``: the pairs that may be below ``threshold``, each once."""
+        good = opens[np.minimum.reduceat(most - needed, opens) >= 0]
+        parts.append((np.full(len(good), i), j[good]))
+    return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _met(rows: DataFrame, threshold: float, below: float) -> DataFrame:
+    """The pairs that may be below ``threshold``, each once, scored; those below ``below`` are kept."""
     similarity = 1 - threshold
-    hashed = F.transform("features", lambda t: F.xxhash64(t))
-    prefix = prefix_udf(similarity, common_tokens(rows))(hashed)
-    cut = materialize(rows.select("id", "is_test", F.size("features").alias("n"), prefix.alias("prefix")), "prefixes")
-    entries = cut.select("id", "is_test", "n", F.posexplode("prefix").alias("place", "token"))
-    pieces = max(1, math.ceil(cut.where("not is_test").count() / PIECE))
-    posting = F.struct("id", "n", "place", block_of("id", blocks[1]).alias("rb"))
-    index = entries.where("not is_test").groupBy("token", block_of("id", pieces).alias("piece")).agg(
-        F.collect_list(posting).alias("rows")
-    )
-    asked = entries.where("is_test").select(F.col("id").alias("test_id"), "n", "place", "token")
-    met = asked.join(index.hint("merge"), "token")  # exploded: file sizes say too little
-    lists = met.groupBy("test_id").agg(F.first("n").alias("n"), F.collect_list(F.struct("place", "rows")).alias("lists"))
-    return lists.select("test_id", F.inline(offers_udf(similarity)("n", "lists")))
+    prefix = prefix_udf(similarity, common_tokens(rows))(F.transform("features", lambda t: F.xxhash64(t)))
+
+    def match(tests: _Side, trains: _Side, bound: np.ndarray) -> Found:
+        i, j = _candidates(tests, trains, similarity)
+        return near_candidates(tests, trains, i, j, np.zeros(len(i), np.int32), below, bound)
+
+    return meet(rows.withColumn("prefix", prefix), block_counts(rows, train_rows=PIECE), match, extra=["prefix"]).drop("first")
 
 
 def prefix_pairs(rows: DataFrame, threshold: float) -> DataFrame:
@@ -143,12 +121,9 @@ def prefix_pairs(rows: DataFrame, threshold: float) -> DataFrame:
 
     ``rows`` is a written table ``id, label, features, is_test`` with distinct features.
     """
-    blocks = block_counts(rows)
-    asked = materialize(prefix_candidates(rows, threshold, blocks), "prefix-candidates")
-    return score_candidates(rows, asked, None, [1], blocks, threshold=threshold).drop("first_tree")
+    return _met(rows, threshold, threshold)
 
 
 def candidate_count(rows: DataFrame, threshold: float) -> int:
-    """How many pairs ``prefix_pairs`` scores."""
-    found: Column = F.sum(F.size("ids"))
-    return prefix_candidates(rows, threshold, block_counts(rows)).agg(found).first()[0] or 0
+    """How many pairs ``prefix_pairs`` scores (each has a common token of two prefixes)."""
+    return _met(rows, threshold, np.inf).count()

@@ -280,3 +280,41 @@ def test_recall_of_the_hashed_join(spark):
     assert far and len(far & got.keys()) >= 0.99 * len(far)
     two = {(r.test_id, r.train_id): r.distance for r in catalog.QUERIES["lsh_join_hashed"](spark, folder).collect()}
     assert two.items() <= exact.items() and len(two) >= 0.9 * len(exact) and len(far & two.keys()) >= 0.9 * len(far)
+
+
+def test_rows_enter_one_block(spark, small_blocks):
+    """However many blocks there are, a row is dealt and shuffled once."""
+    rows = random_rows(10, 300)
+    df = materialize(spark.createDataFrame(rows, SCHEMA), "block-rows")
+    blocks = sj.block_counts(df)
+    assert min(blocks) > 5 and sj._dealt(df, blocks).count() == len(rows)
+
+
+@pytest.mark.parametrize(
+    "join",
+    [
+        lambda df: sj.threshold_pairs(df, 0.9),
+        lambda df: lsh_join.lsh_pairs(df, 16, 0.9),
+        lambda df: prefix_join.prefix_pairs(df, 0.5),
+        lambda df: sj.meet(forest.with_places(df, forest.placed(forest.tree_entries(df, 8)), 2), (3, 3), forest._matcher(4), 2, [1], ["places"]),
+    ],
+    ids=["exact", "lsh", "prefix", "forest"],
+)
+def test_candidates_are_not_shuffled(spark, small_blocks, join):
+    """Block tables meet as they are read; what they find is shuffled by no one."""
+    df = materialize(spark.createDataFrame(random_rows(11, 200), SCHEMA), "block-rows")
+    plan = join(df)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_long_rows_make_more_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sj, "BLOCK_TOKENS", 50)
+    df = spark.createDataFrame([(i, 0, [f"w{j}" for j in range(i, i + 10)], i % 2 == 0) for i in range(60)], SCHEMA)
+    assert sj.block_counts(df) == (6, 6)
+    assert sj.threshold_pairs(df, 0.9).count() == len(brute([tuple(r) for r in df.collect()], 0.9))
+
+
+def test_unlabelled_rows_meet(spark):
+    df = spark.createDataFrame([(0, None, ["a"], True), (1, None, ["a", "b"], False), (2, 1, ["a"], False)], SCHEMA)
+    got = sorted(tuple(r) for r in sj.topk_pairs(df, 2, 0.9).select("train_id", "test_label", "train_label").collect())
+    assert got == [(1, None, None), (2, None, 1)]
