@@ -126,24 +126,38 @@ def _adler32(strings: pa.Array) -> np.ndarray:
     return high * 65536 + low
 
 
-def bloom_indices(tokens: Column, size: int, num_hashes: int) -> Column:
-    """Sorted distinct bit positions ``(crc32 + i * adler32) mod size`` of all tokens.
-
-    Spark has no Adler-32; it is computed on Arrow batches next to the built-in crc32.
-    """
+def bloom_udf(size: int, num_hashes: int):
+    """Bit positions of a row's words and their crc32, some thousand words at a time."""
 
     @F.arrow_udf("array<int>")
     def positions(words: pa.Array, crcs: pa.Array) -> pa.Array:
         sizes = list_sizes(words)
-        flat = words.flatten()
+        flat, crc = words.flatten(), np.asarray(crcs.flatten(), dtype=np.int64)
         steps = np.arange(num_hashes, dtype=np.int64)
-        crc = np.asarray(crcs.flatten(), dtype=np.int64)
-        bits = (crc[:, None] + steps * _adler32(flat)[:, None]) % size
-        rows = np.repeat(np.arange(len(sizes)), sizes * num_hashes)
-        # one sorted run of distinct (row, bit) pairs
-        pairs = np.unique(rows * size + bits.ravel())
-        counts = np.bincount(pairs // size, minlength=len(sizes))
-        return _as_lists((pairs % size).astype(np.int32), counts, words.is_null(), pa.int32())
+        ends = np.cumsum(sizes)
+        parts, counts, row = [], [], 0
+        while row < len(sizes):
+            # rows whose words fit one chunk (a single long row may exceed it)
+            first = ends[row] - sizes[row]
+            stop = max(int(np.searchsorted(ends, first + _CHUNK_VALUES, side="right")), row + 1)
+            some = slice(first, ends[stop - 1])
+            bits = (crc[some, None] + steps * _adler32(flat[some])[:, None]) % size
+            rows = np.repeat(np.arange(stop - row), sizes[row:stop] * num_hashes)
+            # one sorted run of distinct (row, bit) pairs
+            pairs = np.unique(rows * size + bits.ravel())
+            parts.append((pairs % size).astype(np.int32))
+            counts.append(np.bincount(pairs // size, minlength=stop - row))
+            row = stop
+        bits = np.concatenate(parts) if parts else np.empty(0, np.int32)
+        return _as_lists(bits, np.concatenate(counts) if counts else sizes, words.is_null(), pa.int32())
+
+    return positions
 
+
+def bloom_indices(tokens: Column, size: int, num_hashes: int) -> Column:
+    """Sorted distinct bit positions ``(crc32 + i * adler32) mod size`` of all tokens.
+
+    Spark has no Adler-32; it is computed on Arrow batches next to the built-in crc32.
+    """
     distinct = F.array_distinct(tokens)
-    return positions(distinct, F.transform(distinct, lambda t: F.crc32(F.encode(t, "UTF-8"))))
+    return bloom_udf(size, num_hashes)(distinct, F.transform(distinct, lambda t: F.crc32(F.encode(t, "UTF-8"))))
