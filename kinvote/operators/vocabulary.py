@@ -47,22 +47,28 @@ def summaries(df: DataFrame, terms: Column, capacity: int = SUMMARY_TERMS) -> Da
     is too long, what its next term would have is taken from all, and those left without go.
     """
 
+    def merged(parts: list[pa.Table], missed: int) -> tuple[pa.Table, int]:
+        held = pa.concat_tables(parts).group_by("term").aggregate([("n", "sum")])
+        held = pa.table({"term": held["term"], "n": held["n_sum"]})
+        if len(held) > capacity:
+            counts = np.asarray(held["n"])
+            cut = int(np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1])
+            left = counts > cut
+            held = pa.table({"term": held["term"].filter(pa.array(left)), "n": pa.array(counts[left] - cut)})
+            missed += cut
+        return held, missed
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        missed = 0
+        parts: list[pa.Table] = []
+        rows = missed = 0
         for batch in batches:
             counted = pc.value_counts(batch.column("term"))
-            new = pa.table({"term": counted.field("values"), "n": counted.field("counts")})
-            if held is not None:
-                new = pa.concat_tables([held, new]).group_by("term").aggregate([("n", "sum")])
-                new = pa.table({"term": new["term"], "n": new["n_sum"]})
-            held = new
-            if len(held) > capacity:
-                counts = np.asarray(held["n"])
-                cut = int(np.partition(counts, len(counts) - capacity - 1)[len(counts) - capacity - 1])
-                left = counts > cut
-                held = pa.table({"term": held["term"].filter(pa.array(left)), "n": pa.array(counts[left] - cut)})
-                missed += cut
+            parts.append(pa.table({"term": counted.field("values"), "n": counted.field("counts")}))
+            rows += len(counted)
+            if rows > 4 * capacity:  # a merge looks at the whole summary: not at each batch
+                held, missed = merged(parts, missed)
+                parts, rows = [held], len(held)
+        held, missed = merged(parts, missed) if parts else (None, 0)
         ends = pa.table({"term": pa.nulls(1, pa.string()), "n": pa.array([0], pa.int64())})
         out = ends if held is None else pa.concat_tables([held.cast(ends.schema), ends])
         yield from out.append_column("missed", pa.array(np.full(len(out), missed), pa.int64())).to_batches()
@@ -75,9 +81,11 @@ def heavy_terms(df: DataFrame, terms: Column, n: int, capacity: int = SUMMARY_TE
 
     The tasks' summaries give each term a least and a most count; only terms that can be among
     the first ``n`` are then counted exactly. A term in no summary occurs at most ``missed`` times
-    in all. If that is not below the n-th least count, the summaries are made longer. ``df`` should
-    be a written table, since it is read twice or more.
+    in all. If that is not below the n-th least count, the summaries are made longer; where terms are
+    so alike in number that they would pass ``MOST_TERMS``, all different terms are counted. ``df``
+    should be a written table, since it is read twice or more.
     """
+    exact = df.select(F.filter(terms, lambda t: t.isNotNull()).alias("_terms"))
     while True:
         found = materialize(summaries(df, terms, capacity), "term-summaries")
         missed = found.where("term IS NULL").agg(F.sum("missed")).first()[0] or 0
@@ -85,13 +93,20 @@ def heavy_terms(df: DataFrame, terms: Column, n: int, capacity: int = SUMMARY_TE
         top = least.orderBy(F.desc("least")).limit(n).agg(F.min("least").alias("bar"), F.count(F.lit(1)).alias("rows")).first()
         if missed == 0 or (top["rows"] == n and top["bar"] > missed):
             break
-        capacity *= 4
+        capacity *= max(4, 2 * missed // max(top["bar"] or 0, 1))
+        if capacity > MOST_TERMS:
+            return top_terms(exact, F.col("_terms"), n)
     bar = (top["bar"] or 0) if top["rows"] == n else 0
     likely = least.where(F.col("least") + missed >= bar).select("term")
     if missed == 0:  # every task has counted exactly
         return least.withColumnRenamed("least", "n_uses").orderBy(F.desc("n_uses"), F.asc("term")).limit(n)
-    used = df.select(F.explode(terms).alias("term")).join(likely, "term", "left_semi")
-    return used.groupBy("term").agg(F.count("*").alias("n_uses")).orderBy(F.desc("n_uses"), F.asc("term")).limit(n)
+    likely = materialize(likely, "likely-terms")
+    if likely.count() <= MOST_TERMS:  # uses are told apart where they are read, and counts combine there
+        used = df.select(F.explode(terms).alias("term")).join(F.broadcast(likely), "term", "left_semi")
+        counted = used.groupBy("term").agg(F.count("*").alias("n_uses"))
+    else:
+        counted = term_counts(exact, F.col("_terms")).join(likely, "term", "left_semi")
+    return counted.orderBy(F.desc("n_uses"), F.asc("term")).limit(n)
 
 
 def frequent_words(df: DataFrame, tokens_col: str, n: int = HFW_TOP_N) -> list[str]:
@@ -103,9 +118,12 @@ def frequent_words(df: DataFrame, tokens_col: str, n: int = HFW_TOP_N) -> list[s
 def sequence_vocabulary(
     df: DataFrame, tokens_col: str, length: int = SEQUENCE_LENGTH, n: int = SEQUENCE_VOCAB
 ) -> list[str]:
-    """The ``n`` most frequent token sequences of one length (bounded by ``n``)."""
+    """The ``n`` most frequent token sequences of one length (bounded by ``n``).
+
+    ``df`` should be a written table, since it is read twice or more.
+    """
     grams = sequence_grams(F.col(tokens_col), max(2, length))
-    return [r["term"] for r in top_terms(df, grams, _bounded(max(1, n))).collect()]
+    return [r["term"] for r in heavy_terms(df, grams, _bounded(max(1, n))).collect()]
 
 
 def run_vocabularies(

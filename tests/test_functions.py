@@ -210,3 +210,41 @@ def test_summaries_keep_their_bound(spark):
         assert len(kept) <= 40 and 0 < missed <= sum(true.values()) / 40
         assert all(n <= true[t] <= n + missed for t, n in kept.items())
         assert all(c <= missed for t, c in true.items() if t not in kept)
+
+
+def test_bloom_takes_some_words_at_a_time(monkeypatch):
+    """What is held beside a batch does not follow the batch's size."""
+    import pyarrow as pa
+
+    seen, real = [], hashing._adler32
+    monkeypatch.setattr(hashing, "_adler32", lambda flat: seen.append(len(flat)) or real(flat))
+    lists = [[f"w{i}-{j}" for j in range(i % 7)] for i in range(20000)] + [None, [], ["a"] * 40000]
+    crcs = [None if ws is None else [zlib.crc32(w.encode()) for w in ws] for ws in lists]
+    got = hashing.bloom_udf(64, 3).func(pa.array(lists, pa.list_(pa.string())), pa.array(crcs, pa.list_(pa.int64())))
+    want = lambda ws: sorted({(zlib.crc32(w.encode()) + i * zlib.adler32(w.encode())) % 64 for w in ws for i in range(3)})
+    assert got.to_pylist() == [None if ws is None else want(ws) for ws in lists]
+    assert sorted(seen)[-2] <= 1 << 14 and max(seen) == 40000  # the one long row stays whole
+
+
+def test_heavy_terms_move_no_uses(spark):
+    """A term that all rows have is counted where it is read: no shuffle or sort of its uses."""
+    rows = [(i, ["all", "all", f"w{i % 50}"]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, t array<string>").repartition(4)
+    plan = vocabulary.heavy_terms(df, F.col("t"), 1, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "strategy=broadcast" in plan
+
+
+def test_heavy_terms_of_even_counts(spark, monkeypatch):
+    """Terms too many and too alike for summaries are counted, all of them."""
+    monkeypatch.setattr(vocabulary, "MOST_TERMS", 64)
+    df = spark.createDataFrame([(i, [f"w{i:04d}", None]) for i in range(900)] + [(901, ["w0007"])], "id int, t array<string>").coalesce(2)
+    got = vocabulary.heavy_terms(df, F.col("t"), 3, 16).collect()
+    assert [tuple(r) for r in got] == [("w0007", 2), ("w0000", 1), ("w0001", 1)]
+
+
+def test_sequence_vocabulary_is_summarised(spark, monkeypatch):
+    """All different sequences are in no task's memory: they come from ``heavy_terms``."""
+    df = spark.createDataFrame([(["a", "b", "c"],), (["a", "b"],), (["b", "c"],), (["x", "y"],)], "t array<string>")
+    seen, real = [], vocabulary.heavy_terms
+    monkeypatch.setattr(vocabulary, "heavy_terms", lambda *a: seen.append(a) or real(*a))
+    assert vocabulary.sequence_vocabulary(df, "t", 2, 2) == ["a_b", "b_c"] and len(seen) == 1
