@@ -21,8 +21,14 @@ of ``SEEDS`` rounds its empty pieces are keys, so no pair is lost (``_keys`` has
 Candidates: in each key's group the smallest native, the hub, is compared with other members. First
 every member with the smallest of its hubs, one pair each, which ties most groups of near copies
 together; then, in keys whose members are still in different components, members with their key's
-hub (as many pairs as members); in keys that this leaves open, members of different components pair
-by pair. Members of one component need no more comparisons, as only components are asked for. A second parity sketch, of single bits and about as many as the set has shingles,
+hub (as many pairs as members). As long as the members of different components make many more pairs
+than there are members, rounds follow in which a key is led by a native of its largest component that
+a hash chooses, and a member of another component meets ``LEADERS`` leaders of its keys at most: in a
+large group of copies that link with one another more or less, a round ties a share of what is still
+apart. In keys that this leaves open,
+members of different components meet pair by pair, so the rounds decide what the join costs, never
+what it finds. Members of one component need no more comparisons, as only components are asked for.
+A second parity sketch, of single bits and about as many as the set has shingles,
 judges every candidate before a text moves: its Hamming distance is also
 a lower bound of the symmetric difference, and sets with little in common differ in nearly half of
 their bits. What is left is verified on the whole shingle sets. Hashes have 64 bits (sets are
@@ -51,6 +57,12 @@ from kinvote.session import materialize
 SEEDS = 4
 LARGEST = 1 << 40
 """Set sizes are below this; it only ends the table of bands."""
+ROUNDS = 4
+"""Most rounds with leaders, as long as they help, before members of different components meet pair by pair."""
+LEADERS = 16
+"""Leaders that a member meets in a round."""
+PAIRS_A_MEMBER = 4
+"""Pairs of different components for each member of an open key, above which another round is cheaper."""
 LEAST_WORDS = 4
 """64-bit words of the smallest second sketches; others have a power of two, a bit a shingle at least."""
 
@@ -355,19 +367,47 @@ def jaccard_components(
     def linked(pairs: DataFrame) -> DataFrame:
         return materialize(verified(pairs, docs, key, text, n, percent), "sketch-links")
 
-    def open_members(links: DataFrame) -> DataFrame:
-        """Members, with their components, of the keys whose members are in several."""
+    def open_members(before: DataFrame, links: DataFrame, seed: int) -> DataFrame:
+        """Members, with their components, of those keys whose members are in several.
+
+        With the key's leader of the round, a native of the component that has most members in the key.
+        """
         tied = components(links).withColumnRenamed("node", "id")
-        placed = members.join(tied, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = before.select("key", "id", "native", "hub").join(tied, "id", "left")
+        placed = placed.withColumn("component", F.coalesce("component", "id"))
         placed = materialize(placed.select("key", "id", "native", "hub", "component"), "sketch-placed")
-        apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        return materialize(placed.join(apart.filter("x <> y").select("key"), "key"), "sketch-open")
+        order = F.struct(F.xxhash64("key", "id", F.lit(seed)), F.col("id").alias("leader"))
+        parts = placed.groupBy("key", "component").agg(
+            F.count(F.lit(1)).alias("c"), F.min(F.when(F.col("native"), order)).alias("of")
+        )
+        apart = parts.groupBy("key").agg(
+            F.min("component").alias("x"),
+            F.max("component").alias("y"),
+            F.max(F.when(F.col("of").isNotNull(), F.struct("c", "of.leader", F.col("component").alias("led")))).alias("first"),
+        )
+        apart = apart.filter("x <> y").select("key", "first.leader", "first.led")
+        return materialize(placed.join(apart, "key"), "sketch-open")
+
+    def apart_pairs(members: DataFrame) -> tuple[float, float]:
+        """Number of pairs of different components in the keys, and of members."""
+        parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        keys = parts.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        total = keys.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
+        return total[0] or 0, total[1] or 0
+
+    def met(members: DataFrame, seed: int) -> DataFrame:
+        """Pairs of a member and leaders of its keys that are in other components, a few each."""
+        order = F.struct(F.xxhash64("leader", F.lit(seed)), "leader")
+        some = members.filter("component <> led").groupBy("id").agg(F.sort_array(F.collect_set(order)).alias("leaders"))
+        pairs = some.select("id", F.explode(F.slice("leaders.leader", 1, LEADERS)).alias("hub"))
+        return pairs.select(*ordered).distinct()
 
     # one pair a member, with the smallest of its hubs, ties most groups of near copies together
     near = judged(members.filter("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(*ordered))
     links = shared_ids.unionByName(linked(near))
     # a key's hub and its members of other components; sizes and sketches judge in the join
-    left = open_members(links).join(classes.withColumnRenamed("size", "n"), "id")
+    still = open_members(members, links, 0)
+    left = still.join(classes.withColumnRenamed("size", "n"), "id")
     hubs = left.filter("id = hub").select(
         "key", F.col("component").alias("led"), F.col("n").alias("n_hub"), F.col("bits").alias("bits_hub")
     )
@@ -375,8 +415,18 @@ def jaccard_components(
     fits = (F.col("component") != F.col("led")) & may_link("own", "hub", percent)
     star = left.join(hubs, "key").filter(fits).select(*ordered).distinct()
     star = materialize(star.join(near, ["a", "b"], "left_anti"), "sketch-stars")
-    links = links.unionByName(linked(star))
-    left = open_members(links).join(classes.withColumnRenamed("size", "n"), "id")
+    links, seen = links.unionByName(linked(star)), near.unionByName(star)
+    still = open_members(still, links, 1)
+    before = np.inf
+    for seed in range(1, ROUNDS + 1):
+        apart, rows_open = apart_pairs(still)
+        if apart <= PAIRS_A_MEMBER * rows_open or apart > 0.9 * before:  # few, or what is apart does not link
+            break
+        before = apart
+        some = judged(met(still, seed).join(seen, ["a", "b"], "left_anti"))
+        links, seen = links.unionByName(linked(some)), seen.unionByName(some)
+        still = open_members(still, links, seed + 1)
+    left = still.join(classes.withColumnRenamed("size", "n"), "id")
     names = ["id", "native", "component", "n", "bits"]
     first = left.select("key", *[F.col(c).alias(f"{c}_a") for c in names])
     second = left.select("key", *[F.col(c).alias(f"{c}_b") for c in names])
@@ -387,7 +437,7 @@ def jaccard_components(
         & may_link("a", "b", percent)
     )
     rest = first.join(second, "key").filter(may).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    rest = rest.join(near.unionByName(star), ["a", "b"], "left_anti")
+    rest = rest.join(seen, ["a", "b"], "left_anti")
     more = linked(materialize(rest, "sketch-rest"))
     tied = components(links.unionByName(more))
     found = rows.join(tied.withColumnRenamed("node", "rep"), "rep", "left")

@@ -25,7 +25,7 @@ from kinvote.llm import (
     warc,
 )
 from kinvote.llm.components import components
-from kinvote.session import scratch_path
+from kinvote.session import materialize, scratch_path
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 # columns beside id and text, with names that the operators use inside
@@ -172,6 +172,27 @@ def test_jaccard_components(spark, n, percent):
     assert sorted(map(tuple, got.collect()), key=str) == components_by_definition(rows, n, percent)
 
 
+def test_copies_of_one_text_do_not_all_meet(spark, monkeypatch):
+    """Copies with one change each link, but the first ids, the keys' hubs, have two changes and link with none."""
+    rng, met, rows = random.Random(11), [], []
+    for k in range(240):
+        w = [f"w{i}" for i in range(100)]
+        for at in rng.sample(range(5, 95, 6), 2 if k < 30 else 1):
+            w[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(w)))
+
+    def noted(df, name):
+        out = materialize(df, name)
+        if name == "sketch-rest":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(sketch_join, "materialize", noted)
+    got = sketch_join.jaccard_components(table(spark, rows), n=5, percent=80).drop("representative")
+    assert sorted(map(tuple, got.collect()), key=str) == components_by_definition(rows, 5, 80)
+    assert met[0] < len(rows)
+
+
 def test_null_text_of_an_id_with_a_near_copy(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(1, " ".join(words)), (2, None), (2, " ".join(words[:-1] + ["x"])), (3, None), (1, None)]
