@@ -367,13 +367,14 @@ def jaccard_components(
     def linked(pairs: DataFrame) -> DataFrame:
         return materialize(verified(pairs, docs, key, text, n, percent), "sketch-links")
 
-    def open_members(before: DataFrame, links: DataFrame, seed: int) -> DataFrame:
-        """Members, with their components, of those keys whose members are in several.
+    def open_members(before: DataFrame, links: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+        """Members, with their components, of those keys whose members are in several; and those components as links.
 
         With the key's leader of the round, a native of the component that has most members in the key.
         """
-        tied = components(links).withColumnRenamed("node", "id")
-        placed = before.select("key", "id", "native", "hub").join(tied, "id", "left")
+        tied = components(links)
+        stars = tied.filter("node <> component").toDF("a", "b")
+        placed = before.select("key", "id", "native", "hub").join(tied.withColumnRenamed("node", "id"), "id", "left")
         placed = placed.withColumn("component", F.coalesce("component", "id"))
         placed = materialize(placed.select("key", "id", "native", "hub", "component"), "sketch-placed")
         order = F.struct(F.xxhash64("key", "id", F.lit(seed)), F.col("id").alias("leader"))
@@ -386,7 +387,7 @@ def jaccard_components(
             F.max(F.when(F.col("of").isNotNull(), F.struct("c", "of.leader", F.col("component").alias("led")))).alias("first"),
         )
         apart = apart.filter("x <> y").select("key", "first.leader", "first.led")
-        return materialize(placed.join(apart, "key"), "sketch-open")
+        return materialize(placed.join(apart, "key"), "sketch-open"), stars
 
     def apart_pairs(members: DataFrame) -> tuple[float, float]:
         """Number of pairs of different components in the keys, and of members."""
@@ -406,7 +407,7 @@ def jaccard_components(
     near = judged(members.filter("id <> hub").groupBy("id").agg(F.min("hub").alias("hub")).select(*ordered))
     links = shared_ids.unionByName(linked(near))
     # a key's hub and its members of other components; sizes and sketches judge in the join
-    still = open_members(members, links, 0)
+    still, links = open_members(members, links, 0)
     left = still.join(classes.withColumnRenamed("size", "n"), "id")
     hubs = left.filter("id = hub").select(
         "key", F.col("component").alias("led"), F.col("n").alias("n_hub"), F.col("bits").alias("bits_hub")
@@ -415,8 +416,9 @@ def jaccard_components(
     fits = (F.col("component") != F.col("led")) & may_link("own", "hub", percent)
     star = left.join(hubs, "key").filter(fits).select(*ordered).distinct()
     star = materialize(star.join(near, ["a", "b"], "left_anti"), "sketch-stars")
-    links, seen = links.unionByName(linked(star)), near.unionByName(star)
-    still = open_members(still, links, 1)
+    more, seen = linked(star), near.unionByName(star)
+    if more.count():  # else components, and open keys, are what they were
+        still, links = open_members(still, links.unionByName(more), 1)
     before = np.inf
     for seed in range(1, ROUNDS + 1):
         apart, rows_open = apart_pairs(still)
@@ -424,8 +426,10 @@ def jaccard_components(
             break
         before = apart
         some = judged(met(still, seed).join(seen, ["a", "b"], "left_anti"))
-        links, seen = links.unionByName(linked(some)), seen.unionByName(some)
-        still = open_members(still, links, seed + 1)
+        more, seen = linked(some), seen.unionByName(some)
+        if not more.count():  # what leaders meet does not link
+            break
+        still, links = open_members(still, links.unionByName(more), seed + 1)
     left = still.join(classes.withColumnRenamed("size", "n"), "id")
     names = ["id", "native", "component", "n", "bits"]
     first = left.select("key", *[F.col(c).alias(f"{c}_a") for c in names])

@@ -262,6 +262,18 @@ def test_components(spark):
     assert got == expected
 
 
+@pytest.mark.parametrize("edges, rounds", [([(3, 1), (4, 1), (9, 8)], 0), ([(3, 1), (4, 3)], 1), ([], 0)])
+def test_components_end_with_stars(spark, monkeypatch, edges, rounds):
+    """No round runs on edges that are stars already."""
+    written = []
+    monkeypatch.setattr(
+        "kinvote.llm.components.materialize", lambda df, name: written.append(name) or materialize(df, name)
+    )
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a int, b int")).collect()}
+    assert got == {n: 8 if n >= 8 else 1 for e in edges for n in e}
+    assert len(written) == 1 + rounds
+
+
 # ---- 3 and 4 ------------------------------------------------------------------------
 
 
