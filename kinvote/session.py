@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -137,13 +137,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, options: Mapping[str, str] | None = None) -> DataFrame:
     """Write ``df`` to the scratch folder and return the written table.
 
     Cuts the lineage: later branches scan the table, column-pruned, where they would
-    otherwise repeat cleaning and tokenising, and a lost executor costs one re-read.
+    otherwise repeat cleaning and tokenising, and a lost executor costs one re-read. ``options``
+    are the writer's.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

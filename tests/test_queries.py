@@ -41,3 +41,12 @@ def test_one_file_is_only_copied_by_one_task(spark, monkeypatch):
     monkeypatch.setattr(writers, "write_csv", seen)
     assert QUERIES["sink_csv_single_file"](spark, FOLDER).first().n_files == 1
     assert len(plans) == 1 and "Join" not in plans[0] and "regexp" not in plans[0]
+
+
+def test_the_one_task_reads_well_compressed_parts(spark, monkeypatch):
+    from kinvote.sources import writers
+
+    read, write = [], writers.write_csv
+    monkeypatch.setattr(writers, "write_csv", lambda df, *args, **options: read.extend(df.inputFiles()) or write(df, *args, **options))
+    assert QUERIES["sink_csv_single_file"](spark, FOLDER).count() > 0
+    assert read and all(name.endswith(".zstd.parquet") for name in read)
