@@ -248,6 +248,17 @@ def test_pattern_cap_is_an_option(spark):
     assert len(every) > 5 and some == every[:5]
 
 
+def test_patterns_without_cap_are_told_apart_once(spark):
+    words = [f"w{i * i % 7}" for i in range(90)]
+    df = spark.createDataFrame([(words,), (["w0"],), ([],), (None,)], "tokens array<string>")
+    found = with_patterns(df, "tokens", "p", ["w0", "w1", "w3"])
+    assert "array_union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    masked = [w if w in ("w0", "w1", "w3") else "*" for w in words]
+    cut = [masked[i : i + n] for n in range(C.PATTERN_MIN_N, C.PATTERN_MAX_N + 1) for i in range(len(masked) - n + 1)]
+    listed = dict.fromkeys("_".join(c) for c in cut if sum(w != "*" for w in c) >= C.PATTERN_MIN_HFW)
+    assert [r.p for r in found.collect()] == [list(listed), [], [], []]
+
+
 def test_jobs_of_the_sweep_do_not_grow_with_its_cells(spark):
     rows = [(i, i % 2, [f"w{(i * k) % 11}" for k in range(1, 8)]) for i in range(60)]
     df = materialize(spark.createDataFrame(rows, "id bigint, label int, tokens array<string>"), "rows")
