@@ -234,6 +234,30 @@ def test_full_vocabulary(spark):
         vocabulary.frequent_words(df, "t", vocabulary.MOST_TERMS + 1)
 
 
+def test_terms_are_worked_out_once(spark):
+    """A filter on the size of the exploded lists would make them a second time."""
+    numbers = spark.createDataFrame([(i,) for i in range(9)], "id int")
+    df = numbers.select("id", F.transform(F.sequence(F.lit(0), "id"), lambda i: (i % 3).cast("string")).alias("t"))
+    counts = vocabulary.term_counts(df, F.col("t"))
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan and plan.count("transform(") == 1
+    assert {r.term: r.n_uses for r in counts.collect()} == {"0": 18, "1": 15, "2": 12}
+    some = spark.createDataFrame([(1, ["a", None]), (2, None), (3, [])], "id int, t array<string>")
+    assert {r.term: r.n_uses for r in vocabulary.term_counts(some, F.col("t")).collect()} == {"a": 1, None: 1}
+
+
+def test_full_index_in_one_shuffle_of_ranges(spark):
+    docs = [(i, [f"w{j}" for j in range(i)]) for i in range(60)]
+    df = spark.createDataFrame(docs + [(7, ["w1", "x"])], "id int, t array<string>").repartition(5)
+    index = vocabulary.full_index(df, F.col("t"))
+    assert "row_number" not in index._jdf.queryExecution().optimizedPlan().toString()
+    uses = {t: sum(t in d for _, d in docs) + (t in ("w1", "x")) for _, d in [*docs, (7, ["x"])] for t in d}
+    ordered = sorted(uses, key=lambda t: (-uses[t], t))
+    assert {r.term: r["index"] for r in index.collect()} == {t: i for i, t in enumerate(ordered)}
+    found = {r.id: r.indices for r in vocabulary.full_presence(df, "id", F.col("t"), index).collect()}
+    assert found[7] == sorted({ordered.index(t) for t in [*docs[7][1], "w1", "x"]})
+
+
 def test_presence_needs_no_shuffle(spark):
     df = spark.createDataFrame([(1, ["a"])], "id int, t array<string>")
     plan = vocabulary.with_presence(df, "t", ["a"])._jdf.queryExecution().executedPlan().toString()
