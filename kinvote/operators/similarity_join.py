@@ -38,9 +38,12 @@ TRAIN_ROWS = 8192
 LEAST_ROWS = 64  # blocks of small tables are cut to give every core one, not below this
 BLOCK_TOKENS = 1 << 21  # tokens of a block, where rows are long
 TASK_BLOCKS = 16
-"""Training blocks of a file, which a task holds together."""
+"""Training blocks of a file; a task holds those of a file, or of a part of it where Spark splits the file."""
 TASK_FILES = 4
-"""Least number of files of training blocks, so that there are tasks enough: a test row's first ``k`` come from each."""
+"""Least number of files of training blocks, so that there are tasks enough: a test row's first ``k`` come from each part."""
+
+BLOCK_BY_BLOCK = {"parquet.block.row.count.limit": "1"}
+"""A row group a block: a task reads one block at a time, and Spark splits files that are large for a task between blocks."""
 
 PAIRS = (
     "test_id bigint, test_label int, train_id bigint, train_label int, distance double, "
@@ -116,7 +119,7 @@ def _packed(rows: DataFrame, key: str, files: int, extra: Sequence[str], runs: S
 
     side = rows.repartition(files, *runs, key)
     packed = side.groupBy(*runs, key).applyInArrow(pack, ", ".join(fields))
-    return materialize(packed, "blocks")
+    return materialize(packed, "blocks", BLOCK_BY_BLOCK)
 
 
 class _Side:

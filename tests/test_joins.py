@@ -1,5 +1,6 @@
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -307,6 +308,15 @@ def test_candidates_are_not_shuffled(spark, small_blocks, join):
     assert "CartesianProduct" in plan and "Exchange" not in plan
 
 
+def test_blocks_are_read_one_by_one(spark, small_blocks):
+    """A file of several blocks is not decoded whole: each block is a row group."""
+    df = materialize(spark.createDataFrame(random_rows(13, 300), SCHEMA), "block-rows")
+    dealt = sj._dealt(df, sj.block_counts(df)).where("not is_test")
+    files = sj._packed(dealt, "rb", 2, [], []).inputFiles()
+    written = [pq.ParquetFile(name.removeprefix("file://")).metadata for name in files]
+    assert max(m.num_rows for m in written) > 1 and all(m.num_row_groups == m.num_rows for m in written)
+
+
 def test_long_rows_make_more_blocks(spark, monkeypatch):
     monkeypatch.setattr(sj, "BLOCK_TOKENS", 50)
     df = spark.createDataFrame([(i, 0, [f"w{j}" for j in range(i, i + 10)], i % 2 == 0) for i in range(60)], SCHEMA)
