@@ -109,9 +109,9 @@ def _met(rows: DataFrame, threshold: float, below: float) -> DataFrame:
     similarity = 1 - threshold
     prefix = prefix_udf(similarity, common_tokens(rows))(F.transform("features", lambda t: F.xxhash64(t)))
 
-    def match(tests: _Side, trains: _Side, bound: np.ndarray) -> Found:
+    def match(tests: _Side, trains: _Side, bound: np.ndarray) -> list[Found]:
         i, j = _candidates(tests, trains, similarity)
-        return near_candidates(tests, trains, i, j, np.zeros(len(i), np.int32), below, bound)
+        return [near_candidates(tests, trains, i, j, np.zeros(len(i), np.int32), below, bound)]
 
     return meet(rows.withColumn("prefix", prefix), block_counts(rows, train_rows=PIECE), match, extra=["prefix"]).drop("first")
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -328,3 +330,58 @@ def test_unlabelled_rows_meet(spark):
     df = spark.createDataFrame([(0, None, ["a"], True), (1, None, ["a", "b"], False), (2, 1, ["a"], False)], SCHEMA)
     got = sorted(tuple(r) for r in sj.topk_pairs(df, 2, 0.9).select("train_id", "test_label", "train_label").collect())
     assert got == [(1, None, None), (2, None, 1)]
+
+
+class _Sets(sj._Side):
+    """A block of plain sets of numbers."""
+
+    def __init__(self, sets):
+        self.id, self.label = np.arange(len(sets)), pa.array([0] * len(sets), pa.int32())
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.tokens = np.array([t for s in sets for t in s], np.int64)
+        self.by_token, self.extra = np.argsort(self.tokens, kind="stable").astype(np.int32), {}
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+
+
+def drawn_sets(seed, n, words, most):
+    """Sets with some tokens in nearly all of them and many in few; every ninth is small."""
+    rng = random.Random(seed)
+    return [
+        {int(words * rng.random() ** 3) for _ in range(rng.randint(1, 4 if i % 9 == 0 else most))} for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("often, room", [(64, 1 << 17), (1, 1 << 17), (10**9, 1 << 17), (8, 1)])
+@pytest.mark.parametrize("rows, words, most", [(1, 40, 20), (64, 300, 80), (203, 2000, 900), (700, 100, 90)])
+def test_overlaps(monkeypatch, often, room, rows, words, most):
+    """By bits, by lists or both, in groups or one by one, with more than 255 counted tokens a row."""
+    monkeypatch.setattr(sj, "OFTEN", often)
+    monkeypatch.setattr(sj, "ROOM", room)
+    mine, other = drawn_sets(1, 37, words, most), drawn_sets(2, rows, words, most)
+    mine[5] = {-1, -2}  # nothing in common
+    overlaps, got = sj.Overlaps(_Sets(mine), _Sets(other)), {}
+    for group in overlaps.groups():
+        got.update(zip(group.tolist(), overlaps.of(group).tolist()))
+    assert got == {i: [len(a & b) for b in other] for i, a in enumerate(mine)}
+
+
+@pytest.mark.parametrize("chunk", [1, 1 << 18])
+def test_near_pairs_keep_to_the_bounds(monkeypatch, chunk):
+    monkeypatch.setattr(sj, "CHUNK_PAIRS", chunk)
+    mine, other = drawn_sets(3, 50, 60, 30), drawn_sets(4, 130, 60, 30)
+    bound = np.array([np.inf, 0.5, 2 / 3, 0.0, 0.8] * 10)
+    got = {}
+    for found in sj.near_pairs(_Sets(mine), _Sets(other), 0.9, bound):
+        got.update(zip(zip(found["i"].tolist(), found["j"].tolist()), found["distance"].tolist()))
+    near = {(i, j): (len(a | b) - len(a & b)) / len(a | b) for i, a in enumerate(mine) for j, b in enumerate(other)}
+    assert got == {p: d for p, d in near.items() if d < 0.9 and d <= bound[p[0]]}
+
+
+def test_many_test_rows_share_an_index(spark):
+    """Beyond a block for every task, test rows lie in large blocks: each pair of blocks costs an index."""
+    df = spark.range(12000).selectExpr("id", "0 label", "array(string(id % 97)) features", "id % 6 > 0 is_test")
+    tests, trains = sj.block_counts(df)
+    assert trains == 1 and tests == 10000 // sj.EVEN_ROWS
+    many = spark.range(80000).selectExpr("id", "0 label", "array(string(id % 97)) features", "id % 2 = 0 is_test")
+    tests, trains = sj.block_counts(many)
+    assert trains == 5 and tests <= 10
