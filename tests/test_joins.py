@@ -385,3 +385,14 @@ def test_many_test_rows_share_an_index(spark):
     many = spark.range(80000).selectExpr("id", "0 label", "array(string(id % 97)) features", "id % 2 = 0 is_test")
     tests, trains = sj.block_counts(many)
     assert trains == 5 and tests <= 10
+
+
+def test_columns_that_no_one_reads_stay_in_the_join(spark):
+    df = spark.createDataFrame(random_rows(14, 90), SCHEMA)
+    for join in (
+        lambda *names: sj.threshold_pairs(df, 0.9, *names),
+        lambda *names: lsh_join.lsh_pairs(df, 16, 0.9, 1, 42, *names),
+    ):
+        whole, two = join(), join(["train_id", "test_id"])
+        assert two.columns == ["train_id", "test_id"] and whole.count()
+        assert sorted(map(tuple, two.collect())) == sorted(map(tuple, whole.select("train_id", "test_id").collect()))
